@@ -80,6 +80,9 @@ def distinct_keys(field: T.StructField) -> list[Column]:
         whole = value
     elif isinstance(field.dataType, T.TimestampType):
         whole = F.unix_micros(value)
+    elif isinstance(field.dataType, T.TimestampNTZType):
+        since = value - F.expr("timestamp_ntz'1970-01-01'")
+        whole = since.cast("decimal(20,6)") * 1000000
     elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         fraction = value
     else:

@@ -1,4 +1,8 @@
-"""Expressions on single values: what counts as filled, how a value reads as text, what shape it has."""
+"""Expressions on single values: what counts as filled, how a value reads as text, what shape it has.
+
+Field-wise expressions are built as SQL text, because catalogs have many columns and one parsed text
+costs far less than dozens of Column calls. The functions without `_sql` wrap them as Columns.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,24 @@ from pyspark.sql import types as T
 from hushframe.fixed_values import COLUMN_MISSING_CODES, DATE_SHAPES, PHONE_SHAPES
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FLOATING = (T.FloatType, T.DoubleType)
 _DIGEST_BYTES = 32
 
 
-def quoted(name: str) -> Column:
+def name_sql(name: str) -> str:
     """The column called exactly `name`, also when the name holds dots or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    """A string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def quoted(name: str) -> Column:
+    return F.col(name_sql(name))
 
 
 def is_scalar(field: T.StructField) -> bool:
@@ -26,74 +42,83 @@ def is_text(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.StringType)
 
 
-def present(field: T.StructField) -> Column:
+def present_sql(field: T.StructField) -> str:
     """True where the value is neither null, nor NaN, nor an empty string."""
-    value = quoted(field.name)
+    value = name_sql(field.name)
     if is_text(field):
-        return value.isNotNull() & (value != "")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return value.isNotNull() & ~F.isnan(value)
-    return value.isNotNull()
+        return f"({value} is not null and {value} <> '')"
+    if isinstance(field.dataType, _FLOATING):
+        return f"({value} is not null and not isnan({value}))"
+    return f"({value} is not null)"
 
 
-def clean(field: T.StructField, missing_codes: list[str] = COLUMN_MISSING_CODES) -> Column:
+def clean_sql(field: T.StructField, missing_codes: list[str] = COLUMN_MISSING_CODES) -> str:
     """`present`, and for text also not one of the missing-answer codes.
 
     The codes are text, so they never remove a number from a numeric column.
     """
-    if is_text(field):
-        return present(field) & ~quoted(field.name).isin(missing_codes)
-    return present(field)
+    if not is_text(field):
+        return present_sql(field)
+    codes = ", ".join(text_sql(code) for code in missing_codes)
+    return f"({present_sql(field)} and {name_sql(field.name)} not in ({codes}))"
 
 
-def as_text(field: T.StructField) -> Column:
+def clean(field: T.StructField, missing_codes: list[str] = COLUMN_MISSING_CODES) -> Column:
+    return F.expr(clean_sql(field, missing_codes))
+
+
+def as_text_sql(field: T.StructField) -> str:
     """The value as it would be printed in a flat file.
 
     Spark prints doubles from 1e7 up and below 1e-3 in scientific form, which would hide digit runs
     from the phone shape; between 1e-4 and 1e16 the plain digits are restored without padding.
     """
-    value = quoted(field.name)
-    text = value.cast("string")
-    if not isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+    value = name_sql(field.name)
+    text = f"cast({value} as string)"
+    if not isinstance(field.dataType, _FLOATING):
         return text
-    size = F.abs(value)
-    large = F.regexp_replace(text.try_cast("decimal(38,10)").cast("string"), r"(\.\d+?)0*$", "$1")
-    small = F.regexp_replace(text.try_cast("decimal(38,24)").cast("string"), r"0+$", "")
     return (
-        F.when((size >= 1e7) & (size < 1e16), large)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .otherwise(text)
+        f"(case when abs({value}) >= 1e7 and abs({value}) < 1e16"
+        rf" then regexp_replace(cast(try_cast({text} as decimal(38,10)) as string), r'(\.\d+?)0*$', '$1')"
+        f" when abs({value}) >= 1e-4 and abs({value}) < 1e-3"
+        f" then rtrim('0', cast(try_cast({text} as decimal(38,24)) as string))"
+        f" else {text} end)"
     )
 
 
-def distinct_keys(field: T.StructField) -> list[Column]:
-    """Three columns `whole`, `fraction`, `bytes` that are equal exactly when the values are equal.
+def as_text(field: T.StructField) -> Column:
+    return F.expr(as_text_sql(field))
+
+
+def distinct_keys_sql(field: T.StructField) -> dict[str, str]:
+    """Values `whole`, `fraction`, `moment` and `bytes` that are equal exactly when the values are equal.
 
     One of them is filled, by the type of the field, so that columns of all types can be grouped
     together without printing numbers as text. Long text is replaced by its 32-byte SHA-256, so that
     counting distinct documents does not shuffle the documents; shorter text stays as it is, and the
     lengths keep the two kinds apart.
     """
-    value = quoted(field.name)
-    whole, fraction, raw = F.lit(None), F.lit(None), F.lit(None)
-    if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        whole = value
+    value = name_sql(field.name)
+    keys = {
+        "whole": "cast(null as bigint)",
+        "fraction": "cast(null as double)",
+        "moment": "cast(null as timestamp_ntz)",
+        "bytes": "cast(null as binary)",
+    }
+    if isinstance(field.dataType, _INTEGRAL):
+        keys["whole"] = f"cast({value} as bigint)"
     elif isinstance(field.dataType, T.TimestampType):
-        whole = F.unix_micros(value)
+        keys["whole"] = f"unix_micros({value})"
     elif isinstance(field.dataType, T.TimestampNTZType):
-        since = value - F.expr("timestamp_ntz'1970-01-01'")
-        whole = since.cast("decimal(20,6)") * 1000000
-    elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        fraction = value
+        keys["moment"] = value
+    elif isinstance(field.dataType, _FLOATING):
+        keys["fraction"] = f"cast({value} as double)"
     else:
-        full = value if isinstance(field.dataType, T.BinaryType) else value.cast("string").cast("binary")
-        digest = F.unhex(F.sha2(full, 256))
-        raw = F.when(F.octet_length(full) < _DIGEST_BYTES, full).otherwise(digest)
-    return [
-        whole.cast("bigint").alias("whole"),
-        fraction.cast("double").alias("fraction"),
-        raw.cast("binary").alias("bytes"),
-    ]
+        text = value if isinstance(field.dataType, T.BinaryType) else f"cast(cast({value} as string) as binary)"
+        keys["bytes"] = (
+            f"(case when octet_length({text}) < {_DIGEST_BYTES} then {text} else unhex(sha2({text}, 256)) end)"
+        )
+    return keys
 
 
 def _java(shapes: list[str]) -> str:
@@ -104,9 +129,14 @@ def _java(shapes: list[str]) -> str:
     return "(?:" + either + ")"
 
 
-def is_phone_value(text: Column) -> Column:
+def is_phone_value_sql(text: str) -> str:
     """A phone number that begins on the first line of the value."""
-    return text.rlike("(?Ud)^.*" + _java(PHONE_SHAPES))
+    return f"({text} rlike {text_sql('(?Ud)^.*' + _java(PHONE_SHAPES))})"
+
+
+def is_date_value_sql(text: str) -> str:
+    """A value that begins with a day-month-year, month-day-year or year-month-day date."""
+    return f"({text} rlike {text_sql('(?U)^' + _java(DATE_SHAPES))})"
 
 
 def is_phone_token(token: Column) -> Column:
@@ -114,11 +144,6 @@ def is_phone_token(token: Column) -> Column:
     return token.rlike("(?U)^" + _java(PHONE_SHAPES))
 
 
-def is_date_value(text: Column) -> Column:
-    """A value that begins with a day-month-year, month-day-year or year-month-day date."""
-    return text.rlike("(?U)^" + _java(DATE_SHAPES))
-
-
 def word_list(text: Column) -> Column:
     """The words of a comma-separated box: trimmed, without empty entries."""
     trimmed = F.transform(F.split(text, ","), lambda w: F.regexp_replace(w, r"(?U)^\s+|\s+$", ""))

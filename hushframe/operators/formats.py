@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.fixed_values import SAMPLED_VALUES
-from hushframe.functions.values import as_text, is_date_value, is_phone_value, present, quoted
+from hushframe.functions.values import (
+    as_text_sql,
+    is_date_value_sql,
+    is_phone_value_sql,
+    name_sql,
+    present_sql,
+    quoted,
+    text_sql,
+)
 from hushframe.operators.profile import scalar_fields
 
 # Rows looked at before any column is read whole. Enough for columns filled in one row of twenty.
@@ -65,16 +73,13 @@ def early_values(
     bound = df.select(key.alias("k")).orderBy("k").limit(rows).agg(F.max("k")).scalar()
     # A null bound means that all of those rows have a null key, which sorts first.
     early = df.where(key.isNull() | (key <= bound)).orderBy(*order).limit(rows)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column_name"), F.when(present(f), as_text(f)).alias("value")
-            )
-            for f in scalar_fields(df, columns)
-        ]
+    cells = ", ".join(
+        f"struct({text_sql(f.name)} as column_name, case when {present_sql(f)} then {as_text_sql(f)} end as value)"
+        for f in scalar_fields(df, columns)
     )
     keys = [f"k{i}" for i in range(len(order))]
-    long = early.select(F.inline(cells), *[c.alias(k) for c, k in zip(order, keys)])
+    named = [f"{name_sql(c)} as {k}" for c, k in zip(order_by, keys)]
+    long = early.selectExpr(f"inline(array({cells}))", *named)
     return _numbered(long, ["value is null", *keys])
 
 
@@ -101,11 +106,11 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
 def _first_of(df: DataFrame, order_by: tuple[str, ...], field: T.StructField, n: int) -> DataFrame:
     keys = [f"k{i}" for i in range(len(order_by))]
     found = (
-        df.where(present(field))
-        .select(
-            F.lit(field.name).alias("column_name"),
-            as_text(field).alias("value"),
-            *[quoted(c).alias(k) for c, k in zip(order_by, keys)],
+        df.where(present_sql(field))
+        .selectExpr(
+            f"{text_sql(field.name)} as column_name",
+            f"{as_text_sql(field)} as value",
+            *[f"{name_sql(c)} as {k}" for c, k in zip(order_by, keys)],
         )
         .orderBy(*keys)
         .limit(n)
@@ -120,28 +125,27 @@ def sample_shapes(sample: DataFrame, keys: tuple[str, ...] = ("column_name",)) -
 
 def shape_tests() -> list[Column]:
     """Aggregates `is_phone` and `is_date` over the column `value`."""
-    value = F.col("value")
     return [
-        F.bool_or(is_phone_value(value)).alias("is_phone"),
-        F.bool_or(is_date_value(value)).alias("is_date"),
+        F.expr(f"bool_or({is_phone_value_sql('value')}) as is_phone"),
+        F.expr(f"bool_or({is_date_value_sql('value')}) as is_date"),
     ]
 
 
-def typed_shapes(field: T.StructField) -> tuple[Column, Column]:
+def typed_shapes_sql(field: T.StructField) -> tuple[str, str]:
     """Whether a value has phone shape and date shape; null where it is empty.
 
-    The type spares most pattern tests: a whole number has phone shape from seven digits on, no
+    The type spares most pattern tests: a whole number has phone shape from seven digits on, and no
     number has the two separators of a date.
     """
-    filled, text = present(field), as_text(field)
+    value, text = name_sql(field.name), as_text_sql(field)
     if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        value = quoted(field.name)
-        phone, date = (value >= 1000000) | (value <= -1000000), F.lit(False)
+        phone, date = f"({value} >= 1000000 or {value} <= -1000000)", "false"
     elif isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-        phone, date = (F.char_length(text) > 7) & is_phone_value(text), F.lit(False)
+        phone, date = f"(char_length({text}) > 7 and {is_phone_value_sql(text)})", "false"
     else:
-        phone, date = is_phone_value(text), is_date_value(text)
-    return F.when(filled, phone), F.when(filled, date)
+        phone, date = is_phone_value_sql(text), is_date_value_sql(text)
+    filled = present_sql(field)
+    return f"case when {filled} then {phone} end", f"case when {filled} then {date} end"
 
 
 def scan_shapes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -150,18 +154,11 @@ def scan_shapes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     fields = scalar_fields(df, columns)
     if not fields:
         return sample_shapes(_nothing(df))
-    tests = []
+    tests, cells = [], []
     for i, f in enumerate(fields):
-        phone, date = typed_shapes(f)
-        tests += [F.bool_or(phone).alias(f"phone_{i}"), F.bool_or(date).alias(f"date_{i}")]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.col(f"phone_{i}").alias("is_phone"),
-                F.col(f"date_{i}").alias("is_date"),
-            )
-            for i, f in enumerate(fields)
-        ]
-    )
-    return df.agg(*tests).select(F.inline(cells)).where("is_phone is not null")
+        phone, date = typed_shapes_sql(f)
+        tests += [F.expr(f"bool_or({phone}) as phone_{i}"), F.expr(f"bool_or({date}) as date_{i}")]
+        cells.append(
+            f"struct({text_sql(f.name)} as column_name, phone_{i} as is_phone, date_{i} as is_date)"
+        )
+    return df.agg(*tests).selectExpr(f"inline(array({', '.join(cells)}))").where("is_phone is not null")

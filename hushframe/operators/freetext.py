@@ -28,12 +28,9 @@ def tokens(df: DataFrame, columns: list[str], min_length: int = MIN_TOKEN_LENGTH
     words = [
         F.when(clean(df.schema[c], TEXT_MISSING_CODES), F.split(quoted(c), " ")) for c in columns
     ]
-    return (
-        df.select(F.explode(F.array(*words)).alias("words"))
-        .select(F.explode("words").alias("token"))
-        .where(F.char_length("token") >= min_length)
-        .distinct()
-    )
+    each = words[0] if len(words) == 1 else F.flatten(F.array_compact(F.array(*words)))
+    said = df.select(F.explode(each).alias("token"))
+    return said.where(F.char_length("token") >= min_length).distinct()
 
 
 def phone_tokens(found: DataFrame) -> DataFrame:

@@ -14,7 +14,15 @@ from hushframe.fixed_values import (
     SPARSE_ENTRY_RATIO,
     SPARSE_STRING_RATIO,
 )
-from hushframe.functions.values import clean, distinct_keys, is_scalar, is_text, quoted
+from hushframe.functions.values import (
+    clean,
+    clean_sql,
+    distinct_keys_sql,
+    is_scalar,
+    is_text,
+    name_sql,
+    quoted,
+)
 from hushframe.session import rows_frame
 
 def scalar_fields(df: DataFrame, columns: list[str] | None = None) -> list[T.StructField]:
@@ -34,9 +42,8 @@ def sparsity_profile(
 ) -> DataFrame:
     """Count of clean values, of distinct clean values, and their ratio, per column.
 
-    Exact mode reads every column by a scan of its own and counts all columns of all tables in one
-    grouping, whose map side folds repeated values before the shuffle. Counting inside one scan
-    would instead copy every row once per column.
+    Exact mode turns the cells of all tables into rows of (column, value), keeping the value's type,
+    and counts them in one grouping, whose map side folds repeated values before the shuffle.
 
     Approximate mode estimates all columns of a table in one pass without a shuffle of values and
     counts exactly only the columns whose estimate lies near one of the two thresholds.
@@ -69,6 +76,10 @@ def sparsity_profile(
     )
 
 
+# Few columns per scan keep the rows of one scan few; few scans per table keep the tasks few.
+_COLUMNS_PER_SCAN = 4
+_SCANS_PER_TABLE = 8
+
 _LISTED_SCHEMA = "id int, table_name string, column_name string, is_text boolean"
 _COUNTED_SCHEMA = "id int, n_values bigint, n_distinct bigint"
 
@@ -76,13 +87,14 @@ _COUNTED_SCHEMA = "id int, n_values bigint, n_distinct bigint"
 def _exact(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]]) -> DataFrame | None:
     if not fields:
         return None
-    scans = [
-        tables[t].where(clean(f)).select(F.lit(i).alias("id"), *distinct_keys(f))
-        for i, (t, f) in enumerate(fields)
-    ]
+    scans = []
+    for table, df in tables.items():
+        own = [(i, f) for i, (t, f) in enumerate(fields) if t == table]
+        group = max(_COLUMNS_PER_SCAN, -(-len(own) // _SCANS_PER_TABLE))
+        scans += [_cells(df, own[k : k + group]) for k in range(0, len(own), group)]
     per_value = (
         reduce(DataFrame.unionAll, scans)
-        .groupBy("id", "whole", "fraction", "bytes")
+        .groupBy("id", "whole", "fraction", "moment", "bytes")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return per_value.groupBy("id").agg(
@@ -90,6 +102,16 @@ def _exact(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]]
     )
 
 
+def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """The clean values of some columns, one row per value."""
+    cells = []
+    for i, f in fields:
+        keys = ", ".join(f"{key} as {name}" for name, key in distinct_keys_sql(f).items())
+        cells.append(f"case when {clean_sql(f)} then struct({i} as id, {keys}) end")
+    # An unclean cell is a null struct, which inline turns into a row of nulls.
+    return df.selectExpr(f"inline(array({', '.join(cells)}))").where("id is not null")
+
+
 def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]]) -> DataFrame | None:
     rows, near = [], []
     for table, df in tables.items():
@@ -98,10 +120,10 @@ def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructF
             continue
         estimates = []
         for i, f in own:
-            value = F.when(clean(f), quoted(f.name))
+            value = f"case when {clean_sql(f)} then {name_sql(f.name)} end"
             estimates += [
-                F.count(value).alias(f"n_{i}"),
-                F.approx_count_distinct(value, 0.02).alias(f"d_{i}"),
+                F.expr(f"count({value}) as n_{i}"),
+                F.expr(f"approx_count_distinct({value}, 0.02) as d_{i}"),
             ]
         seen = df.agg(*estimates).first()
         for i, f in own:

@@ -74,26 +74,26 @@ def _replace(df: DataFrame, column: str, text: Column, codes: DataFrame) -> Data
     """Left join of `df` to the codes of one column, without sending a hot value to one task.
 
     Hot values (at most 1000) are looked up by a broadcast join. Their rows, and rows with null,
-    need no second lookup: they take the number of their input partition as second join key and so
-    spread over all tasks of the shuffle.
+    need no second lookup: instead of a value they take the number of their input partition as join
+    key, which no value equals, and so spread over all tasks of the shuffle.
     """
     hot = codes.where("is_hot").select(
         F.col("original_value").alias("__hot_value"), F.col("encoded_value").alias("__hot_code")
     )
     rest = codes.where("not is_hot").select(
-        F.col("original_value").alias("__value"),
-        F.lit(0).alias("__spread"),
+        F.concat(F.lit("v"), F.col("original_value")).alias("__key"),
         F.col("encoded_value").alias("__code"),
     )
     marked = df.withColumn("__text", text).join(
         F.broadcast(hot), F.col("__text") == F.col("__hot_value"), "left"
     )
-    open_value = F.when(F.col("__hot_code").isNull(), F.col("__text"))
-    spread = F.when(F.col("__value").isNull(), F.spark_partition_id()).otherwise(F.lit(0))
-    keyed = marked.withColumn("__value", open_value).withColumn("__spread", spread)
+    looked_up = F.col("__hot_code").isNull() & F.col("__text").isNotNull()
+    key = F.when(looked_up, F.concat(F.lit("v"), "__text")).otherwise(
+        F.concat(F.lit("p"), F.spark_partition_id().cast("string"))
+    )
     code = F.coalesce("__hot_code", "__code")
     kept = [code.alias(c) if c == column else quoted(c) for c in df.columns]
-    return keyed.join(rest, ["__value", "__spread"], "left").select(kept)
+    return marked.withColumn("__key", key).join(rest, "__key", "left").select(kept)
 
 
 def decode_value_labels(df: DataFrame, columns: list[str], value_labels: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     for i, name in enumerate(text.columns):
         value = quoted(name)
         number = value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
-        whole = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()
+        digits = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()
+        whole = F.when(value.isNotNull(), digits)
         facts += [
             F.bool_and(number).alias(f"number_{i}"),
             F.bool_and(whole).alias(f"whole_{i}"),

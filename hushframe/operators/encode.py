@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import keyed_sha1
 from hushframe.functions.values import quoted
+from hushframe.session import broadcast_if_small
 
 # The first hex digits of a hash are uniform, so they cut the values into this many equal ranges.
 _RANGE_DIGITS = 3
@@ -97,10 +98,7 @@ def _replace(df: DataFrame, column: str, text: Column, codes: DataFrame) -> Data
 
 
 def decode_value_labels(df: DataFrame, columns: list[str], value_labels: DataFrame) -> DataFrame:
-    """Replace labelled codes by their label text; codes without a label become null.
-
-    Each column's labels are the few texts of a questionnaire item; their size decides the join.
-    """
+    """Replace labelled codes by their label text; codes without a label become null."""
     for column in columns:
         labels = (
             value_labels.where(F.col("column_name") == column)
@@ -108,6 +106,7 @@ def decode_value_labels(df: DataFrame, columns: list[str], value_labels: DataFra
             .agg(F.max("label").alias("__label"))
         )
         kept = [F.col("__label").alias(c) if c == column else quoted(c) for c in df.columns]
+        labels = broadcast_if_small(labels, ["__label"])
         df = df.join(labels, quoted(column) == F.col("__code"), "left").select(kept)
     return df
 

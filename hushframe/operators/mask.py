@@ -6,13 +6,12 @@ anywhere in the text and respecting case. They differ only in how many words the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
-from hushframe.functions.values import quoted
+from hushframe.functions.values import name_sql, quoted, text_sql
+from hushframe.session import broadcast_if_small, settle
 
 # Words are found in tokens by their first characters; longer words are checked by the replacement.
 _ANCHOR = 32
@@ -48,61 +47,89 @@ def mask_found_words(
     tokens only: the substrings of a token are joined with the words. The tokens with a hit lead
     back to the rows (`row_key` must identify a row), and each row replaces the words it contains.
     Words with spaces are searched by their longest part without one.
+
+    The words and the tokens with a hit are settled, so that their sizes decide the joins.
     """
-    listed = words.select("word").where("word <> ''").distinct()
-    parts = F.filter(F.split("word", " "), lambda p: p != "")
-    longest_part = F.array_sort(
-        F.transform(parts, lambda p: F.struct((-F.char_length(p)).alias("n"), p.alias("part")))
-    )[0]["part"]
-    anchored = listed.withColumn("anchor", F.substring(longest_part, 1, _ANCHOR))
-    # at most _ANCHOR numbers
-    lengths = anchored.agg(F.array_sort(F.collect_set(F.char_length("anchor")))).scalar()
-
-    def cells_of(name: str) -> Column:
-        cell = lambda token: F.struct(F.lit(name).alias("column_name"), token.alias("token"))
-        return F.transform(F.array_distinct(F.split(quoted(name), " ")), cell)
-
-    used = (
-        df.select(quoted(row_key).alias("__row"), F.explode(F.array(*[cells_of(c) for c in columns])).alias("cells"))
-        .select("__row", F.inline("cells"))
-        .where("token <> ''")
-    )
-    pieces = (
-        used.select("token")
+    anchored = settle(_anchored(words))
+    # at most _ANCHOR different numbers
+    lengths = sorted(r.n for r in anchored.select(F.char_length("anchor").alias("n")).distinct().collect())
+    if not lengths:
+        return df
+    used = _tokens_by_row(df, row_key, columns)
+    found = (
+        _substrings(used.select("token").distinct(), lengths)
+        .join(broadcast_if_small(anchored, ["word", "anchor"]), "anchor")
+        .select("token_key", "word")
         .distinct()
-        .withColumn("lengths", lengths)
-        .selectExpr(
-            "token",
-            "lengths",
-            f"explode(transform(sequence(1, char_length(token), {_PIECE}),"
-            f" s -> substring(token, s, {_PIECE + _ANCHOR - 1}))) as piece",
-        )
-        .selectExpr(
-            "token",
-            """explode(array_distinct(flatten(transform(sequence(1, char_length(piece)), i ->
-                 transform(filter(lengths, n -> n <= char_length(piece) - i + 1),
-                           n -> substring(piece, i, n)))))) as anchor""",
-        )
     )
-    hits = pieces.join(anchored, "anchor").select("token", "word").distinct()
+    hits = broadcast_if_small(settle(found), ["token_key", "word"])
     # The words of a row are parts of its own text, so the list is never longer than the text.
     by_size = F.expr(
         "transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)"
     )
-    per_row = used.join(hits, "token").groupBy("__row", "column_name").agg(by_size.alias("words"))
-    wide = per_row.groupBy("__row").agg(
-        *[
-            F.first(F.when(F.col("column_name") == c, F.col("words")), True).alias(f"__words_{i}")
-            for i, c in enumerate(columns)
-        ]
+    per_cell = (
+        used.select("row", "column_name", _token_key().alias("token_key"))
+        .join(hits, "token_key")
+        .groupBy("row", "column_name")
+        .agg(by_size.alias("words"))
+    )
+    names = {c: f"__words_{i}" for i, c in enumerate(columns)}
+    per_row = per_cell.groupBy(F.col("row").alias("__row")).agg(
+        *[F.first(F.when(F.col("column_name") == c, F.col("words")), True).alias(n) for c, n in names.items()]
     )
 
-    def hidden(i: int, name: str) -> Column:
-        found = F.col(f"__words_{i}")
-        inside = F.filter(found, lambda word: F.contains(quoted(name), word))
-        return F.when(found.isNull(), quoted(name)).otherwise(_masked(quoted(name), inside, mask)).alias(name)
+    def hidden(name: str) -> Column:
+        found_words, text = F.col(names[name]), quoted(name)
+        inside = F.filter(found_words, lambda word: F.contains(text, word))
+        return F.when(found_words.isNull(), text).otherwise(_masked(text, inside, mask)).alias(name)
+
+    joined = df.join(per_row, quoted(row_key) == F.col("__row"), "left")
+    return joined.select([hidden(c) if c in names else quoted(c) for c in df.columns])
+
 
-    joined = df.join(wide, quoted(row_key) == F.col("__row"), "left")
-    return joined.select(
-        [hidden(columns.index(c), c) if c in columns else quoted(c) for c in df.columns]
+def _anchored(words: DataFrame) -> DataFrame:
+    """Distinct words with the part by which they are searched."""
+    return (
+        words.select("word")
+        .where("trim(word) <> ''")
+        .distinct()
+        .withColumn("parts", F.expr("filter(split(word, ' '), p -> p <> '')"))
+        .withColumn("longest", F.expr("array_sort(transform(parts, p -> struct(-char_length(p) as n, p)))[0].p"))
+        .select("word", F.substring("longest", 1, _ANCHOR).alias("anchor"))
+    )
+
+
+def _tokens_by_row(df: DataFrame, row_key: str, columns: list[str]) -> DataFrame:
+    """Rows (row, column_name, token), each token once per cell."""
+    cells = ", ".join(
+        f"struct({text_sql(c)} as column_name, array_distinct(split({name_sql(c)}, ' ')) as tokens)"
+        for c in columns
+    )
+    return (
+        df.selectExpr(f"{name_sql(row_key)} as row", f"inline(array({cells}))")
+        .select("row", "column_name", F.explode("tokens").alias("token"))
+        .where("token <> ''")
+    )
+
+
+def _token_key() -> Column:
+    """The token itself, or the digest of a long one: what is joined instead of long tokens."""
+    return F.expr("case when octet_length(token) < 64 then token else sha2(token, 256) end")
+
+
+def _substrings(tokens: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (token_key, anchor): all parts of each token that have the length of an anchor."""
+    listed = ", ".join(str(n) for n in lengths)
+    return (
+        tokens.select(
+            _token_key().alias("token_key"),
+            F.expr(
+                f"explode(transform(sequence(1, char_length(token), {_PIECE}),"
+                f" s -> substring(token, s, {_PIECE + _ANCHOR - 1})))"
+            ).alias("piece"),
+        )
+        .selectExpr("token_key", "piece", "explode(sequence(1, char_length(piece))) as start")
+        .selectExpr("token_key", "piece", "start", f"explode(array({listed})) as n")
+        .where("n <= char_length(piece) - start + 1")
+        .selectExpr("token_key", "substring(piece, start, n) as anchor")
     )

@@ -22,6 +22,7 @@ from hushframe.functions.values import (
     is_text,
     name_sql,
     quoted,
+    sketched_sql,
 )
 from hushframe.session import rows_frame
 
@@ -121,9 +122,10 @@ def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructF
         estimates = []
         for i, f in own:
             value = f"case when {clean_sql(f)} then {name_sql(f.name)} end"
+            printed = f"case when {clean_sql(f)} then {sketched_sql(f)} end"
             estimates += [
                 F.expr(f"count({value}) as n_{i}"),
-                F.expr(f"approx_count_distinct({value}, 0.02) as d_{i}"),
+                F.expr(f"hll_sketch_estimate(hll_sketch_agg({printed}, 12)) as d_{i}"),
             ]
         seen = df.agg(*estimates).first()
         for i, f in own:

@@ -38,14 +38,27 @@ def _session(surveys: list[Survey]):
     return surveys[0].data.sparkSession
 
 
-def _named(surveys: list[Survey], part: str) -> DataFrame | None:
-    """The labels (or value labels) of all tables as one frame with `table_name`."""
+def _labels(surveys: list[Survey]) -> DataFrame | None:
+    """The labels of all tables as one frame with `table_name`."""
+    frames = [s.labels.withColumn("table_name", F.lit(s.name)) for s in surveys if s.labels is not None]
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+
+
+def _many_value_labels(surveys: list[Survey]) -> DataFrame | None:
+    """Columns with many value labels; a frame that several tables share is counted once."""
+    shared: dict[int, list[Survey]] = {}
+    for s in surveys:
+        if s.value_labels is not None:
+            shared.setdefault(id(s.value_labels), []).append(s)
     frames = [
-        getattr(s, part).withColumn("table_name", F.lit(s.name))
-        for s in surveys
-        if getattr(s, part) is not None
+        profile.many_value_labels(users[0].value_labels).select(
+            F.explode(F.array(*[F.lit(s.name) for s in users])).alias("table_name"),
+            "column_name",
+            "n_labels",
+        )
+        for users in shared.values()
     ]
-    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+    return reduce(DataFrame.unionAll, frames) if frames else None
 
 
 def _open_catalog(surveys: list[Survey], columns: Open) -> DataFrame:
@@ -94,7 +107,7 @@ def by_name(
         dictionary = word_lists.effective_dictionary(groups, with_locations)
     # Hits are metadata: they decide which columns are read at all.
     hit_rows = (
-        catalog.match_words(_open_catalog(surveys, columns), dictionary, _named(surveys, "labels"))
+        catalog.match_words(_open_catalog(surveys, columns), dictionary, _labels(surveys))
         .select("table_name", "column_name", "word", "match_kind", "matched_on", "is_text")
         .collect()
     )
@@ -110,11 +123,11 @@ def by_name(
     seen = profile.sparsity_profile({s.name: s.data for s in surveys}, to_profile)
     sparse = profile.sparse_strings(seen).select(*keys, F.lit(True).alias("sparse"))
     hits = hits.join(sparse, keys, "left")
-    value_labels = _named(surveys, "value_labels")
-    if value_labels is None:
+    labelled = _many_value_labels(surveys)
+    if labelled is None:
         hits = hits.withColumn("n_labels", F.lit(None))
     else:
-        hits = hits.join(profile.many_value_labels(value_labels), keys, "left")
+        hits = hits.join(labelled, keys, "left")
     rule = (
         F.when((F.col("match_kind") == "fuzzy") & F.col("sparse"), 1)
         .when((F.col("match_kind") == "fuzzy") & F.col("n_labels").isNotNull(), 2)
@@ -156,7 +169,7 @@ def by_location(
     """
     columns = columns or all_columns(surveys)
     words = word_lists.location_dictionary(word_lists.word_groups(_session(surveys)))
-    hits = catalog.match_words(_open_catalog(surveys, columns), words, _named(surveys, "labels"))
+    hits = catalog.match_words(_open_catalog(surveys, columns), words, _labels(surveys))
     keys = ["table_name", "column_name"]
     first_hit = F.struct("position", (F.col("matched_on") == "label").alias("on_label"), "word", "match_kind", "matched_on")
     # one row per column with a location word

@@ -1,4 +1,4 @@
-"""Session helpers: small driver-side tables and cutting lineage."""
+"""Session helpers: small driver-side tables, cutting lineage, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -38,3 +39,18 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="hushframe-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+_BROADCAST_ROWS = 500_000
+_BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, text_columns: list[str]) -> DataFrame:
+    """Mark a stored or settled frame for broadcasting if its measured size allows it.
+
+    Otherwise the frame is returned as it is, and the join shuffles both sides.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in text_columns), F.lit(0))
+    measured = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    small = measured["n"] <= _BROADCAST_ROWS and measured["b"] <= _BROADCAST_BYTES
+    return F.broadcast(df) if small else df

@@ -121,6 +121,14 @@ def distinct_keys_sql(field: T.StructField) -> dict[str, str]:
     return keys
 
 
+def short_key_sql(text: str) -> str:
+    """The text itself, or the digest of a long one: a join key of at most 64 bytes.
+
+    A digest has 64 characters and is never equal to a shorter text.
+    """
+    return f"(case when octet_length({text}) < 64 then {text} else sha2({text}, 256) end)"
+
+
 def sketched_sql(field: T.StructField) -> str:
     """The value in a type that distinct-count sketches take."""
     value = name_sql(field.name)

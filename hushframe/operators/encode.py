@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import keyed_sha1
-from hushframe.functions.values import quoted
+from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
 from hushframe.session import broadcast_if_small
 
 # The first hex digits of a hash are uniform, so they cut the values into this many equal ranges.
@@ -17,12 +17,23 @@ _RANGE_DIGITS = 3
 _HOT_SHARE = 0.001
 
 
-def encoding_map(df: DataFrame, columns: list[str], secret_key: str) -> DataFrame:
+def _value_text(column: str, number_formats: dict[str, str] | None) -> str:
+    """The value as text: in its printf format if one is given, else as Spark prints it."""
+    name = name_sql(column)
+    if number_formats and column in number_formats:
+        return f"case when {name} is not null then format_string({text_sql(number_formats[column])}, {name}) end"
+    return f"cast({name} as string)"
+
+
+def encoding_map(
+    df: DataFrame, columns: list[str], secret_key: str, number_formats: dict[str, str] | None = None
+) -> DataFrame:
     """Rows (variable, original_value, encoded_value, is_hot) for the given columns.
 
-    Values are taken as text; nulls have no code. The rank is not computed by one global sort: the
-    leading digits of the hash name a range, ranges are counted (at most 4096 per column) and summed
-    up in order, and each range is sorted on its own.
+    Values are taken as text, numbers in their display format where `number_formats` names one;
+    nulls have no code. The rank is not computed by one global sort: the leading digits of the hash
+    name a range, ranges are counted (at most 4096 per column) and summed up in order, and each range
+    is sorted on its own.
 
     Write the map to a protected place and read it back before `encode` uses it (`sinks`): that
     keeps the published map and the published codes the same and spares a second ranking.
@@ -30,12 +41,10 @@ def encoding_map(df: DataFrame, columns: list[str], secret_key: str) -> DataFram
     values = reduce(
         DataFrame.unionAll,
         [
-            df.where(quoted(c).isNotNull()).select(
-                F.lit(c).alias("variable"), quoted(c).cast("string").alias("original_value")
-            )
+            df.selectExpr(f"{text_sql(c)} as variable", f"{_value_text(c, number_formats)} as original_value")
             for c in columns
         ],
-    )
+    ).where("original_value is not null")
     hashed = (
         values.groupBy("variable", "original_value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -63,34 +72,35 @@ def encoding_map(df: DataFrame, columns: list[str], secret_key: str) -> DataFram
     )
 
 
-def encode(df: DataFrame, columns: list[str], mapping: DataFrame) -> DataFrame:
+def encode(
+    df: DataFrame, columns: list[str], mapping: DataFrame, number_formats: dict[str, str] | None = None
+) -> DataFrame:
     """Replace the values of `columns` by their codes in `mapping`; null stays null."""
     for column in columns:
         codes = mapping.where(F.col("variable") == column)
-        df = _replace(df, column, quoted(column).cast("string"), codes)
+        df = _replace(df, column, short_key_sql(_value_text(column, number_formats)), codes)
     return df
 
 
-def _replace(df: DataFrame, column: str, text: Column, codes: DataFrame) -> DataFrame:
+def _replace(df: DataFrame, column: str, value_key: str, codes: DataFrame) -> DataFrame:
     """Left join of `df` to the codes of one column, without sending a hot value to one task.
 
-    Hot values (at most 1000) are looked up by a broadcast join. Their rows, and rows with null,
-    need no second lookup: instead of a value they take the number of their input partition as join
-    key, which no value equals, and so spread over all tasks of the shuffle.
+    Values are joined by their short key, so that long texts are not shuffled. Hot values (at most
+    1000, with keys of at most 64 bytes) are looked up by a broadcast join. Their rows, and rows with
+    null, need no second lookup: instead of a value they take the number of their input partition as
+    join key, which no value equals, and so spread over all tasks of the shuffle.
     """
-    hot = codes.where("is_hot").select(
-        F.col("original_value").alias("__hot_value"), F.col("encoded_value").alias("__hot_code")
-    )
+    stored_key = F.expr(short_key_sql("original_value"))
+    hot = codes.where("is_hot").select(stored_key.alias("__hot"), F.col("encoded_value").alias("__hot_code"))
     rest = codes.where("not is_hot").select(
-        F.concat(F.lit("v"), F.col("original_value")).alias("__key"),
-        F.col("encoded_value").alias("__code"),
+        F.concat(F.lit("v"), stored_key).alias("__key"), F.col("encoded_value").alias("__code")
     )
-    marked = df.withColumn("__text", text).join(
-        F.broadcast(hot), F.col("__text") == F.col("__hot_value"), "left"
+    marked = df.withColumn("__value", F.expr(value_key)).join(
+        F.broadcast(hot), F.col("__value") == F.col("__hot"), "left"
     )
-    looked_up = F.col("__hot_code").isNull() & F.col("__text").isNotNull()
-    key = F.when(looked_up, F.concat(F.lit("v"), "__text")).otherwise(
-        F.concat(F.lit("p"), F.spark_partition_id().cast("string"))
+    key = F.expr(
+        "case when __hot_code is null and __value is not null then concat('v', __value)"
+        " else concat('p', cast(spark_partition_id() as string)) end"
     )
     code = F.coalesce("__hot_code", "__code")
     kept = [code.alias(c) if c == column else quoted(c) for c in df.columns]

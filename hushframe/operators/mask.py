@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
-from hushframe.functions.values import name_sql, quoted, text_sql
+from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
 from hushframe.session import broadcast_if_small, settle
 
 # Words are found in tokens by their first characters; longer words are checked by the replacement.
@@ -68,7 +68,7 @@ def mask_found_words(
         "transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)"
     )
     per_cell = (
-        used.select("row", "column_name", _token_key().alias("token_key"))
+        used.select("row", "column_name", F.expr(short_key_sql("token")).alias("token_key"))
         .join(hits, "token_key")
         .groupBy("row", "column_name")
         .agg(by_size.alias("words"))
@@ -112,17 +112,12 @@ def _tokens_by_row(df: DataFrame, row_key: str, columns: list[str]) -> DataFrame
     )
 
 
-def _token_key() -> Column:
-    """The token itself, or the digest of a long one: what is joined instead of long tokens."""
-    return F.expr("case when octet_length(token) < 64 then token else sha2(token, 256) end")
-
-
 def _substrings(tokens: DataFrame, lengths: list[int]) -> DataFrame:
     """Rows (token_key, anchor): all parts of each token that have the length of an anchor."""
     listed = ", ".join(str(n) for n in lengths)
     return (
         tokens.select(
-            _token_key().alias("token_key"),
+            F.expr(short_key_sql("token")).alias("token_key"),
             F.expr(
                 f"explode(transform(sequence(1, char_length(token), {_PIECE}),"
                 f" s -> substring(token, s, {_PIECE + _ANCHOR - 1})))"

@@ -89,6 +89,25 @@ def _word_reason(tail: Column) -> Column:
     return F.concat(start, tail)
 
 
+def by_system(surveys: list[Survey], columns: Open | None = None) -> DataFrame:
+    """Columns that the survey platform adds by itself, ignoring case."""
+    system = word_lists.system_columns(_session(surveys))
+    flagged = catalog.flag_system_columns(_open_catalog(surveys, columns or all_columns(surveys)), system)
+    return flagged.select(
+        _finding("system", F.lit(fixed.REASON_SYSTEM), match_kind=F.lit("strict"), matched_on=F.lit("name"))
+    )
+
+
+def remaining_columns(columns: Open, findings: DataFrame) -> Open:
+    """The open columns that no finding names."""
+    found = {(r.table_name, r.column_name) for r in findings.select("table_name", "column_name").collect()}
+    return _without(columns, found)
+
+
+def _without(columns: Open, found: set[tuple[str, str]]) -> Open:
+    return {t: [c for c in names if (t, c) not in found] for t, names in columns.items()}
+
+
 def by_name(
     surveys: list[Survey],
     columns: Open | None = None,
@@ -316,6 +335,26 @@ def _batches(columns: Open):
         yield batch
 
 
+def searched_columns(surveys: list[Survey], exclude_system: bool = True) -> Open:
+    """The columns a cascade starts from: all, or all but those of the survey platform."""
+    system = set(fixed.SURVEY_SYSTEM_STRICT) if exclude_system else set()
+    return {s.name: [c for c in s.data.columns if c not in system] for s in surveys}
+
+
+def cascade_with_free_text(
+    survey: Survey, stopwords: DataFrame, names: DataFrame, gazetteer: DataFrame, exclude_system: bool = True, **lookups
+) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """The cascade with a search of open text as its last step instead of sparse entries.
+
+    Returns the findings, the open-text columns among the columns left, and the personal words in
+    them (see `by_free_text`).
+    """
+    findings = cascade([survey], exclude_system, sparsity=False)
+    left = remaining_columns(searched_columns([survey], exclude_system), findings)[survey.name]
+    columns, words = by_free_text(survey, left, stopwords, names, gazetteer, **lookups)
+    return findings, columns, words
+
+
 def cascade(
     surveys: list[Survey],
     exclude_system: bool = True,
@@ -332,9 +371,8 @@ def cascade(
     do not read it. With a gazetteer the location words leave the name detector. `sparsity=False`
     leaves out the last step, for tables whose open text is searched word by word instead.
     """
-    system = set(fixed.SURVEY_SYSTEM_STRICT) if exclude_system else set()
     data = {s.name: s for s in surveys}
-    columns = {s.name: [c for c in s.data.columns if c not in system] for s in surveys}
+    columns = searched_columns(surveys, exclude_system)
     steps = [lambda part, open_: by_name(part, open_, with_locations=gazetteer is None)]
     if gazetteer is not None:
         steps.append(lambda part, open_: by_location(part, gazetteer, country, open_, second_source))
@@ -345,8 +383,7 @@ def cascade(
     for step in steps:
         for batch in _batches(columns):
             found += [tuple(r) for r in step([data[t] for t in batch], batch).collect()]
-        done = {(row[0], row[1]) for row in found}
-        columns = {t: [c for c in names if (t, c) not in done] for t, names in columns.items()}
+        columns = _without(columns, {(row[0], row[1]) for row in found})
     return rows_frame(_session(surveys), found, FINDING_SCHEMA)
 
 

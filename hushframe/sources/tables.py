@@ -30,23 +30,28 @@ class Survey:
     order_by: tuple[str, ...] = field(default=())
 
 
-def read_table(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
-    """Read a table by its file ending (or by `file_format` for folders without one)."""
+def read_table(
+    spark: SparkSession, path: str, file_format: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read a table by its file ending (or by `file_format` for folders without one).
+
+    `multi_line=False` is for CSV files without line breaks inside quotes: they can be split.
+    """
     ending = file_format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending not in FORMATS:
         raise ValueError(f"unsupported file type {ending!r}; supported: {', '.join(sorted(FORMATS))}")
     if ending == "csv":
-        return _read_csv(spark, path)
+        return _read_csv(spark, path, multi_line)
     return spark.read.format(FORMATS[ending]).load(path)
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """CSV with the NA spellings as null and columns typed as whole number, number or text.
 
     Types are decided over the whole file: Spark's own inference would take one null spelling only
     and would turn dates into timestamps, which flat-file readers leave as text.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     text = null_spellings(raw)
     if not text.columns:
         return text

@@ -53,6 +53,13 @@ def encode_numeric(spark, sf_dir):
     return encoded.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def encode_display_format(spark, sf_dir):
+    """Amounts are encoded as displayed, with two decimals."""
+    data, shown = table(spark, sf_dir, "part"), {"p_retailprice": "%.2f"}
+    mapping = settle(encode.encoding_map(data, ["p_retailprice"], SECRET_KEY, shown))
+    return encode.encode(data, ["p_retailprice"], mapping, shown).select("p_partkey", "p_retailprice")
+
+
 def encode_text(spark, sf_dir):
     """Long texts with many copies of each other."""
     return _encoded(spark, sf_dir, "documents", ["text"]).select("doc_id", "text")
@@ -145,6 +152,12 @@ LEFT JOIN a ON a.original_value = c.c_name LEFT JOIN b ON b.original_value = c.c
 SELECT o_orderkey, a.encoded_value AS o_custkey, b.encoded_value AS o_totalprice FROM orders o
 LEFT JOIN a ON a.original_value = CAST(o.o_custkey AS VARCHAR)
 LEFT JOIN b ON b.original_value = CAST(o.o_totalprice AS VARCHAR)""",
+    ),
+    "encode_display_format": (
+        encode_display_format,
+        f"""WITH s AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS shown FROM part),
+  m AS ({_map_sql("s", "shown")})
+SELECT p_partkey, m.encoded_value AS p_retailprice FROM s LEFT JOIN m ON m.original_value = s.shown""",
     ),
     "encode_text": (
         encode_text,

@@ -9,6 +9,7 @@ from hushframe.operators import catalog, evaluate, formats, profile
 from hushframe.plans import actions, detect
 from hushframe.session import rows_frame
 from hushframe.sources import words
+from hushframe.sources.tables import Survey
 from workload.shared import (
     LABELS,
     ORDER,
@@ -108,9 +109,9 @@ def exclude_system_columns(spark, sf_dir):
 
 
 def flag_system_columns(spark, sf_dir):
-    return _system(spark, sf_dir, catalog.flag_system_columns).withColumn(
-        "reason", F.lit(fixed.REASON_SYSTEM)
-    )
+    counts = _system(spark, sf_dir, catalog.flag_system_columns)
+    found = detect.by_system([Survey("export", survey_export(spark, sf_dir))])
+    return counts.join(found.select("column_name", "reason"), "column_name")
 
 
 _EXPORT_KINDS = {"event_type": "text", "props": "text"}

@@ -8,6 +8,7 @@ from hushframe import fixed_values as fixed
 from hushframe.functions.values import word_list
 from hushframe.operators import freetext, mask
 from hushframe.plans import detect
+from hushframe.session import rows_frame
 from hushframe.sources.tables import Survey
 from workload.shared import PHONE_TOKEN_SQL, in_list, quote, table
 from workload.sources import STOP_SQL, stopwords
@@ -111,15 +112,10 @@ def text_pii_without_tags(spark, sf_dir):
 
 
 def free_text_search(spark, sf_dir):
-    """Picks the open-text columns of the conversations and finds the personal words in them."""
-    survey = Survey("conversations", table(spark, sf_dir, "conversations"))
-    columns, found = detect.by_free_text(
-        survey,
-        ["role", "text"],
-        stopwords(spark),
-        names(spark, sf_dir),
-        towns(spark, sf_dir),
-        country_iso="ke",
+    """Runs the cascade on the conversations, picks the open-text columns left, finds their words."""
+    survey = Survey("conversations", table(spark, sf_dir, "conversations"), order_by=("conv_id", "turn"))
+    _, columns, found = detect.cascade_with_free_text(
+        survey, stopwords(spark), names(spark, sf_dir), towns(spark, sf_dir), country_iso="ke"
     )
     return found.withColumn("columns", F.lit(" ".join(columns)))
 
@@ -188,8 +184,6 @@ def mask_conversations(spark, sf_dir):
 
 
 def _listed(spark):
-    from hushframe.session import rows_frame
-
     return rows_frame(spark, [(w,) for w in MASKED], "word string")
 
 

@@ -107,6 +107,10 @@ def distinct_keys_sql(field: T.StructField) -> dict[str, str]:
     }
     if isinstance(field.dataType, _INTEGRAL):
         keys["whole"] = f"cast({value} as bigint)"
+    elif isinstance(field.dataType, T.BooleanType):
+        keys["whole"] = f"cast(cast({value} as int) as bigint)"
+    elif isinstance(field.dataType, T.DateType):
+        keys["whole"] = f"cast(unix_date({value}) as bigint)"
     elif isinstance(field.dataType, T.TimestampType):
         keys["whole"] = f"unix_micros({value})"
     elif isinstance(field.dataType, T.TimestampNTZType):

@@ -11,8 +11,6 @@ from hushframe.functions.hashing import keyed_sha1
 from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
 from hushframe.session import broadcast_if_small
 
-# The first hex digits of a hash are uniform, so they cut the values into this many equal ranges.
-_RANGE_DIGITS = 3
 # A value is hot when it fills more than this share of a column, so at most 1000 values are hot.
 _HOT_SHARE = 0.001
 
@@ -26,14 +24,19 @@ def _value_text(column: str, number_formats: dict[str, str] | None) -> str:
 
 
 def encoding_map(
-    df: DataFrame, columns: list[str], secret_key: str, number_formats: dict[str, str] | None = None
+    df: DataFrame,
+    columns: list[str],
+    secret_key: str,
+    number_formats: dict[str, str] | None = None,
+    range_digits: int = 3,
 ) -> DataFrame:
     """Rows (variable, original_value, encoded_value, is_hot) for the given columns.
 
     Values are taken as text, numbers in their display format where `number_formats` names one;
-    nulls have no code. The rank is not computed by one global sort: the leading digits of the hash
-    name a range, ranges are counted (at most 4096 per column) and summed up in order, and each range
-    is sorted on its own.
+    nulls have no code. The rank is not computed by one global sort: hashes are uniform, so their
+    leading hex digits cut them into equal ranges. The ranges (4096 per column with three digits) are
+    counted and summed up in order, and each range is sorted on its own. A fourth digit makes ranges
+    a sixteenth as long, for columns with more than some billions of values.
 
     Write the map to a protected place and read it back before `encode` uses it (`sinks`): that
     keeps the published map and the published codes the same and spares a second ranking.
@@ -49,7 +52,9 @@ def encoding_map(
         values.groupBy("variable", "original_value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("hash", keyed_sha1(F.col("original_value"), secret_key))
-        .withColumn("range", F.substring("hash", 1, _RANGE_DIGITS))
+        # A range that cannot be null: otherwise the join below would add a null check, pushed down
+        # to the scan, that hashes every row instead of every value and hides the shared shuffle.
+        .withColumn("range", F.coalesce(F.substring("hash", 1, range_digits), F.lit("")))
     )
     sizes = hashed.groupBy("variable", "range").agg(
         F.count(F.lit(1)).alias("in_range"), F.sum("n").alias("rows_in_range")
@@ -60,7 +65,7 @@ def encoding_map(
         "sum(in_range) over (partition by variable order by range) - in_range as start",
         "sum(rows_in_range) over (partition by variable) as n_rows",
     )
-    # starts: at most 4096 rows per encoded column
+    # starts: at most 16 ** range_digits rows per encoded column
     return (
         hashed.join(F.broadcast(starts), ["variable", "range"])
         .selectExpr(

@@ -19,6 +19,7 @@ from hushframe.fixed_values import (
 from hushframe.functions.values import clean, is_phone_token, quoted
 from hushframe.operators.places import low_population_places, place_lookup
 from hushframe.session import settle
+from hushframe.sources.words import default_stopwords
 
 log = logging.getLogger(__name__)
 
@@ -81,7 +82,7 @@ def person_names(found: DataFrame, names: DataFrame, min_incidence: int = MIN_NA
 def personal_tokens(
     df: DataFrame,
     columns: list[str],
-    stopwords: DataFrame,
+    stopwords: DataFrame | None,
     names: DataFrame,
     gazetteer: DataFrame,
     country_iso: str | None = None,
@@ -100,6 +101,8 @@ def personal_tokens(
     look at all places first.
     """
     words = tokens(df, columns).withColumn("is_phone", is_phone_token(F.col("token")))
+    if stopwords is None:
+        stopwords = default_stopwords(df.sparkSession)
     stop = stopwords.select(F.col("word").alias("stop_word")).distinct()
     words = words.join(stop, (F.col("token") == F.col("stop_word")) & ~F.col("is_phone"), "left_anti")
     if token_tags is None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
 from hushframe.operators.encode import encode
-from hushframe.operators.mask import mask_words
+from hushframe.operators.mask import mask_found_words, mask_words
 
 ACTIONS = ("Drop", "Encode", "Keep")
 
@@ -47,25 +47,32 @@ def deidentify(
     actions: dict[str, str],
     encoding: DataFrame | None = None,
     text_columns: list[str] | None = None,
-    words: list[str] | None = None,
+    words: list[str] | DataFrame | None = None,
     mask: str = MASK,
+    row_key: str | None = None,
 ) -> DataFrame:
-    """Drop, then encode, then mask.
+    """Apply the actions, and mask `words` in those text columns that are kept as they are.
 
     `encoding` is the stored map of the columns to encode (`operators.encode.encoding_map`, written
-    and read back by `sinks.write_encoding_map`). Drop and mask are one projection; each encoded
-    column is one join with its map.
+    and read back by `sinks.write_encoding_map`). `words` is an edited list, or a DataFrame with the
+    column `word` for any number of words; the latter needs `row_key`, a column that identifies a row
+    (it may itself be dropped or encoded).
+
+    Drop and a word list are one projection; each encoded column is one join with its map.
     """
     to_drop = [c for c, action in actions.items() if action == "Drop"]
     to_encode = [c for c, action in actions.items() if action == "Encode"]
+    if to_encode and encoding is None:
+        raise ValueError(f"an encoding map is needed for {', '.join(to_encode)}")
+    masked = [c for c in text_columns or [] if c not in to_drop + to_encode]
+    if masked and isinstance(words, DataFrame):
+        if row_key is None:
+            raise ValueError("masking the words of a DataFrame needs row_key")
+        df = mask_found_words(df, row_key, masked, words, mask)
+    elif masked and words:
+        df = mask_words(df, masked, words, mask)
     kept = drop_columns(df, to_drop)
-    if to_encode:
-        if encoding is None:
-            raise ValueError(f"an encoding map is needed for {', '.join(to_encode)}")
-        kept = encode(kept, to_encode, encoding)
-    if text_columns and words:
-        kept = mask_words(kept, [c for c in text_columns if c in kept.columns], words, mask)
-    return kept
+    return encode(kept, to_encode, encoding) if to_encode else kept
 
 
 def plan_report(plan: DataFrame) -> DataFrame:

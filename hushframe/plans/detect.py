@@ -304,18 +304,24 @@ def by_sparsity(
 
 
 def by_free_text(
-    survey: Survey, columns: list[str], stopwords: DataFrame, names: DataFrame, gazetteer: DataFrame, **lookups
+    survey: Survey,
+    columns: list[str],
+    stopwords: DataFrame | None,
+    names: DataFrame,
+    gazetteer: DataFrame,
+    country: str | None = None,
+    **lookups,
 ) -> tuple[list[str], DataFrame | None]:
     """The sparse text columns among `columns`, and the personal words (token, kind) in them.
 
-    `lookups` are passed on to `freetext.personal_tokens`.
+    `lookups` (tags, language, second source) are passed on to `freetext.personal_tokens`.
     """
     seen = profile.sparsity_profile({survey.name: survey.data}, {survey.name: columns})
     chosen = [r.column_name for r in profile.sparse_strings(seen).select("column_name").collect()]
     if not chosen:
         return [], None
     return chosen, freetext.personal_tokens(
-        survey.data, chosen, stopwords, names, gazetteer, **lookups
+        survey.data, chosen, stopwords, names, gazetteer, fixed.COUNTRY_ISO.get(country), **lookups
     )
 
 
@@ -342,7 +348,12 @@ def searched_columns(surveys: list[Survey], exclude_system: bool = True) -> Open
 
 
 def cascade_with_free_text(
-    survey: Survey, stopwords: DataFrame, names: DataFrame, gazetteer: DataFrame, exclude_system: bool = True, **lookups
+    survey: Survey,
+    stopwords: DataFrame | None,
+    names: DataFrame,
+    gazetteer: DataFrame,
+    exclude_system: bool = True,
+    **lookups,
 ) -> tuple[DataFrame, list[str], DataFrame | None]:
     """The cascade with a search of open text as its last step instead of sparse entries.
 

@@ -270,3 +270,43 @@ def test_findings_view_shows_labels(spark):
     s = survey(spark)
     labels = {r.column_name: r.candidate for r in detect.findings_view(detect.by_name([s]), s.labels).collect()}
     assert labels["q1"] == "q1: Name of your mother" and labels["id"] == "id"
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_findings_do_not_depend_on_partitions(spark, partitions):
+    s = survey(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    expected = {tuple(r) for r in detect.cascade([s]).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        spread = Survey("s", s.data.repartition(partitions), s.labels, s.value_labels, s.order_by)
+        assert {tuple(r) for r in detect.cascade([spread]).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_system_columns_as_findings(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["KEY", "caseid", "age"])
+    found = detect.by_system([Survey("t", df)]).collect()
+    assert {(r.column_name, r.reason) for r in found} == {
+        ("KEY", "SurveyCTO variable"),
+        ("caseid", "SurveyCTO variable"),
+    }
+
+
+def test_columns_left_after_findings(spark):
+    s = survey(spark)
+    open_ = detect.searched_columns([s])
+    left = detect.remaining_columns(open_, detect.by_name([s]))["s"]
+    assert "key" not in open_["s"] and left == ["pet_name", "county"]
+
+
+def test_early_rows_bound_reaches_the_scan(spark, tmp_path):
+    """Only the row groups that can hold the first rows are read."""
+    path = str(tmp_path / "t")
+    data = spark.range(0, 200000, 1, 20).selectExpr("id as k", "concat('v', id) as v")
+    data.write.parquet(path)
+    early = formats.early_values(spark.read.parquet(path), ("k",))
+    assert early.count() == 400
+    plan = early._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(IsNull(k),LessThanOrEqual(k,ScalarSubquery" in plan

@@ -86,6 +86,36 @@ def test_decode_before_encode_and_strip(spark):
     assert encode.strip_value_labels(labels, ["code"]).collect() == [("other", 10, "x")]
 
 
+def test_values_are_hashed_once_and_grouped_once(spark):
+    """The hash is above the grouping, and the ranking and the range counts share one shuffle."""
+    mapping = encode.encoding_map(spark.range(100).selectExpr("cast(id as string) as v"), ["v"], KEY)
+    mapping.collect()
+    plan = mapping._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "Filter isnotnull(substring" not in plan
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_ranges_of_any_length_rank_alike(spark, digits):
+    df = spark.range(500).selectExpr("concat('v', id % 333) as v")
+    mapping = encode.encoding_map(df, ["v"], KEY, range_digits=digits)
+    codes = {r.original_value: r.encoded_value for r in mapping.collect()}
+    assert codes == expected_codes([f"v{i}" for i in range(333)])
+
+
+def test_long_hot_texts_are_encoded(spark):
+    long = "copy " * 5000
+    df = spark.range(3000).selectExpr("id", f"case when id % 3 = 0 then '{long}' else concat('{long}', id) end as t")
+    encoded = encode.encode(df, ["t"], settle(encode.encoding_map(df, ["t"], KEY)))
+    rows = {r.id: r.t for r in encoded.collect()}
+    assert len({rows[i] for i in range(0, 3000, 3)}) == 1 and len(set(rows.values())) == 2001
+
+
+def test_words_of_a_frame_need_a_row_key(spark):
+    words = spark.createDataFrame([("a",)], "word string")
+    with pytest.raises(ValueError, match="row_key"):
+        actions.deidentify(spark.createDataFrame([("a",)], ["t"]), {}, text_columns=["t"], words=words)
+
+
 def test_drop_checks_names(spark):
     with pytest.raises(ValueError, match="nope"):
         actions.drop_columns(spark.range(1), ["nope"])

@@ -155,7 +155,7 @@ def test_free_text_search(spark):
         "language string, token string, tag string",
     )
     survey = Survey("s", df)
-    lookups = dict(country_iso="mx")
+    lookups = dict(country="Mexico")
     columns, found = detect.by_free_text(survey, ["text"], stop, names_table(spark), gazetteer(spark), **lookups)
     assert columns == ["text"]
     # without tags punctuation stays: 'Ana,' and '(Ana)' are no names
@@ -260,3 +260,10 @@ def test_phone_shapes_of_tokens_match_python(spark):
     df = spark.createDataFrame([(t,) for t in items], "token string")
     expected = {t for t in items if re.match("|".join(fixed.PHONE_SHAPES), t)}
     assert {r.token for r in freetext.phone_tokens(df).collect()} == expected
+
+
+def test_shipped_stop_words_are_the_default(spark):
+    df = spark.createDataFrame([("the Ana los",)], "text string")
+    found = freetext.personal_tokens(df, ["text"], None, names_table(spark), gazetteer(spark))
+    # 'the' is a known name in the table, but a stop word first
+    assert {(r.token, r.kind) for r in found.collect()} == {("Ana", "name")}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import key_pads, keyed_sha1, plain_sha1
-from hushframe.operators import encode
+from hushframe.operators import encode, freetext
 from hushframe.plans import actions, detect
 from hushframe.session import rows_frame, settle
 from workload.shared import (
+    PHONE_TOKEN_SQL,
     SECRET_KEY,
     VALUE_LABELS_SQL,
     findings_ctes,
@@ -17,6 +18,7 @@ from workload.shared import (
     table,
     value_labels,
 )
+from workload.text import tokens_sql
 
 LONG_KEY = "a key that is longer than one block of the hash, so it is hashed before use " * 2
 
@@ -126,6 +128,15 @@ def apply_plan_with_mask(spark, sf_dir):
     return actions.deidentify(data, chosen, mapping, text_columns=["text"], words=["that", "thatin", "555-"])
 
 
+def apply_plan_with_found_words(spark, sf_dir):
+    """Open text whose phone-like words are found, and then masked by joins while the row key goes."""
+    data = table(spark, sf_dir, "documents")
+    found = freetext.phone_tokens(freetext.tokens(data, ["text"])).withColumnRenamed("token", "word")
+    return actions.deidentify(
+        data, {"doc_id": "Drop", "source": "Drop"}, text_columns=["text", "source"], words=found, row_key="doc_id"
+    )
+
+
 # The oracle fixes which columns the plan drops; `cascade` has its own oracle.
 _APPLY_SQL = f"""
 WITH {findings_ctes(("customer",))}, m AS ({_map_sql("customer", "c_name")})
@@ -187,6 +198,13 @@ SELECT c_custkey, m.encoded_value AS c_nationkey FROM d LEFT JOIN m ON m.origina
     ),
     "apply_drop": (apply_drop, "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
     "apply_plan": (apply_plan, _APPLY_SQL),
+    "apply_plan_with_found_words": (
+        apply_plan_with_found_words,
+        f"""WITH words AS (SELECT list(token ORDER BY length(token) DESC, token) AS listed
+  FROM ({tokens_sql("documents")}) WHERE regexp_matches(token, {quote(PHONE_TOKEN_SQL)}))
+SELECT list_reduce(list_filter(listed, lambda w: contains(text, w)),
+  lambda done, w: replace(done, w, 'XXXX'), text) AS text, lang, n_chars FROM documents, words""",
+    ),
     "apply_plan_with_mask": (
         apply_plan_with_mask,
         f"""WITH a AS ({_map_sql("documents", "lang")})

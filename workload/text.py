@@ -115,7 +115,7 @@ def free_text_search(spark, sf_dir):
     """Runs the cascade on the conversations, picks the open-text columns left, finds their words."""
     survey = Survey("conversations", table(spark, sf_dir, "conversations"), order_by=("conv_id", "turn"))
     _, columns, found = detect.cascade_with_free_text(
-        survey, stopwords(spark), names(spark, sf_dir), towns(spark, sf_dir), country_iso="ke"
+        survey, stopwords(spark), names(spark, sf_dir), towns(spark, sf_dir), country="Kenya"
     )
     return found.withColumn("columns", F.lit(" ".join(columns)))
 
@@ -127,7 +127,7 @@ def _words_sql(name: str) -> str:
     )
 
 
-def _tokens_sql(name: str, columns: tuple[str, ...] = ("text",)) -> str:
+def tokens_sql(name: str, columns: tuple[str, ...] = ("text",)) -> str:
     parts = " UNION ALL ".join(
         f"SELECT unnest(string_split({c}, ' ')) AS token FROM {name}"
         f" WHERE {c} IS NOT NULL AND {c} <> '' AND {c} NOT IN {in_list(fixed.TEXT_MISSING_CODES)}"
@@ -138,7 +138,7 @@ def _tokens_sql(name: str, columns: tuple[str, ...] = ("text",)) -> str:
 
 _IS_PHONE = f"regexp_matches(token, {quote(PHONE_TOKEN_SQL)})"
 _CTES = f"""
-tokens AS ({_tokens_sql("documents")}),
+tokens AS ({tokens_sql("documents")}),
 stop AS {STOP_SQL},
 names AS (SELECT token AS name, count(*) * 10 AS incidence, length(token) % 5 <> 0 AS has_jurisdiction
   FROM ({_words_sql("conversations")}) WHERE length(token) > 2 AND regexp_matches(token, '^[A-Z]') GROUP BY token),
@@ -227,10 +227,10 @@ def edited_word_list(spark, sf_dir):
 
 
 ENTRIES = {
-    "text_tokens": (text_tokens, _tokens_sql("documents")),
+    "text_tokens": (text_tokens, tokens_sql("documents")),
     "text_tokens_many_columns": (
         text_tokens_many_columns,
-        _tokens_sql("conversations", ("role", "text")),
+        tokens_sql("conversations", ("role", "text")),
     ),
     "phone_tokens": (phone_tokens, f"WITH {_CTES} SELECT token FROM tokens WHERE {_IS_PHONE}"),
     "text_no_stopwords": (
@@ -261,7 +261,7 @@ FROM tokens WHERE regexp_replace(token, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')
     ),
     "free_text_search": (
         free_text_search,
-        f"WITH {_CTES.replace(_tokens_sql('documents'), _tokens_sql('conversations'))},"
+        f"WITH {_CTES.replace(tokens_sql('documents'), tokens_sql('conversations'))},"
         f" {_search_sql('said', 'WHERE country_iso = ' + quote('ke'))}"
         " SELECT token, kind, 'text' AS columns FROM found",
     ),

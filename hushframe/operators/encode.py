@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import keyed_sha1
 from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
-from hushframe.session import broadcast_if_small
+from hushframe.session import broadcast_if_small, is_small
 
 # A value is hot when it fills more than this share of a column, so at most 1000 values are hot.
 _HOT_SHARE = 0.001
@@ -88,28 +88,45 @@ def encode(
 
 
 def _replace(df: DataFrame, column: str, value_key: str, codes: DataFrame) -> DataFrame:
-    """Left join of `df` to the codes of one column, without sending a hot value to one task.
+    """Left join of `df` to the codes of one column, by the short key of the value.
 
-    Values are joined by their short key, so that long texts are not shuffled. Hot values (at most
-    1000, with keys of at most 64 bytes) are looked up by a broadcast join. Their rows, and rows with
-    null, need no second lookup: instead of a value they take the number of their input partition as
-    join key, which no value equals, and so spread over all tasks of the shuffle.
+    A map of measured small size is broadcast and the table is not shuffled. A larger one is split:
+    see `_lookup_without_skew`.
     """
-    stored_key = F.expr(short_key_sql("original_value"))
-    hot = codes.where("is_hot").select(stored_key.alias("__hot"), F.col("encoded_value").alias("__hot_code"))
-    rest = codes.where("not is_hot").select(
-        F.concat(F.lit("v"), stored_key).alias("__key"), F.col("encoded_value").alias("__code")
+    keyed = codes.select(
+        F.expr(short_key_sql("original_value")).alias("__key"),
+        F.col("encoded_value").alias("__code"),
+        "is_hot",
     )
-    marked = df.withColumn("__value", F.expr(value_key)).join(
-        F.broadcast(hot), F.col("__value") == F.col("__hot"), "left"
+    marked = df.withColumn("__value", F.expr(value_key))
+    if is_small(keyed, ["__key"]):
+        found = marked.join(F.broadcast(keyed), F.col("__value") == F.col("__key"), "left")
+    else:
+        found = _lookup_without_skew(marked, keyed)
+    return found.select([F.col("__code").alias(c) if c == column else quoted(c) for c in df.columns])
+
+
+def _lookup_without_skew(marked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Adds `__code` by a shuffle join that sends no hot value to one task.
+
+    Hot values (at most 1000, with keys of at most 64 bytes) are looked up by a broadcast join. Their
+    rows, and rows with null, need no second lookup: instead of a value they take the number of their
+    input partition as join key, which no value equals, and so spread over all tasks of the shuffle.
+    """
+    hot = keyed.where("is_hot").select(F.col("__key").alias("__hot"), F.col("__code").alias("__hot_code"))
+    rest = keyed.where("not is_hot").select(
+        F.concat(F.lit("v"), "__key").alias("__key"), F.col("__code").alias("__rest_code")
     )
-    key = F.expr(
+    own_key = F.expr(
         "case when __hot_code is null and __value is not null then concat('v', __value)"
         " else concat('p', cast(spark_partition_id() as string)) end"
     )
-    code = F.coalesce("__hot_code", "__code")
-    kept = [code.alias(c) if c == column else quoted(c) for c in df.columns]
-    return marked.withColumn("__key", key).join(rest, "__key", "left").select(kept)
+    return (
+        marked.join(F.broadcast(hot), F.col("__value") == F.col("__hot"), "left")
+        .withColumn("__key", own_key)
+        .join(rest, "__key", "left")
+        .withColumn("__code", F.coalesce("__hot_code", "__rest_code"))
+    )
 
 
 def decode_value_labels(df: DataFrame, columns: list[str], value_labels: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def mask_found_words(
     back to the rows (`row_key` must identify a row), and each row replaces the words it contains.
     Words with spaces are searched by their longest part without one.
 
-    The words and the tokens with a hit are settled, so that their sizes decide the joins.
+    The words, the tokens and the rows with a hit are settled, so that their sizes decide the joins.
     """
     anchored = settle(_anchored(words))
     # at most _ANCHOR different numbers
@@ -77,6 +77,8 @@ def mask_found_words(
     per_row = per_cell.groupBy(F.col("row").alias("__row")).agg(
         *[F.first(F.when(F.col("column_name") == c, F.col("words")), True).alias(n) for c, n in names.items()]
     )
+    # Few rows with hits are broadcast, and the table with its texts is not shuffled.
+    per_row = broadcast_if_small(settle(per_row), [f"array_join({n}, '')" for n in names.values()])
 
     def hidden(name: str) -> Column:
         found_words, text = F.col(names[name]), quoted(name)

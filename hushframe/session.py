@@ -45,12 +45,19 @@ _BROADCAST_ROWS = 500_000
 _BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, text_columns: list[str]) -> DataFrame:
+def is_small(df: DataFrame, texts: list[str]) -> bool:
+    """Whether a stored or settled frame may be broadcast, by its measured rows and bytes of text.
+
+    `texts` are SQL expressions for the parts of variable length.
+    """
+    size = " + ".join(f"coalesce(octet_length({t}), 0)" for t in texts)
+    measured = df.selectExpr("count(1) as n", f"coalesce(sum(cast({size} as bigint)), 0) as b").first()
+    return measured["n"] <= _BROADCAST_ROWS and measured["b"] <= _BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, texts: list[str]) -> DataFrame:
     """Mark a stored or settled frame for broadcasting if its measured size allows it.
 
     Otherwise the frame is returned as it is, and the join shuffles both sides.
     """
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in text_columns), F.lit(0))
-    measured = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    small = measured["n"] <= _BROADCAST_ROWS and measured["b"] <= _BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df, texts) else df

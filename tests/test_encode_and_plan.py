@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import check_queries
 from __spark_entry__ import entry, oracle_sql, queries
-from hushframe import sinks
+from hushframe import session, sinks
 from hushframe.operators import encode
 from hushframe.plans import actions, detect
 from hushframe.session import settle
@@ -37,8 +37,9 @@ def skewed(spark, n=6000):
     )
 
 
-@pytest.mark.parametrize("partitions", [1, 16])
-def test_encode_is_a_bijection_onto_1_to_n(spark, partitions):
+@pytest.mark.parametrize(("partitions", "rows_to_broadcast"), [(1, 500000), (16, 500000), (1, 0), (16, 0)])
+def test_encode_is_a_bijection_onto_1_to_n(spark, monkeypatch, partitions, rows_to_broadcast):
+    monkeypatch.setattr(session, "_BROADCAST_ROWS", rows_to_broadcast)
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         df = skewed(spark).repartition(7)
@@ -58,8 +59,15 @@ def test_encode_is_a_bijection_onto_1_to_n(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_hot_rows_are_spread_over_the_shuffle(spark):
+def test_small_maps_do_not_shuffle_the_table(spark):
+    df = skewed(spark)
+    encoded = encode.encode(df, ["v"], settle(encode.encoding_map(df, ["v"], KEY)))
+    assert "Exchange hashpartitioning" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_rows_are_spread_over_the_shuffle(spark, monkeypatch):
     """With broadcasting of the large map switched off, no task gets the hot value or the nulls."""
+    monkeypatch.setattr(session, "_BROADCAST_ROWS", 0)
     df = skewed(spark, 30000).repartition(64)
     mapping = settle(encode.encoding_map(df, ["v"], KEY))
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -72,7 +80,7 @@ def test_hot_rows_are_spread_over_the_shuffle(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert sum(sizes) == 30000 and max(sizes) < 30000 / 4
+    assert len(sizes) == 8 and sum(sizes) == 30000 and max(sizes) < 30000 / 4
 
 
 def test_decode_before_encode_and_strip(spark):

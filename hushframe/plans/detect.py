@@ -79,20 +79,16 @@ def _finding(method: str, reason: Column, **known: Column) -> list[Column]:
     ]
 
 
-def _word_reason(tail: Column) -> Column:
-    side = F.when(F.col("matched_on") == "name", F.lit("Name")).otherwise(F.lit("Label"))
-    # A strict hit is worded as a name hit also when it was on the label.
-    side = F.when(F.col("match_kind") == "strict", F.lit("Name")).otherwise(side)
-    start = F.format_string(
-        fixed.REASON_WORD.format(on="%s", kind="%s", word="%s"), side, "match_kind", "word"
-    )
-    return F.concat(start, tail)
+def _word_reason(is_name: Column, tail: Column) -> Column:
+    side = F.when(is_name, F.lit("Name")).otherwise(F.lit("Label"))
+    wording = fixed.REASON_WORD.format(on="%s", kind="%s", word="%s")
+    return F.concat(F.format_string(wording, side, "match_kind", "word"), tail)
 
 
 def by_system(surveys: list[Survey], columns: Open | None = None) -> DataFrame:
     """Columns that the survey platform adds by itself, ignoring case."""
     system = word_lists.system_columns(_session(surveys))
-    flagged = catalog.flag_system_columns(_open_catalog(surveys, columns or all_columns(surveys)), system)
+    flagged = catalog.flag_system_columns(_open_catalog(surveys, all_columns(surveys) if columns is None else columns), system)
     return flagged.select(
         _finding("system", F.lit(fixed.REASON_SYSTEM), match_kind=F.lit("strict"), matched_on=F.lit("name"))
     )
@@ -120,7 +116,7 @@ def by_name(
     per column: fuzzy with sparse strings before fuzzy with value labels before strict, name before
     label, then the first word from A to Z.
     """
-    columns = columns or all_columns(surveys)
+    columns = all_columns(surveys) if columns is None else columns
     if dictionary is None:
         groups = word_lists.word_groups(_session(surveys))
         dictionary = word_lists.effective_dictionary(groups, with_locations)
@@ -171,7 +167,9 @@ def by_name(
         .otherwise(F.lit(""))
     )
     known = {c: F.col(c) for c in ("word", "match_kind", "matched_on")}
-    return best.select(_finding("name", _word_reason(tail), **known))
+    # A strict hit is worded as a name hit also when it was on the label.
+    is_name = (F.col("matched_on") == "name") | (F.col("match_kind") == "strict")
+    return best.select(_finding("name", _word_reason(is_name, tail), **known))
 
 
 def by_location(
@@ -186,7 +184,7 @@ def by_location(
 
     Places are looked up once per distinct value, in the order in which the values first appear.
     """
-    columns = columns or all_columns(surveys)
+    columns = all_columns(surveys) if columns is None else columns
     words = word_lists.location_dictionary(word_lists.word_groups(_session(surveys)))
     hits = catalog.match_words(_open_catalog(surveys, columns), words, _labels(surveys))
     keys = ["table_name", "column_name"]
@@ -227,11 +225,8 @@ def by_location(
     low = reduce(DataFrame.unionAll, found).join(hit_rows, keys)
     known = {c: F.col(c) for c in ("word", "match_kind", "matched_on")} | {"evidence": F.col("place")}
     tail = F.concat(F.lit(fixed.REASON_LOW_POPULATION), F.col("place"))
-    side = F.when(F.col("matched_on") == "name", F.lit("Name")).otherwise(F.lit("Label"))
-    start = F.format_string(
-        fixed.REASON_WORD.format(on="%s", kind="%s", word="%s"), side, "match_kind", "word"
-    )
-    return low.select(_finding("location", F.concat(start, tail), **known))
+    reason = _word_reason(F.col("matched_on") == "name", tail)
+    return low.select(_finding("location", reason, **known))
 
 
 def by_format(
@@ -241,7 +236,7 @@ def by_format(
 
     A column with both is reported as date.
     """
-    columns = columns or all_columns(surveys)
+    columns = all_columns(surveys) if columns is None else columns
     open_ = [(s, columns[s.name]) for s in surveys if profile.scalar_fields(s.data, columns.get(s.name, []))]
     if not open_:
         return rows_frame(_session(surveys), [], FINDING_SCHEMA)
@@ -296,7 +291,7 @@ def by_sparsity(
     mode: str = "exact",
 ) -> DataFrame:
     """Columns of any type whose entries are nearly all different."""
-    columns = columns or all_columns(surveys)
+    columns = all_columns(surveys) if columns is None else columns
     seen = profile.sparsity_profile({s.name: s.data for s in surveys}, columns, mode)
     return profile.sparse(seen, threshold).select(
         _finding("sparsity", F.lit(fixed.REASON_SPARSE))

@@ -20,7 +20,6 @@ from workload.shared import (
     findings_ctes,
     hits_sql,
     in_list,
-    labels,
     profile_sql,
     quote,
     sample_sql,

@@ -74,6 +74,7 @@ def flag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     maybe = probed.where("again").drop("again")
     groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = settle(groups, "groups")  # read back, it is a join side of its own, so that a large group can be split
     grouped = maybe.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
@@ -97,6 +98,7 @@ def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .agg(F.min(F.struct(F.isnull("ident").alias("no"), "ident", "n")).alias("first"))
         .select("digest", "first.ident", "first.n")
     )
+    groups = settle(groups, "groups")
     stay = probed.where("again").join(groups, "digest").where(F.col(ident).eqNullSafe(F.col("ident")))
     single = stay.where("n = 1").select(columns)
     best = F.min_by(F.struct(*columns), text_or_empty(text))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, token_files
+from . import decontaminate, exact_dedup, packing, simhash, token_files, warc
 from .common import scratch
 
 
@@ -29,10 +29,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(_table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag(_table(spark, sf_dir, "documents"))
 
 
+_OP7 = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+     f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d, n) END AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
 _OP10 = """
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -46,8 +63,11 @@ QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op7_warc": op7_warc,
+    "op8_decontaminate": op8_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op7_warc": _OP7,
     "op10_exact_dedup": _OP10,
 }

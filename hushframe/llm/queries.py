@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, simhash, token_files, warc
+from . import decontaminate, exact_dedup, kneser_ney, packing, simhash, token_files, warc
 from .common import scratch
 
 
@@ -38,6 +38,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The documents that the quality model learns from: labelled good, and not labelled toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +74,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {

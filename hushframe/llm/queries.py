@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kneser_ney, packing, simhash, token_files, warc
+from . import decontaminate, exact_dedup, kneser_ney, line_dedup, packing, simhash, token_files, warc
 from .common import scratch
 
 
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean_lines(_table(spark, sf_dir, "documents"), ratio=0.02, least=3)
+    return cleaned.withColumnRenamed("host", "source")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"), words=4, distance=4)
 
@@ -51,6 +56,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag(_table(spark, sf_dir, "documents"))
 
 
+_OP4 = """
+WITH p AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     n AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
+     l AS (SELECT source, unnest(list_distinct([trim(x) for x in lines])) AS line FROM p),
+     c AS (SELECT source, line, count(*) AS k FROM l WHERE line <> '' GROUP BY source, line),
+     b AS (SELECT c.source, list(line) AS bad FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source
+           WHERE k >= 3 AND k > 0.02 * pages GROUP BY c.source),
+     k AS (SELECT doc_id, p.source, lines, [x for x in lines if NOT list_contains(coalesce(bad, []), trim(x))] AS stay
+           FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, array_to_string(stay, chr(10)) AS text, len(lines) - len(stay) AS lines_dropped FROM k
+"""
 _OP7 = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
      f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d, n) END AS first_id FROM p)
@@ -71,6 +87,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_packing": op2_packing,
+    "op4_site_lines": op4_site_lines,
     "op5_simhash": op5_simhash,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
@@ -78,6 +95,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op4_site_lines": _OP4,
     "op7_warc": _OP7,
     "op10_exact_dedup": _OP10,
 }

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kneser_ney, line_dedup, packing, simhash, token_files, warc
+from . import decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, packing, simhash, token_files, warc
 from .common import scratch
 
 
@@ -34,6 +34,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def held_out(ident: Column) -> Column:
+    """Documents that the language model must not learn from: crc32 of the id as text is 2 mod 4."""
+    return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return language_id.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(_table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -89,6 +100,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_site_lines": op4_site_lines,
     "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_kneser_ney": op9_kneser_ney,

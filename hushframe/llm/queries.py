@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, packing, simhash, token_files, warc
+from . import decontaminate, exact_dedup, html_text, kneser_ney, language_id, line_dedup, packing, simhash, token_files, warc
 from .common import scratch
 
 
@@ -25,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean_lines(_table(spark, sf_dir, "documents"), ratio=0.02, least=3)
     return cleaned.withColumnRenamed("host", "source")
@@ -98,6 +104,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_packing": op2_packing,
+    "op3_block_labeller": op3_block_labeller,
     "op4_site_lines": op4_site_lines,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,

@@ -19,72 +19,127 @@ _WORD_AND_SIGNS = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\
 
 
 class _Known(dict):
-    """Piece to its number; a new piece gets the next one."""
+    """Piece to its number; a new piece gets the next one and is listed in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
+        self.fresh.append(piece)
         return number
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.data):
+            more = np.zeros(2 * (self.size + len(values)), self.data.dtype)
+            more[: self.size] = self.data[: self.size]
+            self.data = more
+        self.data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
 class Encoder:
     """Encodes batches of texts; keeps at most `most` pieces."""
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000):
+    def __init__(self, path: str, end_id: int, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id, self.most, self.signs = end_id, most, {}
-        self._start({}, np.empty(0, np.uint32), np.empty(0, np.int64))
+        self.spaced, self.plain = self._word_forms()
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._start()
 
-    def _start(self, pieces: dict, flat: np.ndarray, lengths: np.ndarray) -> None:
-        """Begin with these pieces; number 0 is the end of a text."""
-        self.known = _Known({"\0end": 0})
-        for piece in pieces:
-            self.known[piece]
-        self.flat = np.concatenate([np.array([self.end_id], np.uint32), flat])
-        self.lengths = np.concatenate([[1], lengths])
-        self.whole = np.zeros(len(self.lengths), bool)
-        self.used = np.zeros(len(self.lengths), np.int64)
+    def _word_forms(self) -> tuple[str | None, bool]:
+        """How the model itself spells an ASCII word after a space: with what before it, and whether in lower case.
 
-    def _learn(self, before: int) -> None:
-        """Encode the pieces from number `before` on. A key that starts with a space stands at the start of a text.
+        None: it has neither of the spellings known here, and words take the same way as all other pieces.
+        """
+        words = ["the", "Zebra", "QuUx"]
+        whole = [self.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
+        for before, lower in (("Ġ", False), ("", True)):
+            if whole == [self._spelled(before + (w.lower() if lower else w)) for w in words]:
+                return before, lower
+        return None, False
+
+    def _spelled(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _start(self) -> None:
+        """Begin without pieces; number 0 is the end of a text."""
+        self.known = _Known()
+        self.known["\0end"] = 0
+        self.flat, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+        self.whole, self.used = _Grown(bool), _Grown(np.int64)
+        self._add([[self.end_id]], np.zeros(1, bool))
+
+    def _add(self, ids: list[list[int]], whole: np.ndarray) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts.add(self.flat.size + np.cumsum(lengths) - lengths)
+        self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        self.lengths.add(lengths)
+        self.whole.add(whole)
+        self.used.add(np.zeros(len(ids), np.int64))
+
+    def _learn(self) -> None:
+        """Encode the fresh pieces. A key that starts with a space stands at the start of a text.
 
         A word with signs after it is the word's ids and the signs' ids.
         """
-        parts = {}
-        for piece in list(islice(self.known, before, None)):
-            if split := _WORD_AND_SIGNS(piece):
-                parts[piece] = split.groups()
-                self.known[split[1]]
-        pieces = list(islice(self.known, before, None))
-        raw = [p[1:] if p[:1] in (" ", "\n") else p for p in pieces]
-        whole = np.array([not r or r.split() != [r] for r in raw], bool)
-        plain = [(p, w) for p, w in zip(pieces, whole) if p not in parts]
-        asked = ["" if w else p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p for p, w in plain]
+        parts = {p: m.groups() for p in self.known.fresh if (m := _WORD_AND_SIGNS(p))}
+        for word, _ in parts.values():
+            self.known[word]
+        pieces, self.known.fresh = self.known.fresh, []
+        whole, found, asked = np.zeros(len(pieces), bool), {}, {}
+        for i, p in enumerate(pieces):
+            if p in parts:
+                continue
+            raw = p[1:] if p[:1] in (" ", "\n") else p
+            if self.spaced is not None and raw.isascii() and raw.isalpha():
+                word = raw.lower() if self.plain else raw
+                found[p] = self._spelled(word if raw is not p else self.spaced + word)
+                if p[0] == "\n":
+                    found[p] = self.line_break + found[p]
+            elif raw.split() != [raw]:
+                whole[i], found[p] = True, []
+            else:
+                asked[p] = raw if p[0] == " " else p if p[0] == "\n" else " " + p
         signs = sorted({s for _, s in parts.values()} - self.signs.keys())
-        got = self.tokenizer.encode_batch(asked + signs, add_special_tokens=False)
+        got = self.tokenizer.encode_batch([*asked.values(), *signs], add_special_tokens=False)
+        found.update((p, e.ids) for p, e in zip(asked, got))
         self.signs.update((s, e.ids) for s, e in zip(signs, got[len(asked) :]))
-        found = {p: e.ids for (p, _), e in zip(plain, got)}
-        starts = np.cumsum(self.lengths) - self.lengths
         for piece, (word, sign) in parts.items():
             if word not in found:
                 at = self.known[word]
-                found[word] = self.flat[starts[at] : starts[at] + self.lengths[at]].tolist()
+                begin = int(self.starts.data[at])
+                found[word] = self.flat.data[begin : begin + int(self.lengths.data[at])].tolist()
             found[piece] = found[word] + self.signs[sign]
-        ids = [found[p] for p in pieces]
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.whole = np.concatenate([self.whole, whole])
-        self.used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
+        self._add([found[p] for p in pieces], whole)
 
     def _shrink(self) -> None:
-        """Keep the pieces that were used again."""
-        keep = np.flatnonzero((self.used > 1) & ~self.whole)
+        """Keep pieces that were used again."""
+        keep = np.flatnonzero((self.used.all() > 1) & ~self.whole.all())
         keep = keep[keep > 0][: self.most // 2]
-        names = list(self.known)
-        flat = _ragged(self.flat, np.cumsum(self.lengths) - self.lengths, self.lengths, keep)
-        self._start(dict.fromkeys(names[i] for i in keep.tolist()), flat, self.lengths[keep])
+        names, lengths = list(self.known), self.lengths.all()[keep]
+        flat = _ragged(self.flat.data, self.starts.data, self.lengths.data, keep)
+        ids = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] if len(keep) else []
+        self._start()
+        for i in keep.tolist():
+            self.known[names[i]]
+        self.known.fresh = []
+        self._add(ids, np.zeros(len(keep), bool))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, an end id after each, and how many each has."""
@@ -92,21 +147,23 @@ class Encoder:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.known) > self.most:
             self._shrink()
-        before, number, at, sizes = len(self.known), self.known.__getitem__, [], []
+        cut, sizes = [], []
         for text in texts:
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = " " + pieces[0]
-            at.extend(map(number, pieces))
-            at.append(0)
-            sizes.append(len(pieces) + 1)
-        if len(self.known) > before:
-            self._learn(before)
-        at, sizes = np.array(at, np.int64), np.array(sizes, np.int64)
-        self.used += np.bincount(at, minlength=len(self.used))
-        starts = np.cumsum(sizes) - sizes
-        ids = _ragged(self.flat, np.cumsum(self.lengths) - self.lengths, self.lengths, at)
-        n = np.add.reduceat(self.lengths[at], starts)
-        odd = np.flatnonzero(np.logical_or.reduceat(self.whole[at], starts))
+            pieces.append("\0end")
+            cut.append(pieces)
+            sizes.append(len(pieces))
+        sizes = np.array(sizes, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        if self.known.fresh:
+            self._learn()
+        seen = np.bincount(at)
+        self.used.data[: len(seen)] += seen
+        firsts = np.cumsum(sizes) - sizes
+        ids = _ragged(self.flat.data, self.starts.data, self.lengths.data, at)
+        n = np.add.reduceat(self.lengths.data[at], firsts)
+        odd = np.flatnonzero(np.logical_or.reduceat(self.whole.data[at], firsts))
         if len(odd):
             parts = np.split(ids, np.cumsum(n)[:-1])
             for i, e in zip(odd.tolist(), self.tokenizer.encode_batch([texts[i] for i in odd.tolist()], add_special_tokens=False)):
@@ -118,8 +175,9 @@ class Encoder:
 def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """flat[starts[i] : starts[i] + lengths[i]] for each i of `at`, one after the other."""
     n = lengths[at]
-    total = int(n.sum())
-    return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(total)]
+    before = np.cumsum(n)
+    total = int(before[-1]) if len(n) else 0
+    return flat[np.repeat(starts[at] - before + n, n) + np.arange(total)]
 
 
 @lru_cache(maxsize=2)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import keyed_sha1
 from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
-from hushframe.session import broadcast_if_small, is_small
+from hushframe.session import is_small
 
 # A value is hot when it fills more than this share of a column, so at most 1000 values are hot.
 _HOT_SHARE = 0.001
@@ -38,16 +36,38 @@ def encoding_map(
     counted and summed up in order, and each range is sorted on its own. A fourth digit makes ranges
     a sixteenth as long, for columns with more than some billions of values.
 
-    Write the map to a protected place and read it back before `encode` uses it (`sinks`): that
-    keeps the published map and the published codes the same and spares a second ranking.
+    The map undoes the encoding: write it to a protected place and read it back before `encode` uses
+    it (`sinks`); that keeps the published map and the published codes the same and spares a second
+    ranking. `code_map` gives the codes without the values.
+    """
+    ranked = _ranked(df, columns, secret_key, number_formats, range_digits)
+    return ranked.select("variable", "original_value", "encoded_value", "is_hot")
+
+
+def code_map(
+    df: DataFrame,
+    columns: list[str],
+    secret_key: str,
+    number_formats: dict[str, str] | None = None,
+    range_digits: int = 3,
+) -> DataFrame:
+    """Rows (variable, hash, encoded_value, is_hot): the codes by keyed hash, with no value in clear.
+
+    It may be checkpointed or stored where the values may not; `encode` then needs the key.
     """
-    values = reduce(
-        DataFrame.unionAll,
-        [
-            df.selectExpr(f"{text_sql(c)} as variable", f"{_value_text(c, number_formats)} as original_value")
-            for c in columns
-        ],
-    ).where("original_value is not null")
+    ranked = _ranked(df, columns, secret_key, number_formats, range_digits)
+    return ranked.select("variable", "hash", "encoded_value", "is_hot")
+
+
+def _ranked(
+    df: DataFrame, columns: list[str], secret_key: str, number_formats: dict[str, str] | None, range_digits: int
+) -> DataFrame:
+    """All values of the columns with their hash, rank and whether they are hot; one scan."""
+    _checked(df, columns)
+    cells = ", ".join(
+        f"struct({text_sql(c)} as variable, {_value_text(c, number_formats)} as original_value)" for c in columns
+    )
+    values = df.selectExpr(f"inline(array({cells}))").where("original_value is not null")
     hashed = (
         values.groupBy("variable", "original_value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -65,45 +85,64 @@ def encoding_map(
         "sum(in_range) over (partition by variable order by range) - in_range as start",
         "sum(rows_in_range) over (partition by variable) as n_rows",
     )
-    # starts: at most 16 ** range_digits rows per encoded column
-    return (
-        hashed.join(F.broadcast(starts), ["variable", "range"])
-        .selectExpr(
-            "variable",
-            "original_value",
-            "start + row_number() over (partition by variable, range order by hash) as encoded_value",
-            f"n > {_HOT_SHARE} * n_rows as is_hot",
-        )
+    # No broadcast is asked for: there are 16 ** range_digits ranges per encoded column, and the
+    # ranking below needs the shuffle by range anyway.
+    return hashed.join(starts, ["variable", "range"]).selectExpr(
+        "variable",
+        "original_value",
+        "hash",
+        "start + row_number() over (partition by variable, range order by hash) as encoded_value",
+        f"n > {_HOT_SHARE} * n_rows as is_hot",
     )
 
 
+def _checked(df: DataFrame, columns: list[str]) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in the table: {', '.join(missing)}")
+
+
 def encode(
-    df: DataFrame, columns: list[str], mapping: DataFrame, number_formats: dict[str, str] | None = None
+    df: DataFrame,
+    columns: list[str],
+    mapping: DataFrame,
+    number_formats: dict[str, str] | None = None,
+    secret_key: str | None = None,
 ) -> DataFrame:
-    """Replace the values of `columns` by their codes in `mapping`; null stays null."""
+    """Replace the values of `columns` by their codes in `mapping`; null stays null, labels stay.
+
+    `mapping` comes from `encoding_map`, or from `code_map` and then needs the key. A value without
+    a code ends the job with an error: it would be lost otherwise.
+
+    A map of measured small size is broadcast. A larger one shuffles the table, once per column.
+    """
+    _checked(df, columns)
+    by_hash = "hash" in mapping.columns
+    if by_hash and secret_key is None:
+        raise ValueError("a map of hashes needs the secret key")
     for column in columns:
         codes = mapping.where(F.col("variable") == column)
-        df = _replace(df, column, short_key_sql(_value_text(column, number_formats)), codes)
+        text = _value_text(column, number_formats)
+        key = keyed_sha1(F.expr(text), secret_key) if by_hash else F.expr(short_key_sql(text))
+        map_key = F.col("hash") if by_hash else F.expr(short_key_sql("original_value"))
+        df = _replace(df, column, key, codes.select(map_key.alias("__key"), F.col("encoded_value").alias("__code"), "is_hot"))
     return df
 
 
-def _replace(df: DataFrame, column: str, value_key: str, codes: DataFrame) -> DataFrame:
-    """Left join of `df` to the codes of one column, by the short key of the value.
+def _replace(df: DataFrame, column: str, value_key: Column, keyed: DataFrame) -> DataFrame:
+    """Left join of `df` to the codes (__key, __code, is_hot) of one column, by the key of the value.
 
     A map of measured small size is broadcast and the table is not shuffled. A larger one is split:
     see `_lookup_without_skew`.
     """
-    keyed = codes.select(
-        F.expr(short_key_sql("original_value")).alias("__key"),
-        F.col("encoded_value").alias("__code"),
-        "is_hot",
-    )
-    marked = df.withColumn("__value", F.expr(value_key))
+    marked = df.withColumn("__value", value_key)
     if is_small(keyed, ["__key"]):
         found = marked.join(F.broadcast(keyed), F.col("__value") == F.col("__key"), "left")
     else:
         found = _lookup_without_skew(marked, keyed)
-    return found.select([F.col("__code").alias(c) if c == column else quoted(c) for c in df.columns])
+    lost = F.raise_error(F.lit(f"a value of column {column!r} has no code in the encoding map"))
+    code = F.when(F.col("__value").isNull() | F.col("__code").isNotNull(), F.col("__code")).otherwise(lost.cast("bigint"))
+    return found.select([code.alias(c, metadata=df.schema[c].metadata) if c == column else quoted(c) for c in df.columns])
 
 
 def _lookup_without_skew(marked: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -131,14 +170,15 @@ def _lookup_without_skew(marked: DataFrame, keyed: DataFrame) -> DataFrame:
 
 def decode_value_labels(df: DataFrame, columns: list[str], value_labels: DataFrame) -> DataFrame:
     """Replace labelled codes by their label text; codes without a label become null."""
+    _checked(df, columns)
     for column in columns:
         labels = (
             value_labels.where(F.col("column_name") == column)
             .groupBy(F.col("code").alias("__code"))
             .agg(F.max("label").alias("__label"))
         )
-        kept = [F.col("__label").alias(c) if c == column else quoted(c) for c in df.columns]
-        labels = broadcast_if_small(labels, ["__label"])
+        label = F.col("__label").alias(column, metadata=df.schema[column].metadata)
+        kept = [label if c == column else quoted(c) for c in df.columns]
         df = df.join(labels, quoted(column) == F.col("__code"), "left").select(kept)
     return df
 

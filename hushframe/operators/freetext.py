@@ -18,7 +18,6 @@ from hushframe.fixed_values import (
 )
 from hushframe.functions.values import clean, is_phone_token, quoted
 from hushframe.operators.places import low_population_places, place_lookup
-from hushframe.session import settle
 from hushframe.sources.words import default_stopwords
 
 log = logging.getLogger(__name__)
@@ -96,9 +95,9 @@ def personal_tokens(
     not name-like (skipped when no tag table is given), then is looked up as name, and what is no
     name as place with low population.
 
-    The text is read once: every step marks or drops rows of one chain of joins on distinct tokens.
-    Only tokens with a hit are settled, because the rule for places of unknown population needs to
-    look at all places first.
+    Every step marks or drops rows of one chain of joins on distinct tokens. The rule for places of
+    unknown population looks at all places first; that second use shares the shuffle of the tokens,
+    and no word is stored on the way.
     """
     words = tokens(df, columns).withColumn("is_phone", is_phone_token(F.col("token")))
     if stopwords is None:
@@ -126,7 +125,7 @@ def personal_tokens(
         second_source,
     )
     kind = F.when(F.col("is_phone"), "phone").when(F.col("is_name"), "name").otherwise("place")
-    found = settle(
+    found = (
         looked_up.withColumn("kind", kind)
         .where("kind <> 'place' or place_exists")
         .select("place", "kind", "place_exists", "population")

@@ -2,6 +2,7 @@
 
 Both ways replace, in each text, the listed words that it contains: longest first, then A to Z,
 anywhere in the text and respecting case. They differ only in how many words they can take.
+Column labels stay.
 """
 
 from __future__ import annotations
@@ -10,13 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
-from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
-from hushframe.session import broadcast_if_small, settle
+from hushframe.functions.values import name_sql, quoted, short_key_sql
 
-# Words are found in tokens by their first characters; longer words are checked by the replacement.
-_ANCHOR = 32
-# Very long tokens are cut into overlapping pieces before their substrings are listed.
-_PIECE = 1024
+# Words are found in tokens by pieces of at most this many characters.
+_GRAM = 4
+# A token that stands in very many texts meets its words in so many parts of the join.
+_SPREAD = 16
+
+
+def _checked(df: DataFrame, columns: list[str]) -> None:
+    """Masking an unknown column would leave its text as it is, so it is an error."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in the table: {', '.join(missing)}")
+
+
+def _kept(df: DataFrame, value: Column, name: str) -> Column:
+    """The value under the column's name and with its metadata."""
+    return value.alias(name, metadata=df.schema[name].metadata)
 
 
 def _masked(text: Column, words: Column, mask: str) -> Column:
@@ -24,7 +36,11 @@ def _masked(text: Column, words: Column, mask: str) -> Column:
 
 
 def mask_words(df: DataFrame, columns: list[str], words: list[str], mask: str = MASK) -> DataFrame:
-    """Mask an edited word list (a few hundred words at most): one projection, no shuffle."""
+    """Mask an edited word list (a few hundred words at most): one projection, no shuffle.
+
+    Each text is searched for each word; use `mask_found_words` for thousands of words.
+    """
+    _checked(df, columns)
     ordered = sorted({w for w in words if w}, key=lambda w: (-len(w), w))
     if not ordered:
         return df
@@ -33,100 +49,82 @@ def mask_words(df: DataFrame, columns: list[str], words: list[str], mask: str =
     def hidden(name: str) -> Column:
         text = quoted(name)
         inside = F.filter(listed, lambda word: F.contains(text, word))
-        return _masked(text, inside, mask).alias(name)
+        return _kept(df, _masked(text, inside, mask), name)
 
     return df.select([hidden(c) if c in columns else quoted(c) for c in df.columns])
 
 
-def mask_found_words(
-    df: DataFrame, row_key: str, columns: list[str], words: DataFrame, mask: str = MASK
-) -> DataFrame:
+def mask_found_words(df: DataFrame, columns: list[str], words: DataFrame, mask: str = MASK) -> DataFrame:
     """Mask any number of words, given as a DataFrame with the column `word`.
 
-    A word without spaces lies inside one token of the text, so words are searched in the distinct
-    tokens only: the substrings of a token are joined with the words. The tokens with a hit lead
-    back to the rows (`row_key` must identify a row), and each row replaces the words it contains.
-    Words with spaces are searched by their longest part without one.
+    A word without spaces lies inside one token of the text, and so does each part of a phrase. A word
+    is filed under the four characters of its parts that the fewest words have; the distinct tokens of
+    the texts are searched by their runs of four characters, and a token must contain the part. Words
+    lead back to the texts by their tokens, phrases are held against the whole text before they are
+    collected, and each text replaces the words that it contains. Texts are known by their own digest,
+    so copies are searched once and no key of the rows is needed.
 
-    The words, the tokens and the rows with a hit are settled, so that their sizes decide the joins.
+    Nothing is stored on the way: the steps hold personal words in clear. `words` is read several
+    times; make it a stored table if it is costly to compute.
     """
-    anchored = settle(_anchored(words))
-    # at most _ANCHOR different numbers
-    lengths = sorted(r.n for r in anchored.select(F.char_length("anchor").alias("n")).distinct().collect())
+    _checked(df, columns)
+    if not columns:
+        return df
+    cells = ", ".join(f"struct({short_key_sql(name_sql(c))} as key, {name_sql(c)} as text)" for c in columns)
+    texts = df.selectExpr(f"inline(array({cells}))").where("text <> ''")
+    used = texts.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).where("token <> ''")
+    filed = _filed(words)
+    lengths = sorted(r.n for r in filed.select(F.char_length("gram").alias("n")).distinct().collect())  # four at most
     if not lengths:
         return df
-    used = _tokens_by_row(df, row_key, columns)
-    found = (
-        _substrings(used.select("token").distinct(), lengths)
-        .join(broadcast_if_small(anchored, ["word", "anchor"]), "anchor")
-        .select("token_key", "word")
-        .distinct()
-    )
-    hits = broadcast_if_small(settle(found), ["token_key", "word"])
-    # The words of a row are parts of its own text, so the list is never longer than the text.
-    by_size = F.expr(
-        "transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)"
-    )
-    per_cell = (
-        used.select("row", "column_name", F.expr(short_key_sql("token")).alias("token_key"))
-        .join(hits, "token_key")
-        .groupBy("row", "column_name")
-        .agg(by_size.alias("words"))
-    )
-    names = {c: f"__words_{i}" for i, c in enumerate(columns)}
-    per_row = per_cell.groupBy(F.col("row").alias("__row")).agg(
-        *[F.first(F.when(F.col("column_name") == c, F.col("words")), True).alias(n) for c, n in names.items()]
-    )
-    # Few rows with hits are broadcast, and the table with its texts is not shuffled.
-    per_row = broadcast_if_small(settle(per_row), [f"array_join({n}, '')" for n in names.values()])
+    hits = _hits(used.select("token").distinct(), filed, lengths)
+    part = F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int")
+    spread = hits.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+    met = used.withColumn("spread", part).join(spread, ["token", "spread"]).select("key", "word")
+    phrase = F.contains("word", F.lit(" "))
+    phrases = met.where(phrase).distinct().join(texts.dropDuplicates(["key"]), "key").where(F.contains("text", F.col("word")))
+    by_size = F.expr("transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)")
+    found = met.where(~phrase).unionByName(phrases.select("key", "word")).groupBy(F.col("key").alias("__key")).agg(by_size.alias("__words"))
+    for name in columns:
+        text = quoted(name)
+        joined = df.join(found, F.expr(short_key_sql(name_sql(name))) == F.col("__key"), "left")
+        value = F.when(F.col("__words").isNull(), text).otherwise(_masked(text, F.col("__words"), mask))
+        df = joined.select([_kept(df, value, c) if c == name else quoted(c) for c in df.columns])
+    return df
 
-    def hidden(name: str) -> Column:
-        found_words, text = F.col(names[name]), quoted(name)
-        inside = F.filter(found_words, lambda word: F.contains(text, word))
-        return F.when(found_words.isNull(), text).otherwise(_masked(text, inside, mask)).alias(name)
 
-    joined = df.join(per_row, quoted(row_key) == F.col("__row"), "left")
-    return joined.select([hidden(c) if c in names else quoted(c) for c in df.columns])
+def _grams(text: str) -> str:
+    """The distinct pieces of _GRAM characters of a text, or the whole of a shorter one."""
+    return (
+        f"array_distinct(transform(sequence(1, greatest(1, char_length({text}) - {_GRAM - 1})),"
+        f" i -> substring({text}, i, {_GRAM})))"
+    )
 
 
-def _anchored(words: DataFrame) -> DataFrame:
-    """Distinct words with the part by which they are searched."""
-    return (
+def _filed(words: DataFrame) -> DataFrame:
+    """Distinct words with the piece they are filed under, and the part that holds it."""
+    parts = (
         words.select("word")
         .where("trim(word) <> ''")
         .distinct()
-        .withColumn("parts", F.expr("filter(split(word, ' '), p -> p <> '')"))
-        .withColumn("longest", F.expr("array_sort(transform(parts, p -> struct(-char_length(p) as n, p)))[0].p"))
-        .select("word", F.substring("longest", 1, _ANCHOR).alias("anchor"))
+        .select("word", F.explode(F.expr("filter(split(word, ' '), p -> p <> '')")).alias("part"))
+        .select("word", "part", F.explode(F.expr(_grams("part"))).alias("gram"))
     )
+    common = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("part", "gram"), F.struct(-F.char_length("gram"), "n", "gram"))
+    return parts.join(common, "gram").groupBy("word").agg(best.alias("best")).select("word", "best.part", "best.gram")
 
 
-def _tokens_by_row(df: DataFrame, row_key: str, columns: list[str]) -> DataFrame:
-    """Rows (row, column_name, token), each token once per cell."""
-    cells = ", ".join(
-        f"struct({text_sql(c)} as column_name, array_distinct(split({name_sql(c)}, ' ')) as tokens)"
-        for c in columns
+def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (token, word): the token contains the part under which the word is filed."""
+    pieces = (
+        f"array_distinct(flatten(transform(array({', '.join(map(str, lengths))}), n ->"
+        " transform(sequence(1, greatest(1, char_length(token) - n + 1)), i -> substring(token, i, n)))))"
     )
     return (
-        df.selectExpr(f"{name_sql(row_key)} as row", f"inline(array({cells}))")
-        .select("row", "column_name", F.explode("tokens").alias("token"))
-        .where("token <> ''")
-    )
-
-
-def _substrings(tokens: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows (token_key, anchor): all parts of each token that have the length of an anchor."""
-    listed = ", ".join(str(n) for n in lengths)
-    return (
-        tokens.select(
-            F.expr(short_key_sql("token")).alias("token_key"),
-            F.expr(
-                f"explode(transform(sequence(1, char_length(token), {_PIECE}),"
-                f" s -> substring(token, s, {_PIECE + _ANCHOR - 1})))"
-            ).alias("piece"),
-        )
-        .selectExpr("token_key", "piece", "explode(sequence(1, char_length(piece))) as start")
-        .selectExpr("token_key", "piece", "start", f"explode(array({listed})) as n")
-        .where("n <= char_length(piece) - start + 1")
-        .selectExpr("token_key", "substring(piece, start, n) as anchor")
+        tokens.select("token", F.explode(F.expr(pieces)).alias("gram"))
+        .join(filed, "gram")
+        .where(F.contains("token", F.col("part")))
+        .select("token", "word")
+        .distinct()
     )

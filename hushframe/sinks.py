@@ -1,12 +1,16 @@
-"""Writers: the de-identified table, the encoding map, the plan report and the detection log."""
+"""Writers: the de-identified table and its labels, the encoding map, the plan report and the log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import posixpath
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hushframe.plans.actions import plan_report
 from hushframe.plans.detect import log_messages
-from hushframe.sources.tables import FORMATS
+from hushframe.session import rows_frame
+from hushframe.sources.tables import FORMATS, labels_in_schema
 
 
 def deidentified_path(source_path: str, folder: str) -> str:
@@ -17,7 +21,10 @@ def deidentified_path(source_path: str, folder: str) -> str:
 
 
 def write_deidentified(df: DataFrame, source_path: str, folder: str, file_format: str | None = None) -> str:
-    """Write in the format of the input, replacing an earlier result; returns the path."""
+    """Write in the format of the input, replacing an earlier result; returns the path.
+
+    Column labels, where there are any, are written beside it into `<path>_labels`.
+    """
     path = deidentified_path(source_path, folder)
     ending = file_format or path.rsplit(".", 1)[-1].lower()
     if ending not in FORMATS:
@@ -27,22 +34,42 @@ def write_deidentified(df: DataFrame, source_path: str, folder: str, file_format
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(FORMATS[ending]).save(path)
+    if labels_in_schema(df.schema):
+        write_labels(df, f"{path}_labels")
     return path
 
 
-def write_encoding_map(mapping: DataFrame, path: str, output_path: str) -> DataFrame:
-    """Store an encoding map and return it read back, for use in `deidentify`.
+def write_labels(df: DataFrame, path: str) -> None:
+    """The labels of the columns, as CSV that `tables.read_labels` reads: column_name, label."""
+    rows = list(labels_in_schema(df.schema).items())
+    labels = rows_frame(df.sparkSession, rows, "column_name string, label string")
+    labels.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
-    The map undoes the encoding, so it may not lie inside the published output.
-    """
-    if (path.rstrip("/") + "/").startswith(output_path.rstrip("/") + "/"):
+
+def _apart(path: str, output_path: str) -> None:
+    """The map undoes the encoding, so it may not lie inside the published output."""
+    if (_plain(path) + "/").startswith(_plain(output_path) + "/"):
         raise ValueError("the encoding map must not be stored inside the published output")
+
+
+def _plain(path: str) -> str:
+    """A path without detours, and without the scheme of local files."""
+    scheme, mark, rest = path.rpartition("://")
+    if not mark:
+        scheme, rest = "", path.removeprefix("file:")
+    return ("" if scheme in ("", "file") else f"{scheme}://") + posixpath.normpath(rest)
+
+
+def write_encoding_map(mapping: DataFrame, path: str, output_path: str) -> DataFrame:
+    """Store an encoding map and return it read back, for use in `deidentify`."""
+    _apart(path, output_path)
     mapping.write.mode("overwrite").parquet(path)
     return mapping.sparkSession.read.parquet(path)
 
 
-def export_encoding_map(mapping: DataFrame, path: str) -> None:
+def export_encoding_map(mapping: DataFrame, path: str, output_path: str) -> None:
     """The map as CSV for people: variable, original value, encoded value."""
+    _apart(path, output_path)
     (
         mapping.select("variable", "original_value", "encoded_value")
         .write.mode("overwrite")
@@ -52,10 +79,21 @@ def export_encoding_map(mapping: DataFrame, path: str) -> None:
     )
 
 
+def _named(lines: DataFrame, column: str) -> Column:
+    """The line, after the name of its table where there is one."""
+    line = F.col(column)
+    return (F.concat(F.col("table_name"), F.lit(": "), line) if "table_name" in lines.columns else line).alias("line")
+
+
 def write_plan_report(plan: DataFrame, path: str) -> None:
-    plan_report(plan).select("line").coalesce(1).write.mode("overwrite").text(path)
+    lines = plan_report(plan)
+    lines.select(_named(lines, "line")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def append_log(findings: DataFrame, path: str) -> None:
-    """Add one line per decision to the detection log."""
-    log_messages(findings).select("message").write.mode("append").text(path)
+def append_log(findings: DataFrame, path: str, applied: list[str] | None = None) -> None:
+    """Add one line per decision to the log, and the lines of the apply step (`actions.apply_messages`)."""
+    lines = log_messages(findings)
+    said = lines.select(_named(lines, "message"))
+    if applied:
+        said = said.unionByName(rows_frame(findings.sparkSession, [(x,) for x in applied], "line string"))
+    said.write.mode("append").text(path)

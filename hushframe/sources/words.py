@@ -51,21 +51,33 @@ def system_columns(spark: SparkSession) -> DataFrame:
     return rows_frame(spark, [(w,) for w in fixed.SURVEY_SYSTEM_STRICT], "column_name string")
 
 
-def read_stopwords(spark: SparkSession, folder: str, languages: list[str]) -> DataFrame:
-    """Stop words from a folder with one newline-separated file per language."""
-    lines = spark.read.text([f"{folder.rstrip('/')}/{language}" for language in languages])
+def read_stopwords(spark: SparkSession, folder: str, languages: list[str] | None = None) -> DataFrame:
+    """Stop words from a folder with one newline-separated file per language.
+
+    Without `languages` all lists are read: the files whose names have no ending.
+    """
+    base = folder.rstrip("/")
+    paths = [base] if languages is None else [f"{base}/{language}" for language in languages]
+    lines = spark.read.text(paths)
     language = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return (
-        lines.select(language.alias("language"), F.col("value").alias("word"))
-        .where("word <> ''")
-        .distinct()
-    )
+    read = lines.select(language.alias("language"), F.col("value").alias("word")).where("word <> ''")
+    if languages is None:
+        read = read.where(~F.contains("language", F.lit(".")) & (F.lower("language") != "readme"))
+    return read.distinct()
+
+
+#: The languages whose stop words ship with Spark.
+SHIPPED_LANGUAGES = (
+    "danish", "dutch", "english", "finnish", "french", "german", "hungarian", "italian", "norwegian", "portuguese",
+    "russian", "spanish", "swedish", "turkish",
+)
 
 
 def default_stopwords(
-    spark: SparkSession, languages: tuple[str, ...] = ("english", "spanish")
+    spark: SparkSession, languages: tuple[str, ...] | None = ("english", "spanish")
 ) -> DataFrame:
-    """The stop words that ship with Spark, for languages it knows."""
+    """The stop words that ship with Spark, for languages it knows; None means all of them."""
+    languages = SHIPPED_LANGUAGES if languages is None else languages
     rows = [
         (language, word)
         for language in languages

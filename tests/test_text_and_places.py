@@ -199,7 +199,7 @@ def both_ways(spark, texts_, listed):
     df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts_)], "id int, a string, b string")
     listed_df = spark.createDataFrame([(w,) for w in listed], "word string")
     projected = mask.mask_words(df, ["a", "b"], [w for w in listed if w is not None])
-    joined = mask.mask_found_words(df, "id", ["a", "b"], listed_df)
+    joined = mask.mask_found_words(df, ["a", "b"], listed_df)
     assert projected.columns == joined.columns == ["id", "a", "b"]
     return [[(r.a, r.b) for r in d.orderBy("id").collect()] for d in (projected, joined)]
 
@@ -245,7 +245,7 @@ def test_masking_with_a_hot_word_in_every_row(spark):
     words_ = spark.range(3000).selectExpr("concat('555-', id) as word").unionAll(
         spark.createDataFrame([("Maria",)], "word string")
     )
-    got = mask.mask_found_words(df, "id", ["t"], words_)
+    got = mask.mask_found_words(df, ["t"], words_)
     assert got.count() == 3000
     left = got.where("t like '%Maria%' or t like '%555-%' or t not like 'XXXX XXXX%'")
     assert left.count() == 0

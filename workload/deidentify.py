@@ -42,7 +42,7 @@ def _hmac_sql(value: str, key: str = SECRET_KEY) -> str:
 
 def _encoded(spark, sf_dir, name, columns):
     data = table(spark, sf_dir, name)
-    return encode.encode(data, columns, settle(encode.encoding_map(data, columns, SECRET_KEY)))
+    return encode.encode(data, columns, settle(encode.code_map(data, columns, SECRET_KEY)), secret_key=SECRET_KEY)
 
 
 def encode_ordinal(spark, sf_dir):
@@ -58,8 +58,8 @@ def encode_numeric(spark, sf_dir):
 def encode_display_format(spark, sf_dir):
     """Amounts are encoded as displayed, with two decimals."""
     data, shown = table(spark, sf_dir, "part"), {"p_retailprice": "%.2f"}
-    mapping = settle(encode.encoding_map(data, ["p_retailprice"], SECRET_KEY, shown))
-    return encode.encode(data, ["p_retailprice"], mapping, shown).select("p_partkey", "p_retailprice")
+    mapping = settle(encode.code_map(data, ["p_retailprice"], SECRET_KEY, shown))
+    return encode.encode(data, ["p_retailprice"], mapping, shown, SECRET_KEY).select("p_partkey", "p_retailprice")
 
 
 def encode_text(spark, sf_dir):
@@ -94,8 +94,8 @@ def decode_then_encode(spark, sf_dir):
     decoded = encode.decode_value_labels(
         table(spark, sf_dir, "customer"), ["c_nationkey"], value_labels(spark, sf_dir)
     )
-    mapping = settle(encode.encoding_map(decoded, ["c_nationkey"], SECRET_KEY))
-    return encode.encode(decoded, ["c_nationkey"], mapping).select("c_custkey", "c_nationkey")
+    mapping = settle(encode.code_map(decoded, ["c_nationkey"], SECRET_KEY))
+    return encode.encode(decoded, ["c_nationkey"], mapping, secret_key=SECRET_KEY).select("c_custkey", "c_nationkey")
 
 
 def strip_value_labels(spark, sf_dir):
@@ -116,24 +116,26 @@ def apply_plan(spark, sf_dir):
     overrides = rows_frame(spark, CHOICES, "column_name string, action string")
     chosen = actions.chosen_actions(actions.action_plan(findings, overrides))
     to_encode = [c for c, action in chosen.items() if action == "Encode"]
-    mapping = settle(encode.encoding_map(survey.data, to_encode, SECRET_KEY))
-    return actions.deidentify(survey.data, chosen, mapping)
+    mapping = settle(encode.code_map(survey.data, to_encode, SECRET_KEY))
+    return actions.deidentify(survey.data, chosen, mapping, secret_key=SECRET_KEY)
 
 
 def apply_plan_with_mask(spark, sf_dir):
     """A table with open text: key and length dropped, language encoded, words masked."""
     data = table(spark, sf_dir, "documents")
     chosen = {"n_chars": "Drop", "lang": "Encode", "source": "Keep"}
-    mapping = settle(encode.encoding_map(data, ["lang"], SECRET_KEY))
-    return actions.deidentify(data, chosen, mapping, text_columns=["text"], words=["that", "thatin", "555-"])
+    mapping = settle(encode.code_map(data, ["lang"], SECRET_KEY))
+    return actions.deidentify(
+        data, chosen, mapping, text_columns=["text"], words=["that", "thatin", "555-"], secret_key=SECRET_KEY
+    )
 
 
 def apply_plan_with_found_words(spark, sf_dir):
-    """Open text whose phone-like words are found, and then masked by joins while the row key goes."""
+    """Open text whose phone-like words are found, and then masked by joins."""
     data = table(spark, sf_dir, "documents")
     found = freetext.phone_tokens(freetext.tokens(data, ["text"])).withColumnRenamed("token", "word")
     return actions.deidentify(
-        data, {"doc_id": "Drop", "source": "Drop"}, text_columns=["text", "source"], words=found, row_key="doc_id"
+        data, {"doc_id": "Drop", "source": "Drop"}, text_columns=["text", "source"], words=found
     )
 
 

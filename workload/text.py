@@ -138,15 +138,15 @@ def tokens_sql(name: str, columns: tuple[str, ...] = ("text",)) -> str:
 
 _IS_PHONE = f"regexp_matches(token, {quote(PHONE_TOKEN_SQL)})"
 _CTES = f"""
-tokens AS ({tokens_sql("documents")}),
+tokens AS MATERIALIZED ({tokens_sql("documents")}),
 stop AS {STOP_SQL},
 names AS (SELECT token AS name, count(*) * 10 AS incidence, length(token) % 5 <> 0 AS has_jurisdiction
   FROM ({_words_sql("conversations")}) WHERE length(token) > 2 AND regexp_matches(token, '^[A-Z]') GROUP BY token),
-person AS (SELECT name FROM names WHERE incidence > 50 AND has_jurisdiction),
+person AS MATERIALIZED (SELECT name FROM names WHERE incidence > 50 AND has_jurisdiction),
 tags AS (SELECT DISTINCT token, CASE length(token) % 4 WHEN 0 THEN 'PROPN' WHEN 1 THEN 'NOUN'
     WHEN 2 THEN '' ELSE 'VERB' END AS tag
   FROM ({_words_sql("benchmark")} UNION ALL {_words_sql("conversations")}) WHERE length(token) > 2),
-accepted AS (SELECT token FROM tags WHERE tag IN {in_list(fixed.NAME_LIKE_TAGS)}),
+accepted AS MATERIALIZED (SELECT DISTINCT token FROM tags WHERE tag IN {in_list(fixed.NAME_LIKE_TAGS)}),
 towns AS (SELECT DISTINCT token AS name, CASE WHEN length(token) % 2 = 0 THEN 'mx' ELSE 'ke' END AS country_iso,
     CASE length(token) % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE length(token) * 4000 END AS population
   FROM ({_words_sql("benchmark")}) WHERE length(token) > 2)"""
@@ -155,17 +155,16 @@ towns AS (SELECT DISTINCT token AS name, CASE WHEN length(token) % 2 = 0 THEN 'm
 def _search_sql(rest: str, towns_where: str) -> str:
     """The search over CTE `tokens`; `rest` names the words left after phones, stop words and tags."""
     return f"""
-phones AS (SELECT token FROM tokens WHERE {_IS_PHONE}),
-said AS (SELECT token FROM tokens WHERE NOT {_IS_PHONE} AND token NOT IN (SELECT word FROM stop)),
-bare AS (SELECT DISTINCT regexp_replace(token, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS token FROM said),
-tagged AS (SELECT token FROM bare WHERE token IN (SELECT token FROM accepted)),
-named AS (SELECT token FROM {rest} WHERE token IN (SELECT name FROM person)),
-placed AS (SELECT token, population FROM {rest} JOIN (SELECT * FROM towns {towns_where}) t ON t.name = token
-  WHERE token NOT IN (SELECT token FROM named)),
-low AS (SELECT token FROM placed WHERE population < 20000
-  OR (population IS NULL AND (SELECT max(population) >= 20000 FROM placed))),
+phones AS MATERIALIZED (SELECT token FROM tokens WHERE {_IS_PHONE}),
+said AS MATERIALIZED (SELECT t.token FROM tokens t ANTI JOIN stop s ON s.word = t.token WHERE NOT {_IS_PHONE}),
+bare AS MATERIALIZED (SELECT DISTINCT regexp_replace(token, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS token FROM said),
+tagged AS MATERIALIZED (SELECT b.token FROM bare b SEMI JOIN accepted a ON a.token = b.token),
+named AS MATERIALIZED (SELECT r.token FROM {rest} r SEMI JOIN person p ON p.name = r.token),
+placed AS MATERIALIZED (SELECT r.token, t.population FROM {rest} r
+  JOIN (SELECT * FROM towns {towns_where}) t ON t.name = r.token ANTI JOIN named n ON n.token = r.token),
+highest AS MATERIALIZED (SELECT coalesce(max(population) >= 20000, false) AS any_high FROM placed),
 found AS (SELECT token, 'phone' AS kind FROM phones UNION ALL SELECT token, 'name' FROM named
-  UNION ALL SELECT token, 'place' FROM low)"""
+  UNION ALL SELECT token, 'place' FROM placed, highest WHERE population < 20000 OR (population IS NULL AND any_high))"""
 
 
 # ------------------------------------------------------------------------------------ masking
@@ -189,14 +188,14 @@ def _listed(spark):
 
 def mask_text_by_join(spark, sf_dir):
     """The same list as `mask_text`, by the way that takes any number of words."""
-    found = mask.mask_found_words(_documents(spark, sf_dir), "doc_id", ["text"], _listed(spark))
+    found = mask.mask_found_words(_documents(spark, sf_dir), ["text"], _listed(spark))
     return found.select("doc_id", "text")
 
 
 def mask_found_words(spark, sf_dir):
     """Masks every phone-like word that the documents themselves contain."""
     found = phone_tokens(spark, sf_dir).withColumnRenamed("token", "word")
-    masked = mask.mask_found_words(_documents(spark, sf_dir), "doc_id", ["text", "source"], found)
+    masked = mask.mask_found_words(_documents(spark, sf_dir), ["text", "source"], found)
     return masked.select("doc_id", "text", "source")
 
 

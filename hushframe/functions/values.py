@@ -133,21 +133,14 @@ def short_key_sql(text: str) -> str:
     return f"(case when octet_length({text}) < 64 then {text} else sha2({text}, 256) end)"
 
 
-def sketched_sql(field: T.StructField) -> str:
-    """The value in a type that distinct-count sketches take."""
-    value = name_sql(field.name)
-    if isinstance(field.dataType, _INTEGRAL):
-        return f"cast({value} as bigint)"
-    if isinstance(field.dataType, _FLOATING):
-        return f"cast({value} + 0.0D as string)"
-    return value if isinstance(field.dataType, (T.StringType, T.BinaryType)) else f"cast({value} as string)"
-
-
 def _java(shapes: list[str]) -> str:
     # \s in the shapes includes the four ASCII separators 1C..1F, which Java leaves out even
     # with (?U), the flag that widens \d and \s beyond ASCII.
     either = "|".join(shapes)
-    either = either.replace(r"[-.\s]", r"[-.\s\x1c-\x1f]").replace(r"\s*", r"[\s\x1c-\x1f]*")
+    widened = either.replace(r"[-.\s]", r"[-.\s\x1c-\x1f]").replace(r"\s*", r"[\s\x1c-\x1f]*")
+    if widened.count(r"\x1c-\x1f") != either.count(r"\s"):
+        raise ValueError("a shape uses \\s in a form that is not widened to the ASCII separators")
+    either = widened
     return "(?:" + either + ")"
 
 

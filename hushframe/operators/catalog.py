@@ -22,37 +22,31 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def with_label(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Add each column's label; empty where there is none.
+    """Add each column's label; empty where there is none. Several labels are joined by ` / `.
 
     Labels carry `table_name` when they describe several tables.
     """
     if labels is None:
         return columns.withColumn("label", F.lit(""))
     keys = [k for k in ("table_name", "column_name") if k in labels.columns]
-    one = labels.groupBy(*keys).agg(F.max("label").alias("label"))
+    one = labels.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("label")), " / ").alias("label"))
     return columns.join(one, keys, "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
 def match_words(columns: DataFrame, dictionary: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """All (column, word) hits, on the name and on the label, ignoring case.
+    """All (column, word) hits, on the name and on each label, ignoring case.
 
     A strict word equals the name or label, a fuzzy word occurs inside it. Each text is cut into its
     substrings up to the longest word, which makes containment an equi-join on the word: no nested
     loop over columns and words, however many there are of either.
     """
     longest = dictionary.agg(F.max(F.char_length("word")).alias("n")).scalar()
-    sides = F.array(
-        F.struct(F.lit("name").alias("matched_on"), F.lower("column_name").alias("text")),
-        F.struct(F.lit("label").alias("matched_on"), F.lower("label").alias("text")),
-    )
-    texts = (
-        with_label(columns, labels)
-        .withColumn("side", F.explode(sides))
-        .select("*", "side.matched_on", "side.text")
-        .drop("side")
-        .where("text <> ''")
-        .withColumn("longest", longest)
-    )
+    texts = columns.withColumns({"matched_on": F.lit("name"), "text": F.lower("column_name")})
+    if labels is not None:
+        keys = [k for k in ("table_name", "column_name") if k in labels.columns]
+        each = labels.select(*keys, F.lower("label").alias("text")).distinct()
+        texts = texts.unionByName(columns.join(each, keys).withColumn("matched_on", F.lit("label")))
+    texts = texts.where("text <> ''").withColumn("longest", longest)
     substrings = F.expr(
         """array_distinct(flatten(transform(
              sequence(1, char_length(text)),
@@ -65,6 +59,7 @@ def match_words(columns: DataFrame, dictionary: DataFrame, labels: DataFrame | N
         pieces.join(words, "piece")
         .where("match_kind = 'fuzzy' or piece = text")
         .drop("piece", "text")
+        .distinct()
     )
 
 

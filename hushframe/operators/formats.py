@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +33,8 @@ def first_values(
     Columns: `column_name`, `position` (1..n), `value` (text). `order_by` must identify a row.
 
     Most columns have their first values within the first rows of the table; those are read first
-    (`early_values`). Columns that are too empty there are searched in the whole table instead, each
-    by a bounded top-n over that column and the order key.
+    (`early_values`). Columns that are too empty there are searched in the whole table instead, all
+    of them by one scan.
     """
     fields = scalar_fields(df, columns)
     if not fields:
@@ -46,11 +44,11 @@ def first_values(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled")
     )
     short = [r.column_name for r in counts.collect() if needs_whole_table(r.rows, r.filled, n)]
-    parts = [_first_of(df, order_by, f, n) for f in fields if f.name in short]
     found = early.where(F.col("value").isNotNull() & (F.col("position") <= n))
-    if short:
-        found = found.where(~F.col("column_name").isin(short))
-    return reduce(DataFrame.unionAll, parts, found)
+    if not short:
+        return found
+    late = whole_table_values(df, order_by, short, n)
+    return found.where(~F.col("column_name").isin(short)).select("column_name", "position", "value").unionByName(late)
 
 
 def needs_whole_table(rows: int, filled: int, n: int = SAMPLED_VALUES) -> bool:
@@ -83,10 +81,19 @@ def early_values(
     return _numbered(long, ["value is null", *keys])
 
 
-def whole_table_values(df: DataFrame, order_by: tuple[str, ...], columns: list[str], n: int = SAMPLED_VALUES):
-    """The first `n` non-empty values of each column, searched in the whole table."""
-    fields = scalar_fields(df, columns)
-    return reduce(DataFrame.unionAll, [_first_of(df, order_by, f, n) for f in fields])
+def whole_table_values(df: DataFrame, order_by: tuple[str, ...], columns: list[str], n: int = SAMPLED_VALUES) -> DataFrame:
+    """The first `n` non-empty values of each column, searched in the whole table by one scan.
+
+    Non-empty cells become rows, and each task keeps its first `n` per column before the shuffle.
+    """
+    keys = [f"k{i}" for i in range(len(order_by))]
+    cells = ", ".join(
+        f"case when {present_sql(f)} then struct({text_sql(f.name)} as column_name, {as_text_sql(f)} as value) end"
+        for f in scalar_fields(df, columns)
+    )
+    named = [f"{name_sql(c)} as {k}" for c, k in zip(order_by, keys)]
+    long = df.selectExpr(f"inline(filter(array({cells}), x -> x is not null))", *named)
+    return _numbered(long, keys).where(F.col("position") <= n)
 
 
 def _nothing(df: DataFrame) -> DataFrame:
@@ -103,21 +110,6 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _first_of(df: DataFrame, order_by: tuple[str, ...], field: T.StructField, n: int) -> DataFrame:
-    keys = [f"k{i}" for i in range(len(order_by))]
-    found = (
-        df.where(present_sql(field))
-        .selectExpr(
-            f"{text_sql(field.name)} as column_name",
-            f"{as_text_sql(field)} as value",
-            *[f"{name_sql(c)} as {k}" for c, k in zip(order_by, keys)],
-        )
-        .orderBy(*keys)
-        .limit(n)
-    )
-    return _numbered(found, keys)
-
-
 def sample_shapes(sample: DataFrame, keys: tuple[str, ...] = ("column_name",)) -> DataFrame:
     """Which columns of a sample of values hold at least one phone or date shape."""
     return sample.groupBy(*keys).agg(*shape_tests())

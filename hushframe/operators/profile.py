@@ -22,7 +22,7 @@ from hushframe.functions.values import (
     is_text,
     name_sql,
     quoted,
-    sketched_sql,
+    text_sql,
 )
 from hushframe.session import rows_frame
 
@@ -46,7 +46,7 @@ def sparsity_profile(
     Exact mode turns the cells of all tables into rows of (column, value), keeping the value's type,
     and counts them in one grouping, whose map side folds repeated values before the shuffle.
 
-    Approximate mode estimates all columns of a table in one pass without a shuffle of values and
+    Approximate mode estimates all columns of all tables in one job without a shuffle of values and
     counts exactly only the columns whose estimate lies near one of the two thresholds.
     """
     session = next(iter(tables.values())).sparkSession
@@ -113,28 +113,35 @@ def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
     return df.selectExpr(f"inline(array({', '.join(cells)}))").where("id is not null")
 
 
+# The estimates scatter by this much, so a column within the band around a threshold is recounted.
+_ERROR, _BAND = 0.02, 0.1
+
+
 def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]]) -> DataFrame | None:
-    rows, near = [], []
+    """One pass over each table, all tables in one job, and exact counts of what lies near a threshold."""
+    branches = []
     for table, df in tables.items():
         own = [(i, f) for i, (t, f) in enumerate(fields) if t == table]
         if not own:
             continue
-        estimates = []
+        counted, cells = [], []
         for i, f in own:
             value = f"case when {clean_sql(f)} then {name_sql(f.name)} end"
-            printed = f"case when {clean_sql(f)} then {sketched_sql(f)} end"
-            estimates += [
-                F.expr(f"count({value}) as n_{i}"),
-                F.expr(f"hll_sketch_estimate(hll_sketch_agg({printed}, 12)) as d_{i}"),
+            counted += [
+                F.expr(f"count({value})").alias(f"n_{i}"),
+                F.expr(f"approx_count_distinct({value}, {_ERROR})").alias(f"d_{i}"),
             ]
-        seen = df.agg(*estimates).first()
-        for i, f in own:
-            n, d = seen[f"n_{i}"], seen[f"d_{i}"]
-            limits = (SPARSE_STRING_RATIO, SPARSE_ENTRY_RATIO)
-            if n and any(abs(d / n - limit) <= 0.1 * limit for limit in limits):
-                near.append((i, table, f))
-            else:
-                rows.append((i, n, min(n, d)))
+            cells.append(f"struct({i} as id, n_{i} as n, d_{i} as d)")
+        branches.append(df.agg(*counted).selectExpr(f"inline(array({', '.join(cells)}))"))
+    if not branches:
+        return None
+    limits = (SPARSE_STRING_RATIO, SPARSE_ENTRY_RATIO)
+    rows, near = [], []
+    for i, n, d in reduce(DataFrame.unionAll, branches).collect():
+        if n and any(abs(d / n - limit) <= _BAND * limit for limit in limits):
+            near.append((i, *fields[i]))
+        else:
+            rows.append((i, n, min(n, d)))
     session = next(iter(tables.values())).sparkSession
     estimated = rows_frame(session, rows, _COUNTED_SCHEMA)
     if not near:
@@ -144,6 +151,20 @@ def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructF
     return estimated.unionAll(recounted.select("own", "n_values", "n_distinct"))
 
 
+def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Count of clean values per column (table_name, column_name, n_values): one pass, no shuffle of values."""
+    branches = []
+    for table, df in tables.items():
+        own = scalar_fields(df, None if columns is None else columns.get(table, []))
+        if own:
+            counted = [F.expr(f"count_if({clean_sql(f)})").alias(f"n_{i}") for i, f in enumerate(own)]
+            cells = ", ".join(f"struct({text_sql(f.name)} as column_name, n_{i} as n_values)" for i, f in enumerate(own))
+            listed = df.agg(*counted).selectExpr(f"inline(array({cells}))")
+            branches.append(listed.select(F.lit(table).alias("table_name"), "*"))
+    session = next(iter(tables.values())).sparkSession
+    return reduce(DataFrame.unionAll, branches) if branches else rows_frame(session, [], "table_name string, column_name string, n_values bigint")
+
+
 def sparse(profile: DataFrame, threshold: float = SPARSE_ENTRY_RATIO) -> DataFrame:
     """Columns whose distinct values exceed the given share; a column without values never does."""
     return profile.where(F.col("ratio") > threshold)

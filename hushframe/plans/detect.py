@@ -2,14 +2,16 @@
 
 A finding is one row (table_name, column_name, method, word, match_kind, matched_on, evidence,
 reason). Detectors take `columns`, the names still open per table, so that cheap tests come first
-and the expensive ones read only what is left. What reaches the driver is names and findings: never
-more than a row per column, the same order of size as the schemas it already holds.
+and the expensive ones read only what is left. What reaches the driver is names and findings: a few
+rows per column at most, the same order of size as the schemas it already holds.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,7 @@ def by_name(
     columns: Open | None = None,
     with_locations: bool = True,
     dictionary: DataFrame | None = None,
+    mode: str = "approx",
 ) -> DataFrame:
     """Columns whose name or label hits a restricted word.
 
@@ -120,9 +123,12 @@ def by_name(
     if dictionary is None:
         groups = word_lists.word_groups(_session(surveys))
         dictionary = word_lists.effective_dictionary(groups, with_locations)
-    # Hits are metadata: they decide which columns are read at all.
+    # Hits are metadata: they decide which columns are read at all. Only the first word of each
+    # kind, on name and on label, can be reported: four rows per column at most.
     hit_rows = (
         catalog.match_words(_open_catalog(surveys, columns), dictionary, _labels(surveys))
+        .groupBy("table_name", "column_name", "match_kind", "matched_on", "is_text")
+        .agg(F.min("word").alias("word"))
         .select("table_name", "column_name", "word", "match_kind", "matched_on", "is_text")
         .collect()
     )
@@ -135,7 +141,7 @@ def by_name(
     for table, column in sorted({(r[0], r[1]) for r in hit_rows if r.match_kind == "fuzzy" and r.is_text}):
         to_profile[table].append(column)
     keys = ["table_name", "column_name"]
-    seen = profile.sparsity_profile({s.name: s.data for s in surveys}, to_profile)
+    seen = profile.sparsity_profile({s.name: s.data for s in surveys}, to_profile, mode)
     sparse = profile.sparse_strings(seen).select(*keys, F.lit(True).alias("sparse"))
     hits = hits.join(sparse, keys, "left")
     labelled = _many_value_labels(surveys)
@@ -182,7 +188,8 @@ def by_location(
 ) -> DataFrame:
     """Columns with a location word in name or label that hold a place of low population.
 
-    Places are looked up once per distinct value, in the order in which the values first appear.
+    Places are looked up once per distinct value, in the order in which the values first appear, in
+    the country of the survey, or in `country` where the survey names none.
     """
     columns = all_columns(surveys) if columns is None else columns
     words = word_lists.location_dictionary(word_lists.word_groups(_session(surveys)))
@@ -215,7 +222,7 @@ def by_location(
             for c in searched
         ]
         looked_up = places.place_lookup(
-            reduce(DataFrame.unionAll, lists), gazetteer, fixed.COUNTRY_ISO.get(country), second_source
+            reduce(DataFrame.unionAll, lists), gazetteer, fixed.COUNTRY_ISO.get(s.country or country), second_source
         )
         found.append(
             places.first_low_population_place(
@@ -305,18 +312,19 @@ def by_free_text(
     names: DataFrame,
     gazetteer: DataFrame,
     country: str | None = None,
+    mode: str = "approx",
     **lookups,
 ) -> tuple[list[str], DataFrame | None]:
     """The sparse text columns among `columns`, and the personal words (token, kind) in them.
 
     `lookups` (tags, language, second source) are passed on to `freetext.personal_tokens`.
     """
-    seen = profile.sparsity_profile({survey.name: survey.data}, {survey.name: columns})
+    seen = profile.sparsity_profile({survey.name: survey.data}, {survey.name: columns}, mode)
     chosen = [r.column_name for r in profile.sparse_strings(seen).select("column_name").collect()]
     if not chosen:
         return [], None
     return chosen, freetext.personal_tokens(
-        survey.data, chosen, stopwords, names, gazetteer, fixed.COUNTRY_ISO.get(country), **lookups
+        survey.data, chosen, stopwords, names, gazetteer, fixed.COUNTRY_ISO.get(survey.country or country), **lookups
     )
 
 
@@ -343,22 +351,38 @@ def searched_columns(surveys: list[Survey], exclude_system: bool = True) -> Open
 
 
 def cascade_with_free_text(
-    survey: Survey,
+    surveys: list[Survey],
     stopwords: DataFrame | None,
     names: DataFrame,
     gazetteer: DataFrame,
     exclude_system: bool = True,
+    with_locations: bool = False,
+    country: str | None = None,
+    second_source: DataFrame | None = None,
+    full_scan: bool = False,
     **lookups,
-) -> tuple[DataFrame, list[str], DataFrame | None]:
+) -> tuple[DataFrame, dict[str, list[str]], DataFrame | None]:
     """The cascade with a search of open text as its last step instead of sparse entries.
 
-    Returns the findings, the open-text columns among the columns left, and the personal words in
-    them (see `by_free_text`).
+    `with_locations` runs the population check in the cascade too. Returns the findings, the open-text
+    columns of each table among the columns left, and the personal words in them (table_name, token,
+    kind; see `by_free_text`).
     """
-    findings = cascade([survey], exclude_system, sparsity=False)
-    left = remaining_columns(searched_columns([survey], exclude_system), findings)[survey.name]
-    columns, words = by_free_text(survey, left, stopwords, names, gazetteer, **lookups)
-    return findings, columns, words
+    places_too = {"gazetteer": gazetteer, "country": country, "second_source": second_source} if with_locations else {}
+    findings = cascade(surveys, exclude_system, sparsity=False, full_scan=full_scan, **places_too)
+    left = remaining_columns(searched_columns(surveys, exclude_system), findings)
+    columns, found = {}, []
+    for s in surveys:
+        columns[s.name], words = by_free_text(
+            s, left[s.name], stopwords, names, gazetteer, country, second_source=second_source, **lookups
+        )
+        if words is not None:
+            found.append(words.select(F.lit(s.name).alias("table_name"), "token", "kind"))
+    return findings, columns, reduce(DataFrame.unionAll, found) if found else None
+
+
+# Jobs of one step that run at the same time.
+_JOBS_AT_ONCE = 4
 
 
 def cascade(
@@ -368,7 +392,7 @@ def cascade(
     country: str | None = None,
     second_source: DataFrame | None = None,
     sparsity: bool = True,
-    sparsity_mode: str = "exact",
+    sparsity_mode: str = "approx",
     full_scan: bool = False,
 ) -> DataFrame:
     """Findings of all detectors: names, places (if a gazetteer is given), formats, sparse entries.
@@ -376,19 +400,30 @@ def cascade(
     Every column is reported at most once, by the first detector that finds it, and later detectors
     do not read it. With a gazetteer the location words leave the name detector. `sparsity=False`
     leaves out the last step, for tables whose open text is searched word by word instead.
+
+    Names are matched once for all tables; the steps that read values take wide catalogs in batches,
+    some of them at the same time.
     """
     data = {s.name: s for s in surveys}
     columns = searched_columns(surveys, exclude_system)
-    steps = [lambda part, open_: by_name(part, open_, with_locations=gazetteer is None)]
+    named = by_name(surveys, columns, with_locations=gazetteer is None, mode=sparsity_mode)
+    found: list[tuple] = [tuple(r) for r in named.collect()]
+    columns = _without(columns, {(row[0], row[1]) for row in found})
+    steps = []
     if gazetteer is not None:
         steps.append(lambda part, open_: by_location(part, gazetteer, country, open_, second_source))
     steps.append(lambda part, open_: by_format(part, open_, full_scan))
     if sparsity:
         steps.append(lambda part, open_: by_sparsity(part, open_, mode=sparsity_mode))
-    found: list[tuple] = []
     for step in steps:
-        for batch in _batches(columns):
-            found += [tuple(r) for r in step([data[t] for t in batch], batch).collect()]
+        def run(batch: Open, step=step) -> list[tuple]:
+            return [tuple(r) for r in step([data[t] for t in batch], batch).collect()]
+
+        with ThreadPoolExecutor(_JOBS_AT_ONCE) as pool:
+            # each thread takes over the job settings of this one
+            jobs = [pool.submit(inheritable_thread_target(_session(surveys))(run), batch) for batch in _batches(columns)]
+            for job in jobs:
+                found += job.result()
         columns = _without(columns, {(row[0], row[1]) for row in found})
     return rows_frame(_session(surveys), found, FINDING_SCHEMA)
 

@@ -23,21 +23,28 @@ def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=fields)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors can read.
+
+    Only a local session without one gets a folder of its own; a cluster session without it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
+        folder = tempfile.mkdtemp(prefix="hushframe-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint `df` into the shared folder, so that later uses read it instead of recomputing it.
 
-    The folder is the one named in spark.checkpoint.dir. Only a local session without that setting
-    gets a folder of its own, because executors elsewhere could not read it.
+    What is settled must hold no personal value in clear.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
-            folder = tempfile.mkdtemp(prefix="hushframe-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

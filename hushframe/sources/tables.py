@@ -20,7 +20,8 @@ class Survey:
 
     `labels(column_name, label)` and `value_labels(column_name, code, label)` are optional.
     `order_by` names the columns that put the rows in file order; they must identify a row.
-    `data` should be a stored table: detectors read it column by column, several times.
+    `data` should be a stored table: detectors read it column by column, several times. `country`
+    is where its places lie, for the population check.
     """
 
     name: str
@@ -28,35 +29,46 @@ class Survey:
     labels: DataFrame | None = None
     value_labels: DataFrame | None = None
     order_by: tuple[str, ...] = field(default=())
+    country: str | None = None
 
 
 def read_table(
-    spark: SparkSession, path: str, file_format: str | None = None, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    file_format: str | None = None,
+    multi_line: bool = True,
+    stored: str | None = None,
 ) -> DataFrame:
     """Read a table by its file ending (or by `file_format` for folders without one).
 
-    `multi_line=False` is for CSV files without line breaks inside quotes: they can be split.
+    A CSV file whose quotes hold line breaks cannot be split; `multi_line=False` is for files without
+    them. `stored` names a folder of the caller's, a protected one, for a CSV file that is read often:
+    it is parsed once, written there as Parquet, and read from there.
     """
     ending = file_format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending not in FORMATS:
         raise ValueError(f"unsupported file type {ending!r}; supported: {', '.join(sorted(FORMATS))}")
-    if ending == "csv":
-        return _read_csv(spark, path, multi_line)
-    return spark.read.format(FORMATS[ending]).load(path)
+    if ending != "csv":
+        return spark.read.format(FORMATS[ending]).load(path)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+    if stored is not None:
+        raw.write.mode("overwrite").parquet(stored)
+        raw = spark.read.schema(raw.schema).parquet(stored)
+    return typed(raw)
 
 
-def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """CSV with the NA spellings as null and columns typed as whole number, number or text.
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns with the NA spellings as null, typed as whole number, number or text.
 
-    Types are decided over the whole file: Spark's own inference would take one null spelling only
-    and would turn dates into timestamps, which flat-file readers leave as text.
+    Types are decided over all rows, in one pass: Spark's own inference would take one null spelling
+    only and would turn dates into timestamps, which flat-file readers leave as text.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
-    text = null_spellings(raw)
-    if not text.columns:
+    text = null_spellings(df)
+    names = [f.name for f in text.schema.fields if is_text(f)]
+    if not names:
         return text
     facts = []
-    for i, name in enumerate(text.columns):
+    for i, name in enumerate(names):
         value = quoted(name)
         number = value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
         digits = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()
@@ -66,15 +78,14 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
             F.bool_and(whole).alias(f"whole_{i}"),
         ]
     decided = text.agg(*facts).first()
-    typed = []
-    for i, name in enumerate(text.columns):
-        value = quoted(name)
-        if decided[f"whole_{i}"]:
-            value = F.trim(value).cast("bigint")
-        elif decided[f"number_{i}"]:
-            value = F.trim(value).cast("double")
-        typed.append(value.alias(name))
-    return text.select(typed)
+    kinds = {n: "bigint" if decided[f"whole_{i}"] else "double" if decided[f"number_{i}"] else "" for i, n in enumerate(names)}
+    cells = []
+    for f in text.schema.fields:
+        value = quoted(f.name)
+        if kinds.get(f.name):
+            value = F.trim(value).cast(kinds[f.name]).alias(f.name, metadata=f.metadata)
+        cells.append(value)
+    return text.select(cells)
 
 
 def null_spellings(df: DataFrame, spellings: list[str] = NA_SPELLINGS) -> DataFrame:
@@ -113,25 +124,28 @@ def read_survey(
     labels_path: str | None = None,
     value_labels_path: str | None = None,
     order_by: tuple[str, ...] = (),
+    country: str | None = None,
+    stored: str | None = None,
 ) -> Survey:
-    """Load a table and, where given, its labels and value labels."""
+    """Load a table and, where given, its labels and value labels; `stored` as in `read_table`."""
     name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return Survey(
         name=name,
-        data=read_table(spark, path),
+        data=read_table(spark, path, stored=stored),
         labels=read_labels(spark, labels_path) if labels_path else None,
         value_labels=read_value_labels(spark, value_labels_path) if value_labels_path else None,
         order_by=order_by,
+        country=country,
     )
 
 
 def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Put each column's label into its schema metadata under `label`.
+    """Put each column's label into its schema metadata under `label`; several are joined by ` / `.
 
     Only labels of columns that exist in `df` reach the driver: at most one row per column.
     """
     wanted = labels.where(F.col("column_name").isin(df.columns)).where("label is not null")
-    found = wanted.groupBy("column_name").agg(F.max("label").alias("label")).collect()
+    found = wanted.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_set("label")), " / ").alias("label")).collect()
     text = {row.column_name: row.label for row in found}
     return df.select(
         [

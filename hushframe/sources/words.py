@@ -52,14 +52,15 @@ def system_columns(spark: SparkSession) -> DataFrame:
 
 
 def read_stopwords(spark: SparkSession, folder: str, languages: list[str] | None = None) -> DataFrame:
-    """Stop words from a folder with one newline-separated file per language.
+    """Stop words from a folder with one newline-separated file, or folder of files, per language.
 
-    Without `languages` all lists are read: the files whose names have no ending.
+    Without `languages` all lists are read: what has a name without an ending.
     """
     base = folder.rstrip("/")
     paths = [base] if languages is None else [f"{base}/{language}" for language in languages]
-    lines = spark.read.text(paths)
-    language = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    lines = spark.read.option("recursiveFileLookup", languages is None).text(paths)
+    inside = F.substring_index(F.col("_metadata.file_path"), f"/{base.rsplit('/', 1)[-1]}/", -1)
+    language = F.split(inside, "/")[0]
     read = lines.select(language.alias("language"), F.col("value").alias("word")).where("word <> ''")
     if languages is None:
         read = read.where(~F.contains("language", F.lit(".")) & (F.lower("language") != "readme"))

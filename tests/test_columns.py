@@ -310,3 +310,26 @@ def test_early_rows_bound_reaches_the_scan(spark, tmp_path):
     assert early.count() == 400
     plan = early._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(IsNull(k),LessThanOrEqual(k,ScalarSubquery" in plan
+
+
+def test_all_labels_of_a_column_are_searched(spark):
+    df = spark.createDataFrame([("a",)], "q1 string")
+    labels = spark.createDataFrame([("q1", "zone"), ("q1", "Phone")], "column_name string, label string")
+    words = spark.createDataFrame([("phone", "strict"), ("zone", "strict")], "word string, match_kind string")
+    hits = catalog.match_words(catalog.column_catalog({"t": df}), words, labels).collect()
+    assert {(r.word, r.matched_on) for r in hits} == {("phone", "label"), ("zone", "label")}
+
+
+def test_plain_counts_equal_the_profile(spark):
+    df = typed(spark)
+    exact = {r.column_name: r.n_values for r in profile.sparsity_profile({"t": df}).collect()}
+    assert {r.column_name: r.n_values for r in profile.value_counts({"t": df}).collect()} == exact
+
+
+def test_sparse_columns_are_sampled_by_one_scan(spark, tmp_path):
+    spark.range(5000).selectExpr("id", *[f"case when id % 100 = {k} then concat('v', id) end as c{k}" for k in range(6)]).write.parquet(str(tmp_path / "t"))
+    found = formats.whole_table_values(spark.read.parquet(str(tmp_path / "t")), ("id",), [f"c{k}" for k in range(6)])
+    rows = found.collect()
+    assert {(r.column_name, r.position, r.value) for r in rows} == {(f"c{k}", p + 1, f"v{100 * p + k}") for k in range(6) for p in range(10)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") + plan.count("Scan parquet") <= 2 and "WindowGroupLimit" in plan

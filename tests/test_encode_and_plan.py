@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -111,6 +112,48 @@ def test_ranges_of_any_length_rank_alike(spark, digits):
     assert codes == expected_codes([f"v{i}" for i in range(333)])
 
 
+def test_values_without_a_code_are_an_error(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "v string, w string").withMetadata("v", {"label": "Name"})
+    mapping = settle(encode.encoding_map(df.where("v = 'a'"), ["v"], KEY))
+    with pytest.raises(Exception, match="has no code"):
+        encode.encode(df, ["v"], mapping).collect()
+    with pytest.raises(Exception, match="has no code"):
+        encode.encode(df, ["w"], mapping).collect()  # no entry of the column at all
+    with pytest.raises(ValueError, match="nope"):
+        encode.encode(df, ["nope"], mapping)
+    whole = encode.encode(df, ["v"], settle(encode.encoding_map(df, ["v"], KEY)))
+    assert whole.schema["v"].metadata == {"label": "Name"} and whole.count() == 2
+
+
+@pytest.mark.parametrize("rows_to_broadcast", [500000, 0])
+def test_codes_by_hash_equal_codes_by_value(spark, monkeypatch, rows_to_broadcast):
+    monkeypatch.setattr(session, "_BROADCAST_ROWS", rows_to_broadcast)
+    df = skewed(spark, 2000)
+    by_value = encode.encode(df, ["v"], settle(encode.encoding_map(df, ["v"], KEY)))
+    hashed = settle(encode.code_map(df, ["v"], KEY))
+    assert hashed.columns == ["variable", "hash", "encoded_value", "is_hot"]
+    assert sorted(by_value.collect(), key=str) == sorted(encode.encode(df, ["v"], hashed, secret_key=KEY).collect(), key=str)
+    with pytest.raises(ValueError, match="key"):
+        encode.encode(df, ["v"], hashed)
+
+
+def test_no_value_stays_in_the_shared_folder(spark):
+    """Finding, encoding and masking leave no value in clear among the intermediate files."""
+    from hushframe.operators import freetext
+
+    secret = "Wilhelmina"
+    df = spark.createDataFrame([(secret, f"ask {secret} or 555-1234")], "v string, t string")
+    names = spark.createDataFrame([(secret, "forename", 900, ["xx"])], "name string, name_type string, incidence long, jurisdictions array<string>")
+    towns = spark.createDataFrame([], "name string, country_iso string, population long")
+    words = freetext.personal_tokens(df, ["t"], None, names, towns).withColumnRenamed("token", "word")
+    codes = settle(encode.code_map(df, ["v"], KEY))
+    result = actions.deidentify(df, {"v": "Encode"}, codes, ["t"], words, secret_key=KEY).collect()
+    assert [tuple(r) for r in result] == [(1, "ask XXXX or XXXX")]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    for path in Path(folder).rglob("*"):
+        assert not path.is_file() or secret.encode() not in path.read_bytes(), path
+
+
 def test_long_hot_texts_are_encoded(spark):
     long = "copy " * 5000
     df = spark.range(3000).selectExpr("id", f"case when id % 3 = 0 then '{long}' else concat('{long}', id) end as t")
@@ -135,6 +178,55 @@ def test_plan_defaults_to_drop(spark):
         actions.chosen_actions(actions.action_plan(findings, wrong))
 
 
+def test_plans_of_several_tables(spark):
+    findings = spark.createDataFrame([("a", "text", "r1"), ("b", "text", "r2")], "table_name string, column_name string, reason string")
+    overrides = spark.createDataFrame([("b", "text", "Keep")], "table_name string, column_name string, action string")
+    plan = actions.action_plan(findings, overrides)
+    assert actions.chosen_actions(plan, "a") == {"text": "Drop"} and actions.chosen_actions(plan, "b") == {"text": "Keep"}
+    with pytest.raises(ValueError, match="a, b"):
+        actions.chosen_actions(plan)
+    double = spark.createDataFrame([("text", "Keep"), ("text", "Drop")], "column_name string, action string")
+    with pytest.raises(ValueError, match="text"):
+        actions.action_plan(findings, double)
+
+
+def test_report_and_log_name_their_tables(spark, tmp_path):
+    findings = spark.createDataFrame([("a", "text", "r"), ("b", "text", "r")], "table_name string, column_name string, reason string")
+    sinks.write_plan_report(actions.action_plan(findings), str(tmp_path / "report"))
+    assert {r[0] for r in spark.read.text(str(tmp_path / "report")).collect()} == {"a: Columns to drop: text", "b: Columns to drop: text"}
+    applied = actions.apply_messages({"text": "Drop", "id": "Encode"}, "a", "/protected/map", ["note"], ["Ana", "Bo", ""])
+    sinks.append_log(findings, str(tmp_path / "log"), applied)
+    assert {r[0] for r in spark.read.text(str(tmp_path / "log")).collect()} == {
+        "a: Column 'text' considered possible pii: r", "b: Column 'text' considered possible pii: r",
+        "a: Dropped columns: text", "a: Encoded columns: id", "a: Encoding map written to /protected/map", "a: 2 words masked in: note",
+    }
+
+
+def test_maps_stay_out_of_the_output(spark):
+    mapping = spark.createDataFrame([], "variable string, original_value string, encoded_value long")
+    for path in ("/out/m", "/out/../out/m", "file:///out/./m"):
+        with pytest.raises(ValueError, match="inside"):
+            sinks.write_encoding_map(mapping, path, "/out")
+        with pytest.raises(ValueError, match="inside"):
+            sinks.export_encoding_map(mapping, path, "/out/")
+
+
+def test_labels_are_written_beside_the_table(spark, tmp_path):
+    labels = spark.createDataFrame([("a", "Second"), ("a", "First")], "column_name string, label string")
+    df = tables.attach_labels(spark.createDataFrame([("x", 1)], "a string, b long"), labels)
+    encoded = encode.encode(df, ["a"], settle(encode.encoding_map(df, ["a"], KEY)))
+    path = sinks.write_deidentified(encoded, "/in/t.parquet", str(tmp_path))
+    assert [tuple(r) for r in tables.read_labels(spark, f"{path}_labels", "csv").collect()] == [("a", "First / Second")]
+
+
+def test_csv_is_parsed_once_into_a_folder(spark, tmp_path):
+    write_csv(tmp_path / "s.csv")
+    plain = tables.read_table(spark, str(tmp_path / "s.csv"))
+    stored = tables.read_table(spark, str(tmp_path / "s.csv"), stored=str(tmp_path / "stored"))
+    assert stored.schema == plain.schema and sorted(stored.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert all(f.endswith(".parquet") for f in stored.inputFiles())
+
+
 def write_csv(path):
     path.write_text(
         "id,name,age,score,note,when,empty\n"

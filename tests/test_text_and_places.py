@@ -179,6 +179,10 @@ def test_stop_words_from_files_and_from_spark(spark, tmp_path):
     assert {tuple(r) for r in read.collect()} == {
         ("english", "the"), ("english", "and"), ("spanish", "los"), ("spanish", "el"),
     }
+    (tmp_path / "notes.txt").write_text("no list\n", encoding="utf-8")
+    every = {tuple(r) for r in words.read_stopwords(spark, str(tmp_path)).collect()}
+    assert every == {tuple(r) for r in read.collect()}
+    assert {r.language for r in words.default_stopwords(spark, None).select("language").collect()} == set(words.SHIPPED_LANGUAGES)
     shipped = {tuple(r) for r in words.default_stopwords(spark).collect()}
     assert ("english", "the") in shipped and ("spanish", "los") in shipped and len(shipped) > 400
 
@@ -240,6 +244,40 @@ def test_masking_very_long_tokens_and_words(spark):
     assert projected == joined == expected
 
 
+def test_masking_unknown_columns_is_an_error(spark):
+    df = spark.createDataFrame([("call Ana",)], "t string")
+    for call in (lambda: mask.mask_words(df, ["tt"], ["Ana"]), lambda: mask.mask_found_words(df, ["tt"], df.select(F.lit("Ana").alias("word")))):
+        with pytest.raises(ValueError, match="tt"):
+            call()
+
+
+def test_rows_without_a_key_are_masked(spark):
+    df = spark.createDataFrame([(None, "call Ana now"), (None, "call Ana now"), (1, "Ana"), (2, None)], "id int, t string")
+    masked = mask.mask_found_words(df, ["t"], spark.createDataFrame([("Ana",)], "word string"))
+    assert sorted((r.t for r in masked.collect()), key=str) == [None, "XXXX", "call XXXX now", "call XXXX now"]
+
+
+def test_phrases_with_a_shared_part_meet_few_tokens(spark):
+    """A phrase is filed under its rarest piece, and no text gets a word that it does not contain."""
+    phrases = spark.range(20_000).selectExpr("concat('customer ', id) as word")
+    df = spark.range(400).selectExpr("id", "concat('to customer ', id * 50, ' and customer x') as t")
+    filed = mask._filed(phrases)
+    assert filed.groupBy("gram").count().agg(F.max("count")).first()[0] < 50
+    tokens = df.select(F.explode(F.split("t", " ")).alias("token")).distinct()
+    hits = mask._hits(tokens, filed, [1, 2, 3, 4])
+    assert hits.where("not contains(token, split(word, ' ')[1])").count() == 0 and hits.count() < 20_000
+    masked = mask.mask_found_words(df, ["t"], phrases).collect()
+    listed = [f"customer {i}" for i in range(20_000)]
+    for r in masked[::40]:
+        assert r.t == masked_in_python(f"to customer {r.id * 50} and customer x", listed)
+
+
+def test_masking_keeps_labels(spark):
+    df = spark.createDataFrame([("Ana",)], "t string").withMetadata("t", {"label": "Remark"})
+    for masked in (mask.mask_words(df, ["t"], ["Ana"]), mask.mask_found_words(df, ["t"], df.selectExpr("'Ana' as word"))):
+        assert masked.schema["t"].metadata == {"label": "Remark"}
+
+
 def test_masking_with_a_hot_word_in_every_row(spark):
     df = spark.range(3000).selectExpr("id", "concat('Maria 555-', id, ' end') as t")
     words_ = spark.range(3000).selectExpr("concat('555-', id) as word").unionAll(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import key_pads, keyed_sha1, plain_sha1
-from hushframe.operators import encode, freetext
+from hushframe.operators import encode, freetext, profile
 from hushframe.plans import actions, detect
 from hushframe.session import rows_frame, settle
+from hushframe.sources import tables
+from hushframe.sources.tables import Survey
 from workload.shared import (
     PHONE_TOKEN_SQL,
     SECRET_KEY,
@@ -17,6 +19,7 @@ from workload.shared import (
     surveys,
     table,
     value_labels,
+    values_sql,
 )
 from workload.text import tokens_sql
 
@@ -120,6 +123,44 @@ def apply_plan(spark, sf_dir):
     return actions.deidentify(survey.data, chosen, mapping, secret_key=SECRET_KEY)
 
 
+LABELS_KEPT = [("c_name", "Name of the customer"), ("c_mktsegment", "Segment"), ("c_acctbal", "Balance")]
+
+
+def apply_plan_labels(spark, sf_dir):
+    """The labels that the columns of the result carry, with the number of values in each."""
+    listed = rows_frame(spark, LABELS_KEPT, "column_name string, label string")
+    data = tables.attach_labels(table(spark, sf_dir, "customer"), listed)
+    mapping = settle(encode.code_map(data, ["c_name"], SECRET_KEY))
+    result = actions.deidentify(
+        data, {"c_name": "Encode", "c_custkey": "Drop"}, mapping, ["c_mktsegment"], ["BUILD"], secret_key=SECRET_KEY
+    )
+    found = rows_frame(spark, list(tables.labels_in_schema(result.schema).items()), "column_name string, label string")
+    return profile.value_counts({"customer": result}).select("column_name", "n_values").join(found, "column_name")
+
+
+# Two tables that share the names of their columns.
+TWO = {
+    "buyers": ("customer", "c_custkey as id", "c_name as name", "c_acctbal as amount"),
+    "sales": ("orders", "o_orderkey as id", "o_orderpriority as name", "o_totalprice as amount"),
+}
+TWO_CHOICES = [("buyers", "amount", "Keep"), ("sales", "amount", "Encode")]
+
+
+def apply_plan_two_tables(spark, sf_dir):
+    """Found in one run, planned per table: the keys go, one name goes, one amount is encoded."""
+    both = [Survey(n, table(spark, sf_dir, t).selectExpr(*columns), order_by=("id",)) for n, (t, *columns) in TWO.items()]
+    overrides = rows_frame(spark, TWO_CHOICES, "table_name string, column_name string, action string")
+    plan = actions.action_plan(detect.cascade(both), overrides)
+    results = []
+    for s in both:
+        chosen = actions.chosen_actions(plan, s.name)
+        to_encode = [c for c, action in chosen.items() if action == "Encode"]
+        mapping = settle(encode.code_map(s.data, to_encode, SECRET_KEY)) if to_encode else None
+        result = actions.deidentify(s.data, chosen, mapping, secret_key=SECRET_KEY)
+        results.append(result.select(F.lit(s.name).alias("table_name"), F.lit(" ".join(result.columns)).alias("columns"), F.col("amount").cast("double").alias("amount")))
+    return results[0].unionAll(results[1])
+
+
 def apply_plan_with_mask(spark, sf_dir):
     """A table with open text: key and length dropped, language encoded, words masked."""
     data = table(spark, sf_dir, "documents")
@@ -200,6 +241,20 @@ SELECT c_custkey, m.encoded_value AS c_nationkey FROM d LEFT JOIN m ON m.origina
     ),
     "apply_drop": (apply_drop, "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
     "apply_plan": (apply_plan, _APPLY_SQL),
+    "apply_plan_labels": (
+        apply_plan_labels,
+        f"""SELECT l.column_name, l.label, n.n_values FROM {values_sql(LABELS_KEPT, "column_name, label")} l
+JOIN (SELECT 'c_name' AS column_name, count(DISTINCT c_custkey) AS n_values FROM customer WHERE c_name IS NOT NULL
+  UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM customer
+  UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer) n USING (column_name)""",
+    ),
+    "apply_plan_two_tables": (
+        apply_plan_two_tables,
+        f"""WITH m AS ({_map_sql("orders", "o_totalprice")})
+SELECT 'buyers' AS table_name, 'amount' AS columns, c_acctbal AS amount FROM customer
+UNION ALL SELECT 'sales', 'name amount', CAST(m.encoded_value AS DOUBLE) FROM orders o
+  LEFT JOIN m ON m.original_value = CAST(o.o_totalprice AS VARCHAR)""",
+    ),
     "apply_plan_with_found_words": (
         apply_plan_with_found_words,
         f"""WITH words AS (SELECT list(token ORDER BY length(token) DESC, token) AS listed

@@ -56,9 +56,9 @@ def _hits_with_counts(spark, sf_dir, keep, with_labels=False):
     hit_columns = {name: [] for name in ALL}
     for row in hits.select("table_name", "column_name").distinct().collect():
         hit_columns[row.table_name].append(row.column_name)
-    counts = profile.sparsity_profile(data, hit_columns)
+    counts = profile.value_counts(data, hit_columns)
     keys = ["table_name", "column_name"]
-    return hits.join(counts.select(*keys, "n_values"), keys).select(*keys, "word", "match_kind", "n_values")
+    return hits.join(counts, keys).select(*keys, "word", "match_kind", "n_values")
 
 
 def name_strict(spark, sf_dir):
@@ -100,7 +100,7 @@ def _system(spark, sf_dir, match):
     data = {"export": survey_export(spark, sf_dir)}
     columns = match(catalog.column_catalog(data), words.system_columns(spark)).select("column_name")
     left = [r.column_name for r in columns.collect()]
-    return profile.sparsity_profile(data, {"export": left}).select("column_name", "n_values")
+    return profile.value_counts(data, {"export": left}).select("column_name", "n_values")
 
 
 def exclude_system_columns(spark, sf_dir):
@@ -159,6 +159,28 @@ def format_sample(spark, sf_dir):
     return sample.withColumn("position", F.col("position").cast("bigint"))
 
 
+def _sparse_orders(spark, sf_dir):
+    """Orders with two columns that are filled in one row of a hundred."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", *[f"CASE WHEN o_orderkey % 100 = {k} THEN {v} END AS {c}" for c, k, v in SPARSE_COLUMNS]
+    )
+
+
+SPARSE_COLUMNS = [("note", 7, "o_orderpriority"), ("answered", 42, "CAST(o_orderkey AS STRING)")]
+
+
+def format_sample_sparse(spark, sf_dir):
+    sample = formats.first_values(_sparse_orders(spark, sf_dir), ("o_orderkey",), [c for c, _, _ in SPARSE_COLUMNS])
+    return sample.withColumn("position", F.col("position").cast("bigint"))
+
+
+_SPARSE_SQL = " UNION ALL ".join(
+    f"(SELECT {quote(c)} AS column_name, row_number() OVER (ORDER BY o_orderkey) AS position, {v} AS value"
+    f" FROM orders WHERE o_orderkey % 100 = {k} ORDER BY o_orderkey LIMIT 10)"
+    for c, k, v in SPARSE_COLUMNS
+).replace("AS STRING", "AS VARCHAR")
+
+
 def format_flags(spark, sf_dir):
     parts = [
         formats.sample_shapes(formats.first_values(s.data, s.order_by)).select(
@@ -322,6 +344,7 @@ ENTRIES = {
         format_sample,
         f"SELECT column_name, position, v AS value FROM ({sample_sql(('orders',))})",
     ),
+    "format_sample_sparse": (format_sample_sparse, _SPARSE_SQL),
     "format_flags": (
         format_flags,
         f"WITH sample AS ({sample_sql(SHAPED)}) {shapes_sql('sample')}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from hushframe import fixed_values as fixed
@@ -159,6 +161,16 @@ def detect_by_location(spark, sf_dir):
     )
 
 
+def catalog_scan_two_countries(spark, sf_dir):
+    """Two surveys of the same places in different countries, in one run."""
+    visits = _visits(spark, sf_dir)
+    both = [replace(visits, name=name, country=country) for name, country in COUNTRIES]
+    return detect.by_location(both, gazetteer(spark, sf_dir), second_source=second_source(spark, sf_dir))
+
+
+COUNTRIES = [("visits", "Mexico"), ("trips", "Kenya")]
+
+
 def cascade_with_locations(spark, sf_dir):
     """The cascade with the population check: location words no longer flag a column by themselves."""
     return detect.cascade(
@@ -182,8 +194,9 @@ def _visits(spark, sf_dir):
     return Survey("visits", data, labels=labels, order_by=("visit",))
 
 
-_LOCATION_CTES = f"""
-{_found_ctes()},
+def _location_ctes(name: str, iso: str) -> str:
+    return f"""
+{_found_ctes(iso)},
 visits AS (SELECT o_orderkey AS visit, concat('Town ', o_custkey) AS home_village,
   concat('Town ', o_orderkey % 100) AS q7, o_orderpriority AS city FROM orders),
 lists AS (
@@ -198,12 +211,18 @@ low AS (SELECT column_name, arg_min(place, idx) AS place FROM checked JOIN start
 hits AS (SELECT * FROM (VALUES ('home_village', 'village', 'name'), ('q7', 'town', 'label'), ('city', 'city', 'name'))
   AS t(column_name, word, matched_on)),
 by_location AS (
-  SELECT 'visits' AS table_name, column_name, 'location' AS method, word, 'fuzzy' AS match_kind, matched_on,
+  SELECT {quote(name)} AS table_name, column_name, 'location' AS method, word, 'fuzzy' AS match_kind, matched_on,
     place AS evidence, CASE matched_on WHEN 'name' THEN 'Name' ELSE 'Label' END
       || ' had fuzzy match with restricted word ''' || word
       || ''' and has a location with population under 20,000: ' || place AS reason
   FROM low JOIN hits USING (column_name))"""
 
+
+_LOCATION_CTES = _location_ctes("visits", "mx")
+_TWO_COUNTRIES_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_location_ctes(name, fixed.COUNTRY_ISO[country])} SELECT * FROM by_location)" for name, country in COUNTRIES
+)
+
 _CASCADE_LOCATION_SQL = f"""
 WITH {_LOCATION_CTES},
 ratios AS (
@@ -284,6 +303,7 @@ WHERE place_exists AND (population < 20000 OR population IS NULL)""",
 WHERE place_exists AND (population < 20000 OR population IS NULL) GROUP BY list_id""",
     ),
     "detect_by_location": (detect_by_location, f"WITH {_LOCATION_CTES} SELECT * FROM by_location"),
+    "catalog_scan_two_countries": (catalog_scan_two_countries, _TWO_COUNTRIES_SQL),
     "cascade_with_locations": (cascade_with_locations, _CASCADE_LOCATION_SQL),
     "name_registry_ingest": (name_registry_ingest, _INGEST),
     "known_names": (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hushframe import fixed_values as fixed
 from hushframe.operators import profile
-from hushframe.session import rows_frame
+from hushframe.session import rows_frame, shared_folder
 from hushframe.sources import registries, tables, words
 from workload.shared import (
     LABELS,
@@ -33,7 +35,29 @@ ANSWERS_SQL = f"(SELECT c_custkey AS id, {ANSWER} AS answer FROM customer)"
 
 
 def read_normalised(spark, sf_dir):
-    return tables.null_spellings(answers(spark, sf_dir))
+    return tables.typed(answers(spark, sf_dir))
+
+
+def read_typed(spark, sf_dir):
+    """Customers and orders as flat files hold them: all text, some cells with NA spellings."""
+    parts = []
+    for name, key, amount, word in FLAT:
+        flat = table(spark, sf_dir, name).selectExpr(
+            f"'{name}' as source",
+            f"cast({key} as string) as key",
+            f"case {key} % 4 when 0 then 'NA' when 1 then '' else cast({amount} as string) end as amount",
+            f"case {key} % 3 when 0 then 'n/a' else {word} end as word",
+        )
+        parts.append(tables.typed(flat))
+    return parts[0].unionAll(parts[1])
+
+
+FLAT = [("customer", "c_custkey", "c_acctbal", "c_mktsegment"), ("orders", "o_orderkey", "o_totalprice", "o_orderpriority")]
+_TYPED_SQL = " UNION ALL ".join(
+    f"SELECT {quote(name)} AS source, {key} AS key, CASE WHEN {key} % 4 > 1 THEN {amount} END AS amount,"
+    f" CASE WHEN {key} % 3 > 0 THEN {word} END AS word FROM {name}"
+    for name, key, amount, word in FLAT
+)
 
 
 def clean_values(spark, sf_dir):
@@ -53,11 +77,7 @@ def labels_attach(spark, sf_dir):
         data[name] = tables.attach_labels(table(spark, sf_dir, name), labels(spark, name))
         found += [(name, c, text) for c, text in tables.labels_in_schema(data[name].schema).items()]
     attached = rows_frame(spark, found, "table_name string, column_name string, label string")
-    return (
-        profile.sparsity_profile(data)
-        .select("table_name", "column_name", "n_values")
-        .join(attached, ["table_name", "column_name"], "left")
-    )
+    return profile.value_counts(data).join(attached, ["table_name", "column_name"], "left")
 
 
 LABELS_ATTACH_SQL = f"""
@@ -114,11 +134,20 @@ def stopwords(spark):
 STOP_SQL = values_sql(STOP, "language, word")
 
 
+def _stored_stopwords(spark):
+    """The lists written as a folder per language, and read by the loader."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stop-{uuid.uuid4().hex[:12]}"
+    for language in sorted({x for x, _ in STOP}):
+        one = stopwords(spark).where(F.col("language") == language).select("word")
+        one.coalesce(1).write.text(f"{folder}/{language}")
+    return words.read_stopwords(spark, folder)
+
+
 def stopwords_by_language(spark, sf_dir):
     """How much of each document language's text the stop words of each list cover."""
     said = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", " ")).alias("word"))
     return (
-        said.join(stopwords(spark), "word")
+        said.join(_stored_stopwords(spark), "word")
         .groupBy("lang", "language", "word")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("lang", "language")
@@ -151,6 +180,7 @@ SELECT country, iso, n_customers FROM (
 LEFT JOIN {values_sql(fixed.COUNTRY_ISO.items(), "name, iso")} i ON i.name = c.country"""
 
 ENTRIES = {
+    "read_typed": (read_typed, _TYPED_SQL),
     "read_normalised": (
         read_normalised,
         f"SELECT id, CASE WHEN answer IN {in_list(fixed.NA_SPELLINGS)} THEN NULL ELSE answer END AS answer"

@@ -115,9 +115,24 @@ def free_text_search(spark, sf_dir):
     """Runs the cascade on the conversations, picks the open-text columns left, finds their words."""
     survey = Survey("conversations", table(spark, sf_dir, "conversations"), order_by=("conv_id", "turn"))
     _, columns, found = detect.cascade_with_free_text(
-        survey, stopwords(spark), names(spark, sf_dir), towns(spark, sf_dir), country="Kenya"
+        [survey], stopwords(spark), names(spark, sf_dir), towns(spark, sf_dir), country="Kenya"
     )
-    return found.withColumn("columns", F.lit(" ".join(columns)))
+    return found.select("token", "kind", F.lit(" ".join(columns["conversations"])).alias("columns"))
+
+
+def free_text_search_with_locations(spark, sf_dir):
+    """The same with the population check: a column of towns leaves before the text is searched."""
+    town = F.concat(F.lit("Town "), F.col("conv_id").cast("string"))
+    data = table(spark, sf_dir, "conversations").withColumn("home_village", town)
+    known = towns(spark, sf_dir).unionByName(
+        data.selectExpr("home_village as name", "'ke' as country_iso", "cast(1000 as bigint) as population").distinct()
+    )
+    survey = Survey("conversations", data, order_by=("conv_id", "turn"), country="Kenya")
+    findings, columns, found = detect.cascade_with_free_text(
+        [survey], stopwords(spark), names(spark, sf_dir), known, with_locations=True
+    )
+    located = findings.where("method = 'location'").select(F.col("column_name").alias("located"))
+    return found.select("token", "kind", F.lit(" ".join(columns["conversations"])).alias("columns")).join(located)
 
 
 def _words_sql(name: str) -> str:
@@ -199,6 +214,26 @@ def mask_found_words(spark, sf_dir):
     return masked.select("doc_id", "text", "source")
 
 
+def mask_found_words_null_key(spark, sf_dir):
+    """The same in documents whose key is null in every seventh row."""
+    key = F.when(F.col("doc_id") % 7 != 0, F.col("doc_id"))
+    data = _documents(spark, sf_dir).select(key.alias("doc_id"), "text")
+    found = phone_tokens(spark, sf_dir).withColumnRenamed("token", "word")
+    return mask.mask_found_words(data, ["text"], found)
+
+
+def mask_phrases(spark, sf_dir):
+    """Masks, in the documents, all pairs of neighbouring words of the benchmark."""
+    said = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    pairs = (
+        table(spark, sf_dir, "benchmark")
+        .select(F.explode(F.transform(F.sequence(F.lit(1), F.size(said) - 1), lambda i: F.concat_ws(" ", F.slice(said, i, F.lit(2))))).alias("word"))
+        .where("word not like ' %' and word not like '% '")
+        .distinct()
+    )
+    return mask.mask_found_words(_documents(spark, sf_dir).select("doc_id", "text"), ["text"], pairs)
+
+
 def _ordered(words) -> list[str]:
     return sorted({w for w in words if w}, key=lambda w: (-len(w), w))
 
@@ -264,6 +299,25 @@ FROM tokens WHERE regexp_replace(token, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')
         f" {_search_sql('said', 'WHERE country_iso = ' + quote('ke'))}"
         " SELECT token, kind, 'text' AS columns FROM found",
     ),
+    "free_text_search_with_locations": (
+        free_text_search_with_locations,
+        f"WITH {_CTES.replace(tokens_sql('documents'), tokens_sql('conversations'))},"
+        f" {_search_sql('said', 'WHERE country_iso = ' + quote('ke'))}"
+        " SELECT token, kind, 'text' AS columns, 'home_village' AS located FROM found",
+    ),
+    "mask_found_words_null_key": (
+        mask_found_words_null_key,
+        f"""WITH {_CTES},
+words AS (SELECT list(token ORDER BY length(token) DESC, token) AS listed FROM tokens WHERE {_IS_PHONE})
+SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id, {_mask_sql("text", "listed")} AS text FROM documents, words""",
+    ),
+    "mask_phrases": (
+        mask_phrases,
+        f"""WITH b AS (SELECT string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark),
+pairs AS (SELECT DISTINCT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS word FROM b),
+words AS (SELECT list(word ORDER BY length(word) DESC, word) AS listed FROM pairs WHERE word NOT LIKE ' %' AND word NOT LIKE '% ')
+SELECT doc_id, {_mask_sql("text", "listed")} AS text FROM documents, words""",
+    ),
     "mask_text": (mask_text, _MASK_TEXT),
     "mask_text_by_join": (mask_text_by_join, _MASK_TEXT),
     "mask_conversations": (

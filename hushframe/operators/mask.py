@@ -102,17 +102,24 @@ def _grams(text: str) -> str:
 
 
 def _filed(words: DataFrame) -> DataFrame:
-    """Distinct words with the piece they are filed under, and the part that holds it."""
+    """Distinct words with the piece they are filed under, and the part that holds it.
+
+    `opens` and `closes` tell whether a space stands before and after the part: a token must then begin
+    or end with it. A shorter piece stands in more tokens, so it counts as more words.
+    """
     parts = (
         words.select("word")
         .where("trim(word) <> ''")
         .distinct()
-        .select("word", F.explode(F.expr("filter(split(word, ' '), p -> p <> '')")).alias("part"))
-        .select("word", "part", F.explode(F.expr(_grams("part"))).alias("gram"))
+        .select("word", F.split("word", " ").alias("parts"))
+        .select("word", F.size("parts").alias("of"), F.posexplode("parts").alias("i", "part"))
+        .where("part <> ''")
+        .select("word", "part", F.expr("i > 0").alias("opens"), F.expr("i < of - 1").alias("closes"), F.explode(F.expr(_grams("part"))).alias("gram"))
     )
     common = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min_by(F.struct("part", "gram"), F.struct(-F.char_length("gram"), "n", "gram"))
-    return parts.join(common, "gram").groupBy("word").agg(best.alias("best")).select("word", "best.part", "best.gram")
+    cost = F.col("n") * F.pow(F.lit(16), _GRAM - F.char_length("gram"))
+    best = F.min_by(F.struct("part", "opens", "closes", "gram"), F.struct(cost, "gram", "part"))
+    return parts.join(common, "gram").groupBy("word").agg(best.alias("best")).select("word", "best.*")
 
 
 def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int]) -> DataFrame:
@@ -125,6 +132,7 @@ def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int]) -> DataFrame:
         tokens.select("token", F.explode(F.expr(pieces)).alias("gram"))
         .join(filed, "gram")
         .where(F.contains("token", F.col("part")))
+        .where("(not opens or startswith(token, part)) and (not closes or endswith(token, part))")
         .select("token", "word")
         .distinct()
     )

@@ -76,6 +76,18 @@ def _raw_parts(rows: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
     return rows.mapInArrow(run, "part int, path string, ids long, seen array<int>, times array<long>")
 
 
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One count per id from the lists of counts of many files."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        at, n = (np.asarray(c.flatten()) for c in batch.columns)
+        seen = np.bincount(at, n).astype(np.int64) if len(at) else total[:0]
+        total = np.pad(total, (0, max(0, len(seen) - len(total))))
+        total[: len(seen)] += seen
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["seen", "n"])
+
+
 def _blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """names, known, ids per document and ids of each raw block."""
     expand = zstandard.ZstdDecompressor()
@@ -97,7 +109,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     _raw_parts(ordered, f"{raw}/ids", tokenizer, end_id).write.parquet(f"{raw}/parts")
     listed = spark.read.parquet(f"{raw}/parts")
-    counted = listed.select(F.explode(F.arrays_zip("seen", "times")).alias("x")).groupBy("x.seen").agg(F.sum("x.times").alias("n")).collect()
+    summed = listed.select("seen", "times").mapInArrow(_sum_counts, "seen long, n long")
+    counted = summed.groupBy("seen").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary
     counts = np.zeros(1 + max([end_id, *(r["seen"] for r in counted)]), np.int64)
     for r in counted:
         counts[r["seen"]] = r["n"]

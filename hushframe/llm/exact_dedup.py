@@ -4,8 +4,7 @@ Pass one sets bits for the hash of each text and keeps the bits that two or more
 probes that filter: a row whose bits are not all set twice has no equal and passes straight through;
 only the others are shuffled and grouped by SHA-256.
 
-The filter is a set of 4 KiB bitmaps; both bits of a hash lie in the same bitmap, so that one broadcast
-join probes them. It has 16 bits a row, and at most 32 MiB in all, which bounds the broadcast. Beyond
+The filter has 16 bits a row, and at most 32 MiB in all, which bounds the broadcast (see `bloom`). Beyond
 some 16 million rows its share of false hits grows: more rows are shuffled, and the result is the same.
 
 Defined cases: a null text is empty; an empty table gives an empty result; among equal texts the smallest
@@ -19,12 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import by_position, narrow, position, settle, text_or_empty
 
-_BITMAP_BITS = 32_768
-_BITS_A_ROW = 16
-_MOST_BITMAPS = 8_192
-
 
 def normalised(text: str) -> Column:
     """The text with each run of white space as one space.
@@ -34,34 +30,9 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(text_or_empty(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def _places(digest: str, bitmaps: int) -> tuple[Column, Column, Column]:
-    """The bitmap of a digest and its two bits there."""
-    h = F.xxhash64(digest)
-    bit = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_BITMAP_BITS - 1))
-    return h.bitwiseAND(F.lit(bitmaps - 1)), bit(32), bit(48)
-
-
-def _is_set(bitmap: str, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int"))) > 0
-
-
 def _probe(rows: DataFrame, marks: DataFrame, digest: str) -> DataFrame:
     """The rows with a column `again`: whether another row may have the same digest. marks: all digests."""
-    n = marks.count()
-    bitmaps = min(_MOST_BITMAPS, 1 << max(0, -(-n * _BITS_A_ROW // _BITMAP_BITS) - 1).bit_length())
-    where, one, two = _places(digest, bitmaps)
-    twice = (
-        marks.select(where.alias("bitmap"), F.explode(F.array(one, two)).alias("bit"))
-        .groupBy("bitmap", "bit")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .groupBy("bitmap")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    probed = rows.withColumn("bitmap", where).join(F.broadcast(twice), "bitmap", "left")
-    again = F.coalesce(_is_set("bits", one) & _is_set("bits", two), F.lit(False))
-    return probed.withColumn("again", again).drop("bitmap", "bits")
+    return bloom.probe(rows, digest, bloom.build(marks, digest, repeated=True), "again")
 
 
 def flag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +70,8 @@ def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .select("digest", "first.ident", "first.n")
     )
     groups = settle(groups, "groups")
-    stay = probed.where("again").join(groups, "digest").where(F.col(ident).eqNullSafe(F.col("ident")))
+    # a shuffle join at every size: the groups grow with the corpus
+    stay = probed.where("again").join(groups.hint("merge"), "digest").where(F.col(ident).eqNullSafe(F.col("ident")))
     single = stay.where("n = 1").select(columns)
     best = F.min_by(F.struct(*columns), text_or_empty(text))
     repeated = stay.where("n > 1").groupBy("digest").agg(best.alias("row"))

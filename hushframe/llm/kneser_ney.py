@@ -37,6 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import by_position, narrow, position, scratch, settle, shared_files, slices
 
 ORDER = 5
@@ -330,8 +331,11 @@ def _with_limit(scored: DataFrame, lang: str, fence: float) -> DataFrame:
 def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, whole: bool) -> tuple[DataFrame, str, str]:
     """Stored rows with perplexities, and the names of the id and language columns. trusted: ids of trusted documents."""
     texts = narrow(docs, id=id_col, lang=lang_col, text=text_col)
-    ids = trusted.toDF("id").where("id is not null").distinct()
-    folder = train(texts.join(ids, "id", "left_semi"))
+    kind = texts.schema["id"].dataType
+    ids = settle(trusted.toDF("id").select(F.col("id").cast(kind)).where("id is not null").distinct(), "trusted")
+    # most texts that are not trusted stay where they are; only the others meet the ids in a shuffle
+    likely = bloom.probe(texts, "id", bloom.build(ids, "id"), "likely").where("likely").drop("likely")
+    folder = train(likely.join(ids.hint("merge"), "id", "left_semi"))
     if whole:
         rows, names = docs, [position(docs, c) for c in (id_col, lang_col, text_col)]
     else:

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, position, settle, slices, texts_of
+from . import bloom
+from .common import by_position, narrow, position, settle, slices, texts_of
 from .graph import smallest_reachable
 
 _SEED = 42
@@ -255,6 +256,8 @@ def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """`docs` with one document per component, that with the smallest doc_id; rows without a doc_id stay."""
     found = components(docs, id_col, text_col, words, distance)
     gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    ident = plain[f"c{position(docs, id_col)}"]
-    return plain.join(gone, ident == gone["doc_id"], "left_anti").toDF(*docs.columns)
+    plain, ident = by_position(docs), f"c{position(docs, id_col)}"
+    # only rows that may go meet the ids in a shuffle; the rest pass straight through
+    probed = bloom.probe(plain, ident, bloom.build(gone, "doc_id"), "maybe")
+    rest = probed.where("maybe").join(gone.hint("merge"), F.col(ident) == gone["doc_id"], "left_anti")
+    return probed.where("not maybe").unionByName(rest).drop("maybe").toDF(*docs.columns)

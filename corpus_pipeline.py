@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.llm import decontaminate, exact_dedup, kneser_ney, packing, simhash
-from hushframe.llm.common import scratch
+from hushframe.llm.common import importable_in_tasks, scratch
 from hushframe.llm.queries import trusted_ids
 
 
@@ -58,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents."""
+    importable_in_tasks(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -56,6 +59,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def importable_in_tasks(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, if they can't find it where the driver does.
+
+    Workers look in PYTHONPATH and in the working folder; a driver that was started elsewhere and only
+    extended its own path would fail in the first task. Spark itself distributes the file.
+    """
+    root = Path(__file__).resolve().parents[2]
+    paths = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    context = spark.sparkContext
+    if root in paths or getattr(context, "_llm_handed_out", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='llm-')}/hushframe", "zip", root, "hushframe")
+    context.addPyFile(archive)
+    context._llm_handed_out = True
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into a scratch folder and read it back: later steps don't compute it again."""
     folder = scratch(df.sparkSession, name)

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_text, kneser_ney, language_id, line_dedup, packing, simhash, token_files, warc
-from .common import scratch
+from .common import importable_in_tasks, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable_in_tasks(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

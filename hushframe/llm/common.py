@@ -6,8 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -59,6 +60,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What `make` makes, kept by this worker process for later tasks under the same key.
+
+    One thing at a time is kept, so that the caches of stages that follow each other don't add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def importable_in_tasks(spark: SparkSession) -> None:
     """Hand this package to the Python workers, if they can't find it where the driver does.
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import by_position, narrow, position, scratch, settle, shared_files, slices
+from .common import by_position, held, narrow, position, scratch, settle, shared_files, slices
 
 ORDER = 5
 FENCE = 3.0
@@ -68,12 +67,10 @@ def word_counts(trusted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
-        size = 0
         for batch in slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[lang].update(marked_words(text))
-            size = sum(map(len, seen.values()))
-            if size > _COUNTED_AT_ONCE:
+            if sum(map(len, seen.values())) > _COUNTED_AT_ONCE:
                 yield from _rows(seen)
                 seen.clear()
         yield from _rows(seen)
@@ -219,19 +216,26 @@ class Block:
             self.languages[lang] = (*tables, float(value[own & empty][0]))
 
 
-@lru_cache(maxsize=1)
-def _block(folder: str, number: int) -> Block:
-    return Block(folder, number)
-
-
-@lru_cache(maxsize=1)
 def _block_numbers(folder: str) -> tuple[int, ...]:
     files, base = shared_files(folder)
     names = [x.base_name for x in files.get_file_info(pafs.FileSelector(base)) if x.base_name.startswith("block=")]
     return tuple(sorted(int(x[6:]) for x in names))
 
 
-def word_scores(words: list[str], lang: str, folder: str, order: int) -> np.ndarray:
+class Blocks:
+    """The blocks of a stored model; one at a time is in memory."""
+
+    def __init__(self, folder: str):
+        self.folder, self.numbers, self.loaded = folder, _block_numbers(folder), (None, None)
+
+    def get(self, number: int) -> Block:
+        if self.loaded[0] != number:
+            self.loaded = (None, None)
+            self.loaded = (number, Block(self.folder, number))
+        return self.loaded[1]
+
+
+def word_scores(words: list[str], lang: str, blocks: Blocks, order: int) -> np.ndarray:
     """The log probability of each marked word."""
     texts = [w + _END for w in words]
     sizes = np.array(list(map(len, texts)), np.int64)
@@ -241,13 +245,13 @@ def word_scores(words: list[str], lang: str, folder: str, order: int) -> np.ndar
     place = np.arange(len(points)) - np.repeat(starts, sizes)
     at = np.flatnonzero(place > 0)  # the begin mark is not predicted
     place = place[at]
-    numbers = _block_numbers(folder)
+    numbers = blocks.numbers
     two = points[at - 1] + np.where(place > 1, points[np.maximum(at - 2, 0)] * np.uint64(31), 0).astype(np.uint64)
     which = np.where(place > 1, two % np.uint64(max(1, len(numbers))), 0)
     total = np.zeros(len(points))
     for number in numbers:
         mine = np.flatnonzero(which == number)
-        known = _block(folder, number).languages
+        known = blocks.get(number).languages
         if not known or not len(mine):
             continue
         probabilities, weights, unknown = known.get(lang) or known[""]
@@ -273,8 +277,8 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
 class Scorer:
     """Scores texts; keeps the scores of at most `most` words."""
 
-    def __init__(self, folder: str, order: int, most: int = 500_000):
-        self.folder, self.order, self.most = folder, order, most
+    def __init__(self, folder: str, order: int, most: int = 300_000):
+        self.blocks, self.order, self.most = Blocks(folder), order, most
         self.scores: dict[str, dict[str, float]] = defaultdict(dict)
 
     def score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
@@ -290,24 +294,19 @@ class Scorer:
         for lang, rows in by_lang.items():
             known = self.scores[lang]
             fresh = list(set().union(*(words[i] for i in rows)) - known.keys())
-            known.update(zip(fresh, word_scores(fresh, lang, self.folder, self.order).tolist()))
+            known.update(zip(fresh, word_scores(fresh, lang, self.blocks, self.order).tolist()))
             for i in rows:
                 if words[i]:
                     found[i] = float(np.exp(-sum(map(known.__getitem__, words[i])) / chars[i]))
         return found, chars
 
 
-@lru_cache(maxsize=1)
-def _scorer(folder: str, order: int) -> Scorer:
-    return Scorer(folder, order)
-
-
 def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int = ORDER) -> DataFrame:
     """All columns of `docs`, `perplexity` and `chars`. lang and text: where those columns stand."""
     schema = by_position(docs).schema.add("perplexity", "double").add("chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(folder, order).score
+        score = held(("scorer", folder, order), lambda: Scorer(folder, order)).score
         for batch in slices(batches, text):
             found, chars = score(*(batch.column(i).cast(pa.string()).to_pylist() for i in (lang, text)))
             own = [pa.array(found, pa.float64()), pa.array(chars, pa.int64())]

@@ -8,11 +8,12 @@ encoded once and looked up afterwards. A text with any other white space is enco
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 #: A word of Latin letters, with the space or line break before it, and the ASCII signs after it.
 #: Left out: the apostrophe, which belongs to words, and U+0130, whose lower case has a sign in it.
 _WORD_AND_SIGNS = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
@@ -52,7 +53,7 @@ class _Grown:
 class Encoder:
     """Encodes batches of texts; keeps at most `most` pieces."""
 
-    def __init__(self, path: str, end_id: int, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -180,7 +181,6 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.nd
     return flat[np.repeat(starts[at] - before + n, n) + np.arange(total)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
     """The encoder of this worker process; its pieces serve later tasks too."""
-    return Encoder(path, end_id)
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))

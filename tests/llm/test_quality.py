@@ -55,18 +55,19 @@ def texts_of(seed, n=60):
 def test_word_scores_equal_brute_force(spark, block_rows):
     trained = texts_of(1)
     folder = kn.train(spark.createDataFrame([("xx", t) for t in trained], "lang string, text string"), order=4, block_rows=block_rows)
+    blocks = kn.Blocks(folder)
     p, alphabet = brute_model(trained, 4)
     words = sorted({w for t in texts_of(2) + trained + ["qqq thq", "!", "zan.", "a" * 150] for w in kn.marked_words(t)})
-    got = kn.word_scores(words, "xx", folder, 4)
+    got = kn.word_scores(words, "xx", blocks, 4)
     for word, score in zip(words, got):
         whole = word + kn._END
         assert score == pytest.approx(sum(math.log(p(whole[:j], whole[j])) for j in range(1, len(whole))), rel=1e-4)
     # it is a distribution: the alphabet and one unseen character sum up to 1
     for context in (kn._BEGIN, kn._BEGIN + "th", "an", "ßa", "never", ""):
         assert sum(p(context, c) for c in alphabet) + p(context, "￿") == pytest.approx(1)
-    assert (len(kn._block_numbers(folder)) > 1) == (block_rows == 300)
+    assert (len(blocks.numbers) > 1) == (block_rows == 300)
     # an unknown language uses the model of all languages, here of the same text
-    assert np.allclose(kn.word_scores(words, "other", folder, 4), got)
+    assert np.allclose(kn.word_scores(words, "other", blocks, 4), got)
 
 
 def test_words_carry_their_mark_and_long_ones_are_cut():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes into memory at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -69,11 +70,19 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     One thing at a time is kept, so that the caches of stages that follow each other don't add up.
     """
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Give back what this worker process keeps, before work that needs none of it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def importable_in_tasks(spark: SparkSession) -> None:
     """Hand this package to the Python workers, if they can't find it where the driver does.
 

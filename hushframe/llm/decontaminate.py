@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, narrow, position, slices
+from .common import by_position, narrow, position, release, slices
 
 _BLOCK_BYTES = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -192,6 +192,7 @@ def find(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in slices(batches, 1):
                 if pairs := matches(batch.column(1).to_pylist(), shared.value, least, threshold):
                     at, item, coverage, matched, tiles = zip(*pairs)
@@ -211,6 +212,7 @@ def drop(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in slices(batches, text):
                 texts = batch.column(text).cast(pa.string()).to_pylist()
                 bad = {t for t, *_ in matches(texts, shared.value, least, threshold)}

@@ -277,7 +277,7 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
 class Scorer:
     """Scores texts; keeps the scores of at most `most` words."""
 
-    def __init__(self, folder: str, order: int, most: int = 300_000):
+    def __init__(self, folder: str, order: int, most: int = 200_000):
         self.blocks, self.order, self.most = Blocks(folder), order, most
         self.scores: dict[str, dict[str, float]] = defaultdict(dict)
 

@@ -6,7 +6,7 @@ is cut: it fills the sequence with the most room, and the remainder is placed in
 laid out to hold exactly the tokens of a group: as many full ones as there are, and the remainder as
 powers of two, which need no padding.
 
-Documents are packed in groups of about 4 MB of text in the order of the input, each by one task, so
+Documents are packed in groups of about 2 MB of text in the order of the input, each by one task, so
 nothing is shuffled, and a lost task gives the same groups when it runs again. A sequence_id is the
 number of the input partition times 2^32 plus the number of the sequence in it.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import by_position, narrow, position, settle, slices, texts_of
+from .common import by_position, narrow, position, release, settle, slices, texts_of
 from .graph import smallest_reachable
 
 _SEED = 42
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     """doc_id and fingerprint (a signed long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 1):
             found = np.array([fingerprint(t, words) for t in texts_of(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])

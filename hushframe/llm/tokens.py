@@ -53,7 +53,7 @@ class _Grown:
 class Encoder:
     """Encodes batches of texts; keeps at most `most` pieces."""
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -28,6 +28,10 @@ from .common import narrow, slices
 from .tokens import encoder
 
 
+#: Pieces that a worker keeps; more save time and take memory.
+_PIECES = 300_000
+
+
 def capacities(total: int, length: int) -> np.ndarray:
     """Sequences that hold exactly `total` tokens: full ones, then powers of two."""
     rest = total % length
@@ -76,7 +80,7 @@ def pack_documents(
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer, end_id).encode, TaskContext.get().partitionId() << 32
+        encode, before = encoder(tokenizer, end_id, _PIECES).encode, TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1):
             ids, n = encode([t or "" for t in batch.column(1).to_pylist()])
             pieces = np.array(pack(n, length, linear, quadratic), np.int64).reshape(-1, 5)

@@ -39,13 +39,15 @@ from .huffman import Code, code_lengths
 from .tokens import encoder
 
 _MAGIC = b"HUFIDS01"
+#: Pieces that a worker keeps; more save time and take memory.
+_PIECES = 400_000
 
 
 def _raw_parts(rows: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Encode sorted rows into raw files; a row per file with its counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end_id).encode
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end_id, _PIECES).encode
         files, base = shared_files(folder)
         files.create_dir(base, recursive=True)
         path, counts, docs, total = f"{base}/raw-{part}-{uuid.uuid4().hex}", np.zeros(0, np.int64), 0, 0

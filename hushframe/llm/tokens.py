@@ -53,7 +53,7 @@ class _Grown:
 class Encoder:
     """Encodes batches of texts; keeps at most `most` pieces."""
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -181,6 +181,6 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.nd
     return flat[np.repeat(starts[at] - before + n, n) + np.arange(total)]
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, most: int) -> Encoder:
     """The encoder of this worker process; its pieces serve later tasks too."""
-    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
+    return held(("encoder", path, end_id, most), lambda: Encoder(path, end_id, most))

@@ -11,17 +11,19 @@ weights, and interpolated probabilities. The model is stored in blocks by the tw
 predicted one, so that all that a place in a text needs lies in one block. Tasks read one block at a
 time and score each distinct word once; nothing is shuffled per document.
 
-A document's perplexity is per character. Its language's quartiles, over all documents, give the limit:
-log perplexity over the upper quartile plus `fence` quartile distances is rejected. The distance counts
-more for texts shorter than the language's median, by the root of the ratio, as a mean of fewer
-characters scatters more. Junk lies far outside what the middle half of a language does, so clean texts
-stay whatever the share of junk (up to a quarter).
+A document's perplexity is per character. Its language's quartiles give the limit: log perplexity over the
+upper quartile plus `fence` quartile distances is rejected. The distance counts more for texts shorter than
+the language's median, by the root of the ratio, as a mean of fewer characters scatters more, and has a
+lower bound. The quartiles are those of trusted texts, each distinct text once: a quarter of them is set
+apart by digest, and the model learns from the rest. So neither copies nor the share of junk in the input
+move a limit. Only a language with too few trusted texts for that (LEAST_APART set apart) learns from all of
+them and takes the quartiles of all its distinct documents; there junk counts, and is found up to a quarter.
 
 Defined cases: a text without a word (null, empty) has no perplexity and is kept; a null language and a
 language without trusted text use the model of all languages, and have a limit of their own; words of over
-64 characters are scored in parts of 64; repeated rows count each; without trusted text all perplexities
-are 1 and all rows stay; an empty table gives an empty result; other columns are ignored by `judge`
-and carried by `drop`.
+64 characters are scored in parts of 64; repeated rows count each in training, once in quartiles; without
+trusted text all perplexities are 1 and all rows stay; an empty table gives an empty result; other columns
+are ignored by `judge` and carried by `drop`.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ from .common import by_position, held, narrow, position, scratch, settle, shared
 
 ORDER = 5
 FENCE = 3.0
+#: Distinct trusted texts of a language that are enough to set its limit.
+LEAST_APART = 20
+#: The least distance of the quartiles of log perplexity.
+LEAST_SPREAD = 0.05
 _BLOCK_ROWS = 4_000_000
 _BEGIN_SENTENCE, _BEGIN, _END = "\x02", "\x03", "\x01"
 _SENTENCE_ENDS = frozenset(".!?:")
@@ -315,47 +321,77 @@ def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int
     return by_position(docs).mapInArrow(run, schema)
 
 
-def _with_limit(scored: DataFrame, lang: str, fence: float) -> DataFrame:
-    """The scored rows with `most`, the greatest perplexity that is kept, from the quartiles of their language."""
-    quartiles = F.percentile_approx(F.log("perplexity"), [0.25, 0.75], 10_000)
-    found = scored.where("perplexity is not null").groupBy(F.col(lang).alias("its")).agg(
-        quartiles.alias("q"), F.percentile_approx("chars", 0.5, 10_000).alias("median")
+def _quartiles(scored: DataFrame) -> DataFrame:
+    """Per language `its` of scored rows (its, perplexity, chars): n distinct texts, their quartiles and median length.
+
+    Copies have the same perplexity and length, and count once.
+    """
+    texts = scored.where("perplexity is not null").select("its", F.round(F.log("perplexity"), 9).alias("log"), "chars").distinct()
+    return texts.groupBy("its").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("log", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx("chars", 0.5, 10_000).alias("median")
     )
+
+
+def _with_limit(scored: DataFrame, lang: str, fence: float, apart: DataFrame) -> DataFrame:
+    """The scored rows with `most`, the greatest perplexity that is kept, and `kept`. apart: scored trusted texts."""
+    its = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    trusted = _quartiles(apart).where(F.col("n") >= LEAST_APART)
+    rows = scored.select(its.alias("its"), "perplexity", "chars")
+    others = _quartiles(rows.join(F.broadcast(trusted.select("its")), "its", "left_anti"))
+    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
+    limits = settle(trusted.unionByName(others).select("its", F.col("q")[1].alias("upper"), spread.alias("spread"), "median"), "limits")
     # a row per language
-    joined = scored.join(F.broadcast(found), F.col(lang).eqNullSafe(F.col("its")), "left")
+    joined = scored.withColumn("its", its).join(F.broadcast(limits), "its", "left")
     wider = F.greatest(F.lit(1.0), F.sqrt(F.col("median") / F.greatest("chars", F.lit(1))))
-    return joined.withColumn("most", F.exp(F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0]) * wider))
+    # rounded as the quartiles are, so that a text of just the limit is kept
+    found = joined.withColumn("limit", F.col("upper") + fence * F.col("spread") * wider)
+    return found.withColumn("most", F.exp("limit")).withColumn("kept", F.expr("coalesce(round(ln(perplexity), 9) <= limit, true)"))
+
+
+def _set_apart(trusted: DataFrame) -> DataFrame:
+    """Trusted texts (lang, text) with `apart`: whether a text sets limits instead of training the model.
+
+    A quarter of the texts, by digest, in languages where that leaves enough.
+    """
+    texts = settle(trusted.selectExpr("coalesce(cast(lang as string), '') as lang", "cast(text as string) as text"), "trusted-texts")
+    one_in_four = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    counted = texts.where(one_in_four).groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).where(F.col("n") >= LEAST_APART)
+    able = settle(counted.select("lang", F.lit(True).alias("able")), "able")
+    # a row per language
+    return texts.join(F.broadcast(able), "lang", "left").select("lang", "text", (F.coalesce("able", F.lit(False)) & one_in_four).alias("apart"))
 
 
-def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, whole: bool) -> tuple[DataFrame, str, str]:
-    """Stored rows with perplexities, and the names of the id and language columns. trusted: ids of trusted documents."""
+def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, whole: bool) -> tuple[DataFrame, str, str, DataFrame]:
+    """Stored rows with perplexities, the names of the id and language columns, and the scored texts set apart."""
     texts = narrow(docs, id=id_col, lang=lang_col, text=text_col)
     kind = texts.schema["id"].dataType
     ids = settle(trusted.toDF("id").select(F.col("id").cast(kind)).where("id is not null").distinct(), "trusted")
     # most texts that are not trusted stay where they are; only the others meet the ids in a shuffle
     likely = bloom.probe(texts, "id", bloom.build(ids, "id"), "likely").where("likely").drop("likely")
-    folder = train(likely.join(ids.hint("merge"), "id", "left_semi"))
+    known = _set_apart(likely.join(ids.hint("merge"), "id", "left_semi"))
+    folder = train(known.where("not apart").select("lang", "text"))
     if whole:
         rows, names = docs, [position(docs, c) for c in (id_col, lang_col, text_col)]
     else:
         rows, names = texts, [0, 1, 2]
     scored = perplexities(rows, folder, names[1], names[2])
-    return settle(scored if whole else scored.drop("c2"), "perplexities"), f"c{names[0]}", f"c{names[1]}"
+    apart = perplexities(known.where("apart").select("lang", "text"), folder, 0, 1).select(F.col("c0").alias("its"), "perplexity", "chars")
+    return settle(scored if whole else scored.drop("c2"), "perplexities"), f"c{names[0]}", f"c{names[1]}", settle(apart, "apart")
 
 
 def judge(
     docs: DataFrame, trusted: DataFrame, fence: float = FENCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, perplexity, most (the limit) and kept. trusted: one column of ids."""
-    scored, ident, lang = _scored(docs, trusted, id_col, text_col, lang_col, False)
+    scored, ident, lang, apart = _scored(docs, trusted, id_col, text_col, lang_col, False)
     rows = scored.select(F.col(ident).alias("doc_id"), F.col(lang).alias("lang"), "perplexity", "chars")
-    return _with_limit(rows, "lang", fence).select("doc_id", "perplexity", "most", F.expr("coalesce(perplexity <= most, true)").alias("kept"))
+    return _with_limit(rows, "lang", fence, apart).select("doc_id", "perplexity", "most", "kept")
 
 
 def drop(
     docs: DataFrame, trusted: DataFrame, fence: float = FENCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns."""
-    scored, _, lang = _scored(docs, trusted, id_col, text_col, lang_col, True)
-    kept = _with_limit(scored, lang, fence).where("coalesce(perplexity <= most, true)")
+    scored, _, lang, apart = _scored(docs, trusted, id_col, text_col, lang_col, True)
+    kept = _with_limit(scored, lang, fence, apart).where("kept")
     return kept.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -109,3 +109,29 @@ def test_without_trusted_text_or_documents(spark):
     assert kn.judge(docs, none).count() == docs.count()
     assert kn.judge(docs.where("false"), none).count() == 0
     assert kn.drop(docs.where("false"), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def shares(spark, copies, junk, others=()):
+    """300 clean documents of "xx", a third of them trusted, copies of one of them, junk, and more rows."""
+    rng = random.Random(6)
+    rows = [(i, t * 2, "xx") for i, t in enumerate(texts_of(7, 300))]
+    rows += [(10_000 + i, rows[1][1], "xx") for i in range(copies)]
+    rows += [(20_000 + i, " ".join(rng.choice(["ZQ!!", "%%%$", "|", "WW##"]) for _ in range(rng.randrange(30, 60))), "xx") for i in range(junk)]
+    docs = spark.createDataFrame(rows + list(others), "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    return {r["doc_id"]: r for r in kn.judge(docs, trusted).collect()}
+
+
+def test_copies_over_half_of_a_language_move_no_limit(spark):
+    plain, copied = shares(spark, 0, 0), shares(spark, 900, 0, [(30_000, "than er an", "one"), (30_001, "zan th", None)])
+    assert all(copied[i]["most"] == pytest.approx(plain[i]["most"]) for i in range(300))
+    assert sum(copied[i]["kept"] for i in range(300)) >= 297
+    # languages of one row
+    assert copied[30_000]["kept"] and copied[30_001]["kept"]
+
+
+def test_copies_in_a_language_without_trusted_text(spark):
+    rows = [(40_000 + i, t * 2, "yy") for i, t in enumerate(texts_of(8, 80))]
+    rows += [(50_000 + i, rows[3][1], "yy") for i in range(300)]
+    got = shares(spark, 0, 0, rows)
+    assert sum(got[40_000 + i]["kept"] for i in range(80)) >= 78

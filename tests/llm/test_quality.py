@@ -135,3 +135,9 @@ def test_copies_in_a_language_without_trusted_text(spark):
     rows += [(50_000 + i, rows[3][1], "yy") for i in range(300)]
     got = shares(spark, 0, 0, rows)
     assert sum(got[40_000 + i]["kept"] for i in range(80)) >= 78
+
+
+def test_a_large_share_of_junk_moves_no_limit(spark):
+    plain, full = shares(spark, 0, 0), shares(spark, 0, 200)
+    assert all(full[i]["most"] == pytest.approx(plain[i]["most"]) for i in range(300))
+    assert not any(full[20_000 + i]["kept"] for i in range(200))

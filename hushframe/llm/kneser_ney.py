@@ -1,15 +1,17 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is per language (and one of all languages, named "", for texts without a language of their
-own). It predicts the characters of a word, each from up to four before it; a word begins with a mark
-that says whether a sentence begins there, and ends with an end mark.
+own). It predicts the characters of a text, each from up to four before it, also over word boundaries. A
+word begins with a mark that says whether a sentence begins there, and ends with an end mark; its first three
+characters are predicted from the end of the text before it too.
 
 Training counts n-grams of all trusted words, and joins the counts by their contexts and their suffixes,
 sharded by Spark: adjusted counts (raw for the highest order and for n-grams at the beginning of a word,
 else the number of distinct characters before them), three discounts per language and order, back-off
 weights, and interpolated probabilities. The model is stored in blocks by the two characters before the
 predicted one, so that all that a place in a text needs lies in one block. Tasks read one block at a
-time and score each distinct word once; nothing is shuffled per document.
+time. They score each distinct head of a word with what stands before it once, and the rest of each distinct
+word once; nothing is shuffled per document.
 
 A document's perplexity is per character. Its language's quartiles give the limit: log perplexity over the
 upper quartile plus `fence` quartile distances is rejected. The distance counts more for texts shorter than
@@ -48,7 +50,9 @@ LEAST_APART = 20
 #: The least distance of the quartiles of log perplexity.
 LEAST_SPREAD = 0.05
 _BLOCK_ROWS = 4_000_000
-_BEGIN_SENTENCE, _BEGIN, _END = "\x02", "\x03", "\x01"
+_BEGIN_SENTENCE, _BEGIN, _END, _BEGIN_TEXT = "\x02", "\x03", "\x01", "\x04"
+_HEAD = "\x05"
+_MARKS = str.maketrans(dict.fromkeys(_BEGIN_SENTENCE + _BEGIN + _END + _BEGIN_TEXT, "\ufffd"))
 _SENTENCE_ENDS = frozenset(".!?:")
 _LONGEST = 64
 _COUNTED_AT_ONCE = 200_000
@@ -68,14 +72,41 @@ def marked_words(text: str) -> list[str]:
     return found
 
 
-def word_counts(trusted: DataFrame) -> DataFrame:
-    """lang, word and n of all words of trusted text (lang, text), and the same over all languages under ""."""
+def heads(words: list[str], order: int) -> list[str]:
+    """Per marked word of a text: what stands before it, its mark, and the characters whose context reaches beyond the mark."""
+    found, tail, most = [], _BEGIN_TEXT, order - 2
+    for w in words:
+        found.append(tail + (w[: most + 1] if len(w) > most else w + _END))
+        tail = w[-most:] if len(w) >= most else (tail + w)[-most:]
+    return found
+
+
+def _mark(head: str) -> int:
+    """Where the mark of the word of a head stands."""
+    return max(head.rfind(_BEGIN), head.rfind(_BEGIN_SENTENCE))
+
+
+def text_words(text: str) -> list[str]:
+    """The marked words of a text that may hold the characters of the marks."""
+    if _END in text or _BEGIN in text or _BEGIN_SENTENCE in text or _BEGIN_TEXT in text:
+        text = text.translate(_MARKS)
+    return marked_words(text)
+
+
+def word_counts(trusted: DataFrame, order: int = ORDER, across: bool = False) -> DataFrame:
+    """lang, word and n of all words of trusted text (lang, text), and the same over all languages under "".
+
+    across: heads of words are counted besides, each after a sign of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[lang].update(marked_words(text))
+                words = text_words(text) if across else marked_words(text)
+                seen[lang].update(words)
+                if across:
+                    seen[lang].update(_HEAD + h for h in heads(words, order))
             if sum(map(len, seen.values())) > _COUNTED_AT_ONCE:
                 yield from _rows(seen)
                 seen.clear()
@@ -90,16 +121,26 @@ def word_counts(trusted: DataFrame) -> DataFrame:
     return counted.where("lang <> ''").unionByName(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")))
 
 
-def raw_grams(words: DataFrame, order: int) -> DataFrame:
-    """lang, gram and n: all n-grams of the highest order, and shorter ones at the beginning of a word."""
+def raw_grams(words: DataFrame, order: int, across: bool = False) -> DataFrame:
+    """lang, gram and n: all n-grams of the highest order, and shorter ones at the beginning of a word.
+
+    across: the shorter ones are at the beginning of a text; heads hold the n-grams that end near the
+    beginning of a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if across and word[0] == _HEAD:
+                    head = word[1:]
+                    for j in range(_mark(head) + 2, len(head) + 1):
+                        seen[lang, head[max(0, j - order) : j]] += n
+                    continue
                 whole = word + _END
-                for k in range(2, min(order, len(whole) + 1)):
-                    seen[lang, whole[:k]] += n
+                if not across:
+                    for k in range(2, min(order, len(whole) + 1)):
+                        seen[lang, whole[:k]] += n
                 for i in range(len(whole) - order + 1):
                     seen[lang, whole[i : i + order]] += n
             langs, grams = zip(*seen) if seen else ((), ())
@@ -119,11 +160,11 @@ def _discounts(counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.01), i - 0.01) for i, d in enumerate(found, 1))
 
 
-def train(trusted: DataFrame, order: int = ORDER, block_rows: int = _BLOCK_ROWS) -> str:
-    """Train on trusted text (lang, text) and store the model; returns its folder."""
+def train(trusted: DataFrame, order: int = ORDER, block_rows: int = _BLOCK_ROWS, across: bool = False) -> str:
+    """Train on trusted text (lang, text) and store the model; returns its folder. across: contexts go over word boundaries."""
     spark = trusted.sparkSession
     folder = scratch(spark, "kneser-ney")
-    raw = settle(raw_grams(settle(word_counts(trusted), "all-words"), order), "grams")
+    raw = settle(raw_grams(settle(word_counts(trusted, order, across), "all-words"), order, across), "grams")
     adjusted = {order: raw.where(F.length("gram") == order).withColumnRenamed("n", "a")}
     for k in range(order - 1, 0, -1):
         inner = adjusted[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("a"))
@@ -242,14 +283,18 @@ class Blocks:
 
 
 def word_scores(words: list[str], lang: str, blocks: Blocks, order: int) -> np.ndarray:
-    """The log probability of each marked word."""
-    texts = [w + _END for w in words]
+    """The log probability of each marked word, from contexts in it alone."""
+    return _scores([w + _END for w in words], np.ones(len(words), np.int64), lang, blocks, order)
+
+
+def _scores(texts: list[str], firsts: np.ndarray, lang: str, blocks: Blocks, order: int) -> np.ndarray:
+    """The log probability of each text's characters from its place `firsts` on."""
     sizes = np.array(list(map(len, texts)), np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     place = np.arange(len(points)) - np.repeat(starts, sizes)
-    at = np.flatnonzero(place > 0)  # the begin mark is not predicted
+    at = np.flatnonzero(place >= np.repeat(firsts, sizes))
     place = place[at]
     numbers = blocks.numbers
     two = points[at - 1] + np.where(place > 1, points[np.maximum(at - 2, 0)] * np.uint64(31), 0).astype(np.uint64)
@@ -281,31 +326,48 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
 
 
 class Scorer:
-    """Scores texts; keeps the scores of at most `most` words."""
+    """Scores texts; keeps the scores of about `most` words and as many heads."""
 
     def __init__(self, folder: str, order: int, most: int = 200_000):
         self.blocks, self.order, self.most = Blocks(folder), order, most
-        self.scores: dict[str, dict[str, float]] = defaultdict(dict)
+        self.rests: dict[str, dict[str, float]] = defaultdict(dict)
+        self.heads: dict[str, dict[str, float]] = defaultdict(dict)
 
     def score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
         """The perplexity of each text, and how many characters were predicted."""
-        if sum(map(len, self.scores.values())) > self.most:
-            self.scores.clear()
-        words = [marked_words(t or "") for t in texts]
+        for kept in (self.rests, self.heads):
+            if sum(map(len, kept.values())) > self.most:
+                kept.clear()
+        words = [text_words(t or "") for t in texts]
         by_lang: dict[str, list[int]] = defaultdict(list)
         for i, lang in enumerate(langs):
             by_lang[lang or ""].append(i)
         found: list[float | None] = [None] * len(texts)
         chars = [sum(map(len, own)) for own in words]  # a mark less, an end more
         for lang, rows in by_lang.items():
-            known = self.scores[lang]
-            fresh = list(set().union(*(words[i] for i in rows)) - known.keys())
-            known.update(zip(fresh, word_scores(fresh, lang, self.blocks, self.order).tolist()))
-            for i in rows:
-                if words[i]:
-                    found[i] = float(np.exp(-sum(map(known.__getitem__, words[i])) / chars[i]))
+            rests, starts = self.rests[lang], self.heads[lang]
+            begun = [heads(words[i], self.order) for i in rows]
+            fresh = sorted(set().union(*(words[i] for i in rows)) - rests.keys())
+            rests.update(zip(fresh, self._log(fresh, lang, True)))
+            fresh = sorted(set().union(*begun) - starts.keys())
+            starts.update(zip(fresh, self._log(fresh, lang, False)))
+            for i, first in zip(rows, begun):
+                if first:
+                    whole = sum(map(rests.__getitem__, words[i])) + sum(map(starts.__getitem__, first))
+                    found[i] = float(np.exp(-whole / chars[i]))
         return found, chars
 
+    def _log(self, parts: list[str], lang: str, rest: bool) -> list[float]:
+        """Log probabilities of the rests of words, or of heads. A word that is all head has no rest."""
+        if not rest:
+            firsts = np.fromiter((_mark(h) + 1 for h in parts), np.int64, len(parts))
+            return _scores(parts, firsts, lang, self.blocks, self.order).tolist()
+        long = [i for i, w in enumerate(parts) if len(w) >= self.order - 1]
+        firsts = np.full(len(long), self.order - 1, np.int64)
+        found = np.zeros(len(parts))
+        found[long] = _scores([parts[i] + _END for i in long], firsts, lang, self.blocks, self.order)
+        return found.tolist()
+
 
 def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int = ORDER) -> DataFrame:
     """All columns of `docs`, `perplexity` and `chars`. lang and text: where those columns stand."""
@@ -369,7 +431,7 @@ def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lan
     # most texts that are not trusted stay where they are; only the others meet the ids in a shuffle
     likely = bloom.probe(texts, "id", bloom.build(ids, "id"), "likely").where("likely").drop("likely")
     known = _set_apart(likely.join(ids.hint("merge"), "id", "left_semi"))
-    folder = train(known.where("not apart").select("lang", "text"))
+    folder = train(known.where("not apart").select("lang", "text"), across=True)
     if whole:
         rows, names = docs, [position(docs, c) for c in (id_col, lang_col, text_col)]
     else:

@@ -141,3 +141,62 @@ def test_a_large_share_of_junk_moves_no_limit(spark):
     plain, full = shares(spark, 0, 0), shares(spark, 0, 200)
     assert all(full[i]["most"] == pytest.approx(plain[i]["most"]) for i in range(300))
     assert not any(full[20_000 + i]["kept"] for i in range(200))
+
+
+def brute_running_model(texts, order):
+    """log p(character | context) over running text, by the textbook formulas."""
+    raw, left, children = Counter(), defaultdict(set), defaultdict(list)
+    for text in texts:
+        for context, c in predictions(text):
+            for k in range(1, order + 1):
+                if k <= len(context) + 1:
+                    raw[(context + c)[-k:]] += 1
+    for g in raw:
+        left[g[1:]].add(g[0])
+        children[g[:-1]].append(g)
+    a = {g: n if len(g) == order or g[0] == kn._BEGIN_TEXT else len(left[g]) for g, n in raw.items()}
+    d = {k: kn._discounts(Counter(n for g, n in a.items() if len(g) == k)) for k in range(1, order + 1)}
+    cut = lambda g: d[len(g)][min(a[g], 3) - 1]
+    size = sum(len(g) == 1 for g in a) + 1
+
+    def p(context, c):
+        context = context[max(0, len(context) - order + 1) :]
+        below = p(context[1:], c) if context else 1 / size
+        if context not in children:
+            return below
+        total = sum(a[g] for g in children[context])
+        own = (a[context + c] - cut(context + c)) / total if context + c in a else 0.0
+        return own + sum(cut(g) for g in children[context]) / total * below
+
+    return p
+
+
+def predictions(text):
+    """Each predicted character after all that stands before it."""
+    before = kn._BEGIN_TEXT
+    for word in kn.marked_words(text):
+        before += word[0]
+        for c in word[1:] + kn._END:
+            yield before, c
+            before += c if c != kn._END else ""
+
+
+@pytest.mark.parametrize("block_rows", [4_000_000, 300])
+def test_contexts_go_over_word_boundaries(spark, block_rows):
+    trained = texts_of(1) + ["a b cd a b cd."]
+    folder = kn.train(spark.createDataFrame([("xx", t) for t in trained], "lang string, text string"), block_rows=block_rows, across=True)
+    p = brute_running_model(trained, kn.ORDER)
+    texts = texts_of(2, 20) + ["a", "a b c d e", "thaning " * 9, "a" * 150 + " b", "qq thq\x02\x03x. an"]
+    got, chars = kn.Scorer(folder, kn.ORDER).score(["xx"] * len(texts), texts)
+    for text, perplexity, n in zip(texts, got, chars):
+        logs = [math.log(p(context, c)) for context, c in predictions(text.translate(kn._MARKS))]
+        assert len(logs) == n
+        assert math.log(perplexity) == pytest.approx(-sum(logs) / n, rel=1e-4)
+
+
+def test_order_and_repetition_of_words_count(spark):
+    turns = ["ab cd ef gh " * n for n in range(20, 180)]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(turns)] + [(1000, "ab " * 80, "xx"), (1001, "ab gh ef cd " * 20, "xx")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in kn.judge(docs, spark.createDataFrame([(i,) for i in range(160)], "doc_id long")).collect()}
+    assert all(got[i]["kept"] for i in range(160))
+    assert not got[1000]["kept"] and not got[1001]["kept"]

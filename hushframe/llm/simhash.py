@@ -253,12 +253,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(rows: DataFrame, text: int, words: int) -> DataFrame:
+    """The rows and their fingerprint `fp`. text: where the text stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, batch_text):
+            found = np.array([fingerprint(t, words) for t in texts_of(batch.column(batch_text))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+
+    batch_text = len(rows.columns)
+    schema = type(rows.schema)([*rows.schema.fields]).add("fp", "long")
+    return rows.withColumn("text_as_read", rows[rows.columns[text]].cast("string")).mapInArrow(run, schema)
+
+
 def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """`docs` with one document per component, that with the smallest doc_id; rows without a doc_id stay."""
+    """`docs` with one document per component, that with the smallest doc_id; rows without a doc_id stay.
+
+    Rows that repeat a doc_id with other texts go or stay each with their own component.
+    """
     found = components(docs, id_col, text_col, words, distance)
-    gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = found.where("doc_id <> component_id").select("doc_id", F.conv("fingerprint", 16, -10).cast("long").alias("gone_fp"))
+    gone = settle(gone.distinct(), "gone")
     plain, ident = by_position(docs), f"c{position(docs, id_col)}"
     # only rows that may go meet the ids in a shuffle; the rest pass straight through
     probed = bloom.probe(plain, ident, bloom.build(gone, "doc_id"), "maybe")
-    rest = probed.where("maybe").join(gone.hint("merge"), F.col(ident) == gone["doc_id"], "left_anti")
+    maybe = _with_fingerprint(probed.where("maybe"), position(docs, text_col), words)
+    same = (F.col(ident) == gone["doc_id"]) & (F.col("fp") == gone["gone_fp"])
+    rest = maybe.join(gone.hint("merge"), same, "left_anti").drop("fp")
     return probed.where("not maybe").unionByName(rest).drop("maybe").toDF(*docs.columns)

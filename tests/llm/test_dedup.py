@@ -153,3 +153,10 @@ def test_smallest_reachable_on_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 200)] + [(300, 300), (-5, 7000)]
     got = {r["node"]: r["root"] for r in graph.smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 200)}, -5: -5, 7000: -5}
+
+
+def test_drop_keeps_a_document_of_each_group_when_ids_repeat(spark):
+    rng = random.Random(21)
+    a, b = (" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eta"]) + str(rng.randrange(50)) for _ in range(80)) for _ in range(2))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop(docs).collect())) == sorted([(3, a), (5, b)])

@@ -2,7 +2,8 @@
 
 White space separates what a byte-level or word-end BPE looks at: a piece that starts at a single space
 or line break after a visible character is encoded alone just as it is inside the text. So each piece is
-encoded once and looked up afterwards. A text with any other white space is encoded whole.
+encoded once and looked up afterwards. A text with any other white space is encoded whole, and so is one that
+holds the string of an added token, which the tokenizer gives its own id.
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(t.content for t in added)
+        #: Added tokens that are looked for in the normalised text may be spelled otherwise in the text itself.
+        self.normalised = any(t.normalized for t in added)
         self.end_id, self.most, self.signs = end_id, most, {}
         self.spaced, self.plain = self._word_forms()
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -142,6 +146,10 @@ class Encoder:
         self.known.fresh = []
         self._add(ids, np.zeros(len(keep), bool))
 
+    def _has_added(self, text: str) -> bool:
+        """Whether the text may hold an added token."""
+        return self.normalised or any(a in text for a in self.added)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, an end id after each, and how many each has."""
         if not texts:
@@ -164,7 +172,8 @@ class Encoder:
         firsts = np.cumsum(sizes) - sizes
         ids = _ragged(self.flat.data, self.starts.data, self.lengths.data, at)
         n = np.add.reduceat(self.lengths.data[at], firsts)
-        odd = np.flatnonzero(np.logical_or.reduceat(self.whole.data[at], firsts))
+        special = np.fromiter(map(self._has_added, texts), bool, len(texts))
+        odd = np.flatnonzero(np.logical_or.reduceat(self.whole.data[at], firsts) | special)
         if len(odd):
             parts = np.split(ids, np.cumsum(n)[:-1])
             for i, e in zip(odd.tolist(), self.tokenizer.encode_batch([texts[i] for i in odd.tolist()], add_special_tokens=False)):

@@ -146,3 +146,17 @@ def test_pieces_go_to_the_cheapest_sequence_with_room():
         cost[to] += n + n * n / 2048
     full = cost[: int(lengths.sum()) // 4096]
     assert full.max() < 1.25 * full.mean()
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_get_their_own_id(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    fresh = Tokenizer.from_file(path)
+    end = fresh.token_to_id("<|endoftext|>")
+    texts = ["<|endoftext|>", "one two<|endoftext|>three", "a <|endoftext|> b\nc", "<|startoftext|>x <|ENDOFTEXT|>", "<|endof text|>", "plain words <| here"]
+    ids, n = Encoder(path, 2, most=3000).encode(texts * 2)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [[*e.ids, 2] for e in fresh.encode_batch(texts * 2, add_special_tokens=False)]
+    assert got[0] == [end, 2] and all(end in x for x in got[:3])

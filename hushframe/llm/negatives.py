@@ -157,7 +157,7 @@ def negatives_in_cell(k: int, low: int, high: int, rows: pa.Table, queries: pa.T
 
 def mine(
     vectors: DataFrame,
-    is_anchor: Column,
+    is_anchor: Column | str,
     positives: int = 5,
     negatives: int = 10,
     low: int = 30,

@@ -112,7 +112,7 @@ def numbered(vectors: DataFrame, scale: int, id_col: str, vector_col: str, **mor
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query: Column | str, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The k best other rows for each row that `is_query` (a condition on the column `id`) holds for.
 

@@ -14,7 +14,10 @@ _BLOCK = frozenset(
 )
 #: Elements without an end tag, and elements whose content is no text of the page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("iframe object script style svg math template textarea title".split())
+_RAW = frozenset("iframe script style svg math template textarea title".split())
+#: Those of them that a page may close in the start tag itself, and those that reach to the end of a page without an end tag.
+_SELF_CLOSED = frozenset("iframe svg math".split())
+_TO_THE_END = frozenset("script style".split())
 #: Elements that a start tag of the same kind (or of its group) closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -84,8 +87,13 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             continue
         if tag in _RAW:
+            if tag in _SELF_CLOSED and (m[3] or m[6] or "").endswith("/"):
+                continue
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            at = len(page) if end is None else end.start()
+            if end is not None:
+                at = end.start()
+            elif tag in _TO_THE_END:
+                at = len(page)  # what follows is code; without an end tag the others are taken as empty
         elif tag == "br":
             text.append(" ")
         elif tag in _BLOCK:

@@ -32,12 +32,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -200,10 +201,29 @@ def train(trusted: DataFrame, order: int = ORDER, block_rows: int = _BLOCK_ROWS,
     unknown = adjusted[1].groupBy("lang").agg(F.log(1 / (F.count(F.lit(1)) + 1)).cast("float").alias("value")).select("lang", F.lit(None).cast("string").alias("gram"), F.lit(False).alias("weight"), "value")
     model = settle(model.unionByName(unknown), "model")
     blocks = max(1, -(-model.count() // block_rows))
-    _blocked(model, blocks).write.partitionBy("block").parquet(folder)
+    stored = _blocked(model, blocks).select("lang", "gram", "weight", "value", "block")
+    stored.mapInArrow(_hashed, "lang string, weight boolean, k int, hash long, value float, block int").write.partitionBy("block").parquet(folder)
     return folder
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the model with the length and the hash of the n-gram in place of the n-gram; the unknown one has length -1."""
+    for batch in batches:
+        lang, gram, weight, value, block = batch.columns
+        k = pa.compute.utf8_length(gram).fill_null(-1).to_numpy().astype(np.int32)
+        found = np.zeros(len(k), np.int64)
+        for size in np.unique(k[k >= 0]).tolist():
+            at = np.flatnonzero(k == size)
+            points = _points("".join(gram.take(pa.array(at)).to_pylist()))
+            found[at] = _hashes(points, np.arange(len(at)) * size, size).view(np.int64)
+        yield pa.RecordBatch.from_arrays([lang, weight, pa.array(k), pa.array(found), value, block], ["lang", "weight", "k", "hash", "value", "block"])
+
+
+def _points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
 def _blocked(model: DataFrame, blocks: int) -> DataFrame:
     """A block per row by the two characters before the predicted one; rows with fewer go to all blocks."""
     before = F.when(F.col("weight"), F.expr("right(gram, 2)")).otherwise(F.expr("left(right(gram, 3), 2)"))
@@ -224,15 +244,13 @@ def _hashes(points: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 class Table:
     """Sorted hashes of n-grams of each length with a value."""
 
-    def __init__(self, grams: list[str], values: np.ndarray):
+    def __init__(self, lengths: np.ndarray, hashes: np.ndarray, values: np.ndarray):
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = np.array(list(map(len, grams)), np.int64)
-        for k in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == k)
-            points = np.frombuffer("".join(grams[i] for i in at.tolist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-            keys = _hashes(points, np.arange(len(at)) * k, k)
+        for k in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == k)
+            keys = hashes[at].view(np.uint64)
             order = np.argsort(keys)
-            self.parts[k] = keys[order], values[at][order]
+            self.parts[k] = keys[order], values[at[order]]
 
     def get(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash of length k is known, and its value (0 if not)."""
@@ -241,7 +259,7 @@ class Table:
             return np.zeros(len(keys), bool), np.zeros(len(keys))
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         known = have[at] == keys
-        return known, np.where(known, values[at], 0.0)
+        return known, np.where(known, values[at], 0.0).astype(np.float64)
 
 
 class Block:
@@ -249,18 +267,15 @@ class Block:
 
     def __init__(self, folder: str, number: int):
         files, base = shared_files(folder)
-        rows = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files).to_table(columns=["lang", "gram", "weight", "value"])
-        langs = np.array(rows.column("lang").to_pylist(), object)
-        grams, weight, value = rows.column("gram").to_pylist(), rows.column("weight").to_numpy(), rows.column("value").to_numpy()
+        rows = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files).to_table(columns=["lang", "weight", "k", "hash", "value"])
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        code = langs.indices.to_numpy()
+        weight, k, hashes, value = (rows.column(c).to_numpy() for c in ("weight", "k", "hash", "value"))
         self.languages: dict[str, tuple[Table, Table, float]] = {}
-        empty = np.array([g is None for g in grams], bool)
-        for lang in sorted(set(langs.tolist())):
-            own = langs == lang
-            tables = []
-            for kind in (False, True):
-                at = np.flatnonzero(own & (weight == kind) & ~empty)
-                tables.append(Table([grams[i] for i in at.tolist()], value[at].astype(np.float64)))
-            self.languages[lang] = (*tables, float(value[own & empty][0]))
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            own = (code == i) & (k >= 0)
+            tables = [Table(k[at], hashes[at], value[at]) for at in (np.flatnonzero(own & (weight == kind)) for kind in (False, True))]
+            self.languages[lang] = (*tables, float(value[(code == i) & (k < 0)][0]))
 
 
 def _block_numbers(folder: str) -> tuple[int, ...]:
@@ -290,7 +305,7 @@ def word_scores(words: list[str], lang: str, blocks: Blocks, order: int) -> np.n
 def _scores(texts: list[str], firsts: np.ndarray, lang: str, blocks: Blocks, order: int) -> np.ndarray:
     """The log probability of each text's characters from its place `firsts` on."""
     sizes = np.array(list(map(len, texts)), np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    points = _points("".join(texts))
     ends = np.cumsum(sizes)
     starts = ends - sizes
     place = np.arange(len(points)) - np.repeat(starts, sizes)
@@ -325,49 +340,112 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
     return total
 
 
+class _Numbers(dict):
+    """Text to its number; a new one gets the next."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = number = len(self)
+        return number
+
+
+class _Language:
+    """What is known of the words of one language.
+
+    A word has a number. Its head is the end of the text before it, its mark and its first characters; a word's own end
+    and its start have numbers too, so a head is a pair of numbers.
+    """
+
+    def __init__(self, order: int):
+        self.order, self.most = order, order - 2
+        self.words, self.tails, self.starts = _Numbers(), _Numbers(), _Numbers()
+        self.known = 0
+        self.start, self.tail, self.size = (np.empty(0, np.int64) for _ in range(3))
+        self.rest = np.empty(0)
+        self.heads: dict[int, float] = {}
+
+    def number(self, words: list[str], log) -> np.ndarray:
+        """The numbers of words; new ones are looked at once. log: log probabilities of parts from given places on."""
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        fresh = list(islice(self.words, self.known, None))
+        if fresh:
+            most = self.most
+            start = [self.starts[w[: most + 1] if len(w) > most else w + _END] for w in fresh]
+            tail = [self.tails[w[-most:]] if len(w) >= most else -1 for w in fresh]
+            rest = np.zeros(len(fresh))
+            long = [i for i, w in enumerate(fresh) if len(w) > most]
+            rest[long] = log([fresh[i] + _END for i in long], np.full(len(long), most + 1, np.int64))
+            self.start, self.tail = np.append(self.start, start), np.append(self.tail, tail)
+            self.size, self.rest = np.append(self.size, list(map(len, fresh))), np.append(self.rest, rest)
+            self.known = len(self.words)
+        return at
+
+    def before(self, words: list[str], at: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The number of the end of the text before each word; `firsts` are the first words of texts."""
+        begin = self.tails[_BEGIN_TEXT]
+        after = self.tail[at]  # the end of the text after a word; a short word's depends on what is before it
+        first = np.zeros(len(at), bool)
+        first[firsts] = True
+        short = np.flatnonzero(after < 0).tolist()
+        if short:
+            names = list(self.tails)
+            for i in short:
+                old = names[begin if first[i] else after[i - 1]]
+                after[i] = number = self.tails[(old + words[i])[-self.most :]]
+                if number == len(names):
+                    names.append((old + words[i])[-self.most :])
+        found = np.append(begin, after[:-1])
+        found[firsts] = begin
+        return found
+
+    def head_scores(self, before: np.ndarray, at: np.ndarray, log) -> np.ndarray:
+        """The log probability of each word's head after what is before it."""
+        pairs, inverse = np.unique(before << 32 | self.start[at], return_inverse=True)
+        fresh = [p for p in pairs.tolist() if p not in self.heads]
+        if fresh:
+            tails, starts = list(self.tails), list(self.starts)
+            parts = [tails[p >> 32] + starts[p & 0xFFFFFFFF] for p in fresh]
+            firsts = np.fromiter((len(tails[p >> 32]) + 1 for p in fresh), np.int64, len(fresh))
+            self.heads.update(zip(fresh, log(parts, firsts).tolist()))
+        return np.fromiter(map(self.heads.__getitem__, pairs.tolist()), np.float64, len(pairs))[inverse]
+
+
 class Scorer:
-    """Scores texts; keeps the scores of about `most` words and as many heads."""
+    """Scores texts; keeps what it knows of about `most` words and as many heads."""
 
     def __init__(self, folder: str, order: int, most: int = 200_000):
         self.blocks, self.order, self.most = Blocks(folder), order, most
-        self.rests: dict[str, dict[str, float]] = defaultdict(dict)
-        self.heads: dict[str, dict[str, float]] = defaultdict(dict)
+        self.languages: dict[str, _Language] = {}
 
     def score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
         """The perplexity of each text, and how many characters were predicted."""
-        for kept in (self.rests, self.heads):
-            if sum(map(len, kept.values())) > self.most:
-                kept.clear()
-        words = [text_words(t or "") for t in texts]
+        kept = self.languages.values()
+        if sum(len(x.words) for x in kept) > self.most or sum(len(x.heads) for x in kept) > self.most:
+            self.languages = {}
         by_lang: dict[str, list[int]] = defaultdict(list)
         for i, lang in enumerate(langs):
             by_lang[lang or ""].append(i)
         found: list[float | None] = [None] * len(texts)
-        chars = [sum(map(len, own)) for own in words]  # a mark less, an end more
+        chars = [0] * len(texts)
         for lang, rows in by_lang.items():
-            rests, starts = self.rests[lang], self.heads[lang]
-            begun = [heads(words[i], self.order) for i in rows]
-            fresh = sorted(set().union(*(words[i] for i in rows)) - rests.keys())
-            rests.update(zip(fresh, self._log(fresh, lang, True)))
-            fresh = sorted(set().union(*begun) - starts.keys())
-            starts.update(zip(fresh, self._log(fresh, lang, False)))
-            for i, first in zip(rows, begun):
-                if first:
-                    whole = sum(map(rests.__getitem__, words[i])) + sum(map(starts.__getitem__, first))
-                    found[i] = float(np.exp(-whole / chars[i]))
+            own = self.languages.setdefault(lang, _Language(self.order))
+
+            def log(parts: list[str], firsts: np.ndarray, lang: str = lang) -> np.ndarray:
+                return _scores(parts, firsts, lang, self.blocks, self.order)
+
+            split = [text_words(texts[i] or "") for i in rows]
+            filled = [j for j, words in enumerate(split) if words]
+            if not filled:
+                continue
+            words = list(chain.from_iterable(split))
+            sizes = np.array([len(split[j]) for j in filled])
+            firsts = np.cumsum(sizes) - sizes
+            at = own.number(words, log)
+            scores = own.rest[at] + own.head_scores(own.before(words, at, firsts), at, log)
+            total, length = np.add.reduceat(scores, firsts), np.add.reduceat(own.size[at], firsts)  # a mark less, an end more
+            for j, p, n in zip(filled, np.exp(-total / length).tolist(), length.tolist()):
+                found[rows[j]], chars[rows[j]] = p, n
         return found, chars
 
-    def _log(self, parts: list[str], lang: str, rest: bool) -> list[float]:
-        """Log probabilities of the rests of words, or of heads. A word that is all head has no rest."""
-        if not rest:
-            firsts = np.fromiter((_mark(h) + 1 for h in parts), np.int64, len(parts))
-            return _scores(parts, firsts, lang, self.blocks, self.order).tolist()
-        long = [i for i, w in enumerate(parts) if len(w) >= self.order - 1]
-        firsts = np.full(len(long), self.order - 1, np.int64)
-        found = np.zeros(len(parts))
-        found[long] = _scores([parts[i] + _END for i in long], firsts, lang, self.blocks, self.order)
-        return found.tolist()
-
 
 def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int = ORDER) -> DataFrame:
     """All columns of `docs`, `perplexity` and `chars`. lang and text: where those columns stand."""
@@ -394,16 +472,24 @@ def _quartiles(scored: DataFrame) -> DataFrame:
     )
 
 
-def _with_limit(scored: DataFrame, lang: str, fence: float, apart: DataFrame) -> DataFrame:
-    """The scored rows with `most`, the greatest perplexity that is kept, and `kept`. apart: scored trusted texts."""
-    its = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    trusted = _quartiles(apart).where(F.col("n") >= LEAST_APART)
-    rows = scored.select(its.alias("its"), "perplexity", "chars")
-    others = _quartiles(rows.join(F.broadcast(trusted.select("its")), "its", "left_anti"))
+def _limits(apart: DataFrame) -> DataFrame:
+    """Stored limits of the languages with enough scored trusted texts: its, upper, spread, median."""
+    return settle(_limit_columns(_quartiles(apart).where(F.col("n") >= LEAST_APART)), "limits")
+
+
+def _limit_columns(quartiles: DataFrame) -> DataFrame:
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
-    limits = settle(trusted.unionByName(others).select("its", F.col("q")[1].alias("upper"), spread.alias("spread"), "median"), "limits")
+    return quartiles.select("its", F.col("q")[1].alias("upper"), spread.alias("spread"), "median")
+
+
+def _its(lang: str) -> Column:
+    return F.coalesce(F.col(lang).cast("string"), F.lit(""))
+
+
+def _with_limit(scored: DataFrame, lang: str, fence: float, limits: DataFrame) -> DataFrame:
+    """The scored rows with `most`, the greatest perplexity that is kept, and `kept`."""
     # a row per language
-    joined = scored.withColumn("its", its).join(F.broadcast(limits), "its", "left")
+    joined = scored.withColumn("its", _its(lang)).join(F.broadcast(limits), "its", "left")
     wider = F.greatest(F.lit(1.0), F.sqrt(F.col("median") / F.greatest("chars", F.lit(1))))
     # rounded as the quartiles are, so that a text of just the limit is kept
     found = joined.withColumn("limit", F.col("upper") + fence * F.col("spread") * wider)
@@ -423,8 +509,8 @@ def _set_apart(trusted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(able), "lang", "left").select("lang", "text", (F.coalesce("able", F.lit(False)) & one_in_four).alias("apart"))
 
 
-def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, whole: bool) -> tuple[DataFrame, str, str, DataFrame]:
-    """Stored rows with perplexities, the names of the id and language columns, and the scored texts set apart."""
+def _trained(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[str, DataFrame]:
+    """The folder of the model, and the limits that trusted texts set."""
     texts = narrow(docs, id=id_col, lang=lang_col, text=text_col)
     kind = texts.schema["id"].dataType
     ids = settle(trusted.toDF("id").select(F.col("id").cast(kind)).where("id is not null").distinct(), "trusted")
@@ -432,28 +518,34 @@ def _scored(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lan
     likely = bloom.probe(texts, "id", bloom.build(ids, "id"), "likely").where("likely").drop("likely")
     known = _set_apart(likely.join(ids.hint("merge"), "id", "left_semi"))
     folder = train(known.where("not apart").select("lang", "text"), across=True)
-    if whole:
-        rows, names = docs, [position(docs, c) for c in (id_col, lang_col, text_col)]
-    else:
-        rows, names = texts, [0, 1, 2]
-    scored = perplexities(rows, folder, names[1], names[2])
     apart = perplexities(known.where("apart").select("lang", "text"), folder, 0, 1).select(F.col("c0").alias("its"), "perplexity", "chars")
-    return settle(scored if whole else scored.drop("c2"), "perplexities"), f"c{names[0]}", f"c{names[1]}", settle(apart, "apart")
+    return folder, _limits(settle(apart, "apart"))
 
 
 def judge(
     docs: DataFrame, trusted: DataFrame, fence: float = FENCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, perplexity, most (the limit) and kept. trusted: one column of ids."""
-    scored, ident, lang, apart = _scored(docs, trusted, id_col, text_col, lang_col, False)
-    rows = scored.select(F.col(ident).alias("doc_id"), F.col(lang).alias("lang"), "perplexity", "chars")
-    return _with_limit(rows, "lang", fence, apart).select("doc_id", "perplexity", "most", "kept")
+    folder, limits = _trained(docs, trusted, id_col, text_col, lang_col)
+    scored = perplexities(narrow(docs, id=id_col, lang=lang_col, text=text_col), folder, 1, 2)
+    rows = settle(scored.select(F.col("c0").alias("doc_id"), F.col("c1").alias("lang"), "perplexity", "chars"), "perplexities")
+    of_all = _quartiles(rows.select(_its("lang").alias("its"), "perplexity", "chars").join(F.broadcast(limits.select("its")), "its", "left_anti"))
+    both = settle(limits.unionByName(_limit_columns(of_all)), "limits")
+    return _with_limit(rows, "lang", fence, both).select("doc_id", "perplexity", "most", "kept")
 
 
 def drop(
     docs: DataFrame, trusted: DataFrame, fence: float = FENCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
-    scored, _, lang, apart = _scored(docs, trusted, id_col, text_col, lang_col, True)
-    kept = _with_limit(scored, lang, fence, apart).where("kept")
+    """The rows of `docs` that are kept, with all their columns.
+
+    Limits are known before the documents are scored, so each is scored where it is kept or dropped. Only those of
+    languages without enough trusted texts are scored once more before, for their quartiles.
+    """
+    folder, limits = _trained(docs, trusted, id_col, text_col, lang_col)
+    others = narrow(docs, lang=lang_col, text=text_col).withColumn("its", _its("lang")).join(F.broadcast(limits.select("its")), "its", "left_anti")
+    of_all = _quartiles(perplexities(others.select("its", "text"), folder, 0, 1).select(F.col("c0").alias("its"), "perplexity", "chars"))
+    both = settle(limits.unionByName(_limit_columns(of_all)), "limits")
+    lang, text = position(docs, lang_col), position(docs, text_col)
+    kept = _with_limit(perplexities(docs, folder, lang, text), f"c{lang}", fence, both).where("kept")
     return kept.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -6,12 +6,15 @@ is cut: it fills the sequence with the most room, and the remainder is placed in
 laid out to hold exactly the tokens of a group: as many full ones as there are, and the remainder as
 powers of two, which need no padding.
 
-Documents are packed in groups of about 2 MB of text in the order of the input, each by one task, so
-nothing is shuffled, and a lost task gives the same groups when it runs again. A sequence_id is the
-number of the input partition times 2^32 plus the number of the sequence in it.
-
-Defined cases: a null text is empty and gives the end id alone; a longer text than a sequence is cut;
-repeated rows are packed each; an empty table gives no row; other columns are ignored.
+Documents are packed in groups of `group` tokens, in the order of the input and each by one task, so nothing is
+shuffled, and a lost task gives the same groups when it runs again. A group ends with the document that fills it, or with
+its input partition; it has no more than twelve sequences that are shorter than the others. How the texts reach a task,
+in which batches or with which cache, changes nothing. A sequence_id is the number of the input partition times
+2^32 plus the number of the sequence in it.
+
+Defined cases: a null text is empty and gives the end id alone; a null doc_id is packed as any other; a longer text
+than a sequence, or than a group, is cut; of pieces of equal length the earlier document's goes first; repeated rows are
+packed each; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .common import narrow, slices
 from .tokens import encoder
 
 
-#: Pieces that a worker keeps; more save time and take memory.
-_PIECES = 300_000
+#: Tokens that are packed together; a task holds the ids of a group, 4 bytes each.
+GROUP = 4_000_000
+#: Pieces of text that a worker keeps with their ids; more save time and take memory, and results are the same.
+PIECES = 300_000
 
 
 def capacities(total: int, length: int) -> np.ndarray:
@@ -74,25 +79,44 @@ def pack_documents(
     length: int = 4096,
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
+    group: int = GROUP,
+    pieces: int = PIECES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     rows = narrow(docs, doc_id=id_col, text=text_col)
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer, end_id, _PIECES).encode, TaskContext.get().partitionId() << 32
+        encode, before = encoder(tokenizer, end_id, pieces).encode, TaskContext.get().partitionId() << 32
+        names, counts, data, total = [], [], [], 0
         for batch in slices(batches, 1):
             ids, n = encode([t or "" for t in batch.column(1).to_pylist()])
-            pieces = np.array(pack(n, length, linear, quadratic), np.int64).reshape(-1, 5)
-            doc, start, size, sequence, offset = pieces.T
-            first = (np.cumsum(n) - n)[doc] + start
-            data = ids.astype("<u4")
-            cut = [data[a : a + b].tobytes() for a, b in zip(first.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), *map(pa.array, (start, size, n[doc], sequence + before, offset)), pa.array(cut, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
-            before += int(sequence.max()) + 1 if len(sequence) else 0
+            at = first = 0  # documents and ids of this batch that are dealt with
+            while at < len(n):
+                reach = np.cumsum(n[at:])
+                take = min(len(reach), int(np.searchsorted(reach, group - total)) + 1)
+                size = int(reach[take - 1])
+                names.append(batch.column(0).slice(at, take))
+                counts.append(n[at : at + take])
+                data.append(ids[first : first + size])
+                at, first, total = at + take, first + size, total + size
+                if total >= group:
+                    packed, before = _packed(names, counts, data, length, linear, quadratic, before)
+                    yield packed
+                    names, counts, data, total = [], [], [], 0
+        if names:
+            yield _packed(names, counts, data, length, linear, quadratic, before)[0]
 
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return rows.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, schema)
+
+
+def _packed(names: list, counts: list, data: list, length: int, linear: float, quadratic: float, before: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces of a group, and the number of its next sequence."""
+    n, ids = np.concatenate(counts), np.concatenate(data).astype("<u4")
+    doc, start, size, sequence, offset = np.array(pack(n, length, linear, quadratic), np.int64).reshape(-1, 5).T
+    first = (np.cumsum(n) - n)[doc] + start
+    cut = [ids[a : a + b].tobytes() for a, b in zip(first.tolist(), size.tolist())]
+    columns = [pa.concat_arrays(names).take(pa.array(doc)), *map(pa.array, (start, size, n[doc], sequence + before, offset)), pa.array(cut, pa.binary())]
+    names_ = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    return pa.RecordBatch.from_arrays(columns, names_), before + int(sequence.max()) + 1

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, divergence, exact_dedup, html_text, kneser_ney, language_id, line_dedup, negatives, packing, simhash, token_files, topk, warc
 from .common import importable_in_tasks, narrow, scratch
 
+#: Pieces of text that a worker keeps in the queries that do nothing but encode; the pipeline keeps fewer beside its other stages.
+PIECES = 1_000_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable_in_tasks(spark)
@@ -17,12 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
-    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), pieces=PIECES)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), pieces=PIECES)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -39,15 +39,15 @@ from .huffman import Code, code_lengths
 from .tokens import encoder
 
 _MAGIC = b"HUFIDS01"
-#: Pieces that a worker keeps; more save time and take memory.
-_PIECES = 400_000
+#: Pieces of text that a worker keeps with their ids; more save time and take memory, and results are the same.
+PIECES = 400_000
 
 
-def _raw_parts(rows: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+def _raw_parts(rows: DataFrame, folder: str, tokenizer: str, end_id: int, pieces: int) -> DataFrame:
     """Encode sorted rows into raw files; a row per file with its counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end_id, _PIECES).encode
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end_id, pieces).encode
         files, base = shared_files(folder)
         files.create_dir(base, recursive=True)
         path, counts, docs, total = f"{base}/raw-{part}-{uuid.uuid4().hex}", np.zeros(0, np.int64), 0, 0
@@ -102,14 +102,14 @@ def _blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         yield names, known, n, np.frombuffer(data, f"<u{width}").astype(np.int64)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, pieces: int = PIECES) -> None:
     """Encode the texts and write their ids into `folder`, in ascending order of doc_id."""
     spark = docs.sparkSession
     raw = scratch(spark, "raw-ids")
     rows = narrow(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     parts = max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    _raw_parts(ordered, f"{raw}/ids", tokenizer, end_id).write.parquet(f"{raw}/parts")
+    _raw_parts(ordered, f"{raw}/ids", tokenizer, end_id, pieces).write.parquet(f"{raw}/parts")
     listed = spark.read.parquet(f"{raw}/parts")
     summed = listed.select("seen", "times").mapInArrow(_sum_counts, "seen long, n long")
     counted = summed.groupBy("seen").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary

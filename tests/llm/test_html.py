@@ -111,3 +111,19 @@ def test_held_out_layouts(spark):
 def test_training_without_pages(spark):
     model = html_text.train(spark.createDataFrame([], "page_id long, url string, html string"), made_up=60, epochs=1)
     assert model.weights["out"].shape == (2 * html_text._HIDDEN,)
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<article><p>one</p><math/><p>two</article>", ["one", "two"]),
+        ('<article><p>one</p><svg class="i"/><p>two</article>', ["one", "two"]),
+        ('<main><object data="x"><p>fallback</p><p>after</p></main>', ["fallback", "after"]),
+        ("<p>one<iframe src=a><p>two", ["one", "two"]),
+        ("<p>one<iframe src=a/><p>two<iframe>no</iframe><p>three", ["one", "two", "three"]),
+        ("<p>one<svg><text>no</text></svg> more<p>two<script>var a", ["one more", "two"]),
+        ("<p>one<textarea>typed</textarea><p>two <textarea>open", ["one", "two open"]),
+    ],
+)
+def test_no_text_is_lost_after_embedded_parts(page, expected):
+    assert [b.text for b in blocks(page)] == expected

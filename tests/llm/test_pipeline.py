@@ -4,12 +4,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from hushframe.llm import kneser_ney as kn
 from test_archives_and_tiles import brute_pairs
 from test_dedup import brute_components, brute_fingerprint
-from test_quality import brute_model
+from test_quality import brute_running_model, predictions
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -29,30 +30,43 @@ def fixture(spark, folder):
     texts += [f"{text(15)} {item} {text(15)}" for item in items]
     texts += [" ".join(w.upper() + "!!" for w in text(40).split()) for _ in range(6)] + [" ".join(w + "%%%" for w in text(40).split()) for _ in range(4)]
     texts += [None, "", " ", texts[3], text(6000)]
-    rows = [(i, t, "xx" if i % 3 else "yy", "s", len(t or "")) for i, t in enumerate(texts)]
+    own = len(texts)
+    texts += [text(25) for _ in range(130)]  # enough trusted texts of "xx" to set its limit; "yy" has few
+    rows = [(i, t, "xx" if i % 3 or i >= own else "yy", "s", len(t or "")) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    labels = [(i, 1, 0) for i in range(0, 70, 2)] + [(1, 0, 0), (5, 1, 1)]
+    labels = [(i, 1, 0) for i in [*range(0, 70, 2), *range(own, len(texts))]] + [(1, 0, 0), (5, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
 
 
 def brute_quality(docs, trusted):
-    logs, chars = {}, {}
-    for lang in {r["lang"] for r in docs}:
-        p, _ = brute_model([r["text"] or "" for r in docs if r["doc_id"] in trusted and r["lang"] == lang], kn.ORDER)
-        for r in docs:
-            if r["lang"] == lang and (words := kn.marked_words(r["text"] or "")):
-                whole = [w + kn._END for w in words]
-                logs[r["doc_id"]] = -sum(math.log(p(w[max(0, j - 4) : j], w[j])) for w in whole for j in range(1, len(w))) / sum(map(len, words))
-                chars[r["doc_id"]] = sum(map(len, words))
+    """The running-text model of trusted texts, and limits from those set apart where a language has enough of them."""
+    known = [r for r in docs if r["doc_id"] in trusted]
+    in_quarter = lambda r: xxhash.xxh64((r["text"] or "").encode(), seed=42).intdigest() % 4 == 0
+    apart_texts = {lang: {r["text"] for r in known if r["lang"] == lang and in_quarter(r)} for lang in {r["lang"] for r in docs}}
+    able = {lang for lang, texts in apart_texts.items() if len(texts) >= kn.LEAST_APART}
+    assert able and set(apart_texts) - able  # the fixture has both kinds
+    limits, logs = {}, {}
+    for lang in apart_texts:
+        own = [r for r in docs if r["lang"] == lang]
+        apart = [r for r in known if r["lang"] == lang and lang in able and in_quarter(r)]
+        p = brute_running_model([r["text"] or "" for r in known if r["lang"] == lang and not (lang in able and in_quarter(r))], kn.ORDER)
+
+        def score(text):
+            found = [p(context, c) for context, c in predictions(text or "")]
+            return (-sum(map(math.log, found)) / len(found), len(found)) if found else None
+
+        logs |= {r["doc_id"]: score(r["text"]) for r in own}
+        based = {(round(x[0], 6), x[1]) for x in (score(r["text"]) for r in (apart or own)) if x}
+        rank = lambda values, q: sorted(values)[max(1, math.ceil(q * len(values))) - 1]
+        low, high = (rank([x for x, _ in based], q) for q in (0.25, 0.75))
+        limits[lang] = high, max(high - low, kn.LEAST_SPREAD), rank([n for _, n in based], 0.5)
     kept = []
     for r in docs:
-        own = [x["doc_id"] for x in docs if x["lang"] == r["lang"] and x["doc_id"] in logs]
-        rank = lambda values, q: sorted(values)[max(1, math.ceil(q * len(values))) - 1]
-        low, high = (rank([logs[i] for i in own], q) for q in (0.25, 0.75))
-        i = r["doc_id"]
-        if i not in logs or logs[i] <= high + kn.FENCE * (high - low) * max(1, math.sqrt(rank([chars[x] for x in own], 0.5) / chars[i])):
+        upper, spread, median = limits[r["lang"]]
+        found = logs[r["doc_id"]]
+        if found is None or found[0] <= upper + kn.FENCE * spread * max(1, math.sqrt(median / found[1])) + 1e-6:
             kept.append(r)
     return kept
 

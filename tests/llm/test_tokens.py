@@ -160,3 +160,25 @@ def test_added_tokens_get_their_own_id(name):
     got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     assert got == [[*e.ids, 2] for e in fresh.encode_batch(texts * 2, add_special_tokens=False)]
     assert got[0] == [end, 2] and all(end in x for x in got[:3])
+
+
+def test_packing_does_not_depend_on_batches_or_caches(spark, monkeypatch):
+    from hushframe.llm import common
+
+    docs = documents(spark).coalesce(1)
+    path = public_tokenizers.path(FILES[1])
+
+    def packed(**more):
+        return [tuple(r) for r in packing.pack_documents(docs, path, group=3000, length=512, **more).collect()]
+
+    first = packed()
+    sequences = {}
+    for p in first:
+        sequences.setdefault(p[4], []).append(p[2])
+    assert len({s for s, own in sequences.items() if sum(own) < 512}) > 3  # several groups
+    monkeypatch.setattr(common.slices, "__defaults__", (500,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert packed(pieces=50) == first
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

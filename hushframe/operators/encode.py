@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.hashing import keyed_sha1
+from hushframe.functions.hashing import KeyFile, keyed_sha1
 from hushframe.functions.values import name_sql, quoted, short_key_sql, text_sql
-from hushframe.session import is_small
+from hushframe.session import small_groups
 
 # A value is hot when it fills more than this share of a column, so at most 1000 values are hot.
 _HOT_SHARE = 0.001
@@ -24,7 +26,7 @@ def _value_text(column: str, number_formats: dict[str, str] | None) -> str:
 def encoding_map(
     df: DataFrame,
     columns: list[str],
-    secret_key: str,
+    secret_key: str | KeyFile,
     number_formats: dict[str, str] | None = None,
     range_digits: int = 3,
 ) -> DataFrame:
@@ -47,7 +49,7 @@ def encoding_map(
 def code_map(
     df: DataFrame,
     columns: list[str],
-    secret_key: str,
+    secret_key: str | KeyFile,
     number_formats: dict[str, str] | None = None,
     range_digits: int = 3,
 ) -> DataFrame:
@@ -60,7 +62,7 @@ def code_map(
 
 
 def _ranked(
-    df: DataFrame, columns: list[str], secret_key: str, number_formats: dict[str, str] | None, range_digits: int
+    df: DataFrame, columns: list[str], secret_key: str | KeyFile, number_formats: dict[str, str] | None, range_digits: int
 ) -> DataFrame:
     """All values of the columns with their hash, rank and whether they are hot; one scan."""
     _checked(df, columns)
@@ -107,42 +109,84 @@ def encode(
     columns: list[str],
     mapping: DataFrame,
     number_formats: dict[str, str] | None = None,
-    secret_key: str | None = None,
+    secret_key: str | KeyFile | None = None,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Replace the values of `columns` by their codes in `mapping`; null stays null, labels stay.
 
     `mapping` comes from `encoding_map`, or from `code_map` and then needs the key. A value without
     a code ends the job with an error: it would be lost otherwise.
 
-    A map of measured small size is broadcast. A larger one shuffles the table, once per column.
+    Codes of measured small size are broadcast, as many columns as fit the limit together, unless
+    `broadcast` is off. The codes of all other columns are looked up together, and the table is shuffled once:
+    see `_replace_together`.
     """
     _checked(df, columns)
     by_hash = "hash" in mapping.columns
     if by_hash and secret_key is None:
         raise ValueError("a map of hashes needs the secret key")
-    for column in columns:
-        codes = mapping.where(F.col("variable") == column)
+    map_key = F.col("hash") if by_hash else F.expr(short_key_sql("original_value"))
+    keyed = mapping.where(F.col("variable").isin(columns)).select("variable", map_key.alias("__key"), F.col("encoded_value").alias("__code"), "is_hot")
+    small = small_groups(keyed, "variable", ["__key"]) if broadcast and columns else set()
+
+    def value_key(column: str) -> Column:
         text = _value_text(column, number_formats)
-        key = keyed_sha1(F.expr(text), secret_key) if by_hash else F.expr(short_key_sql(text))
-        map_key = F.col("hash") if by_hash else F.expr(short_key_sql("original_value"))
-        df = _replace(df, column, key, codes.select(map_key.alias("__key"), F.col("encoded_value").alias("__code"), "is_hot"))
+        return keyed_sha1(F.expr(text), secret_key) if by_hash else F.expr(short_key_sql(text))
+
+    large = {}
+    for column in dict.fromkeys(columns):
+        codes = keyed.where(F.col("variable") == column).drop("variable")
+        if column in small:
+            marked = df.withColumn("__value", value_key(column))
+            found = marked.join(F.broadcast(codes), F.col("__value") == F.col("__key"), "left")
+            df = _coded(found, df, {column: ("__value", "__code")})
+        else:
+            large[column] = (value_key(column), codes)
+    if len(large) == 1:
+        ((column, (key, codes)),) = large.items()
+        df = _coded(_lookup_without_skew(df.withColumn("__value", key), codes), df, {column: ("__value", "__code")})
+    elif large:
+        df = _replace_together(df, large)
     return df
 
 
-def _replace(df: DataFrame, column: str, value_key: Column, keyed: DataFrame) -> DataFrame:
-    """Left join of `df` to the codes (__key, __code, is_hot) of one column, by the key of the value.
+def _coded(found: DataFrame, df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The columns of `df`, those in `columns` replaced by their codes; a value without one is an error."""
+
+    def code(column: str) -> Column:
+        value, looked_up = (F.col(x) for x in columns[column])
+        lost = F.raise_error(F.lit(f"a value of column {column!r} has no code in the encoding map"))
+        checked = F.when(value.isNull() | looked_up.isNotNull(), looked_up).otherwise(lost.cast("bigint"))
+        return checked.alias(column, metadata=df.schema[column].metadata)
+
+    return found.select([code(c) if c in columns else quoted(c) for c in df.columns])
+
+
+def _replace_together(df: DataFrame, large: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+    """Codes of several columns with one shuffle of the table.
 
-    A map of measured small size is broadcast and the table is not shuffled. A larger one is split:
-    see `_lookup_without_skew`.
+    Hot values are looked up by broadcast joins (at most 1000 for a column, with keys of at most 64 bytes). The values
+    of a row that are still open make its tuple, known by its digest. The cells of the tuples meet the codes of all
+    columns in one join, are folded back to a row per tuple, and that row meets the table. A tuple holds a value that
+    isn't hot, so no tuple is in more than a small share of the rows; rows without one spread over all tasks.
     """
-    marked = df.withColumn("__value", value_key)
-    if is_small(keyed, ["__key"]):
-        found = marked.join(F.broadcast(keyed), F.col("__value") == F.col("__key"), "left")
-    else:
-        found = _lookup_without_skew(marked, keyed)
-    lost = F.raise_error(F.lit(f"a value of column {column!r} has no code in the encoding map"))
-    code = F.when(F.col("__value").isNull() | F.col("__code").isNotNull(), F.col("__code")).otherwise(lost.cast("bigint"))
-    return found.select([code.alias(c, metadata=df.schema[c].metadata) if c == column else quoted(c) for c in df.columns])
+    marked, open_cells, rest = df, [], []
+    for i, (key, codes) in enumerate(large.values()):
+        hot = codes.where("is_hot").select(F.col("__key").alias(f"__hot_{i}"), F.col("__code").alias(f"__hot_code_{i}"))
+        marked = marked.withColumn(f"__value_{i}", key).join(F.broadcast(hot), F.col(f"__value_{i}") == F.col(f"__hot_{i}"), "left")
+        cell = F.struct(F.lit(i).alias("i"), F.col(f"__value_{i}").alias("value"))
+        open_cells.append(F.when(F.col(f"__value_{i}").isNotNull() & F.col(f"__hot_code_{i}").isNull(), cell))
+        rest.append(codes.where("not is_hot").select(F.lit(i).alias("i"), F.col("__key").alias("value"), "__code"))
+    spelled = "array_join(transform(__open, x -> concat(x.i, ':', octet_length(x.value), ':', x.value)), '')"
+    marked = marked.withColumn("__open", F.filter(F.array(*open_cells), lambda x: x.isNotNull()))
+    tuples = marked.where("size(__open) > 0").select(F.expr(f"sha2({spelled}, 256)").alias("__tuple"), F.explode("__open").alias("cell"))
+    met = tuples.select("__tuple", "cell.i", "cell.value").join(reduce(DataFrame.unionAll, rest), ["i", "value"])
+    folded = met.groupBy("__tuple").agg(*[F.max(F.when(F.col("i") == i, F.col("__code"))).alias(f"__rest_{i}") for i in range(len(large))])
+    own = F.expr(f"case when size(__open) > 0 then sha2({spelled}, 256) else concat('p', cast(spark_partition_id() as string)) end")
+    found = marked.withColumn("__own", own).drop("__open").join(folded, F.col("__own") == F.col("__tuple"), "left")
+    for i in range(len(large)):
+        found = found.withColumn(f"__code_{i}", F.coalesce(f"__hot_code_{i}", f"__rest_{i}"))
+    return _coded(found, df, {c: (f"__value_{i}", f"__code_{i}") for i, c in enumerate(large)})
 
 
 def _lookup_without_skew(marked: DataFrame, keyed: DataFrame) -> DataFrame:

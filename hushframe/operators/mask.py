@@ -7,14 +7,22 @@ Column labels stay.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
 from hushframe.functions.values import name_sql, quoted, short_key_sql
+from hushframe.operators import filters
+from hushframe.session import settle
 
 # Words are found in tokens by pieces of at most this many characters.
 _GRAM = 4
+# A token is searched in windows of so many characters.
+_WINDOW = 256
+# So many hits, of two numbers each, are broadcast.
+_FEW_HITS = 500_000
 # A token that stands in very many texts meets its words in so many parts of the join.
 _SPREAD = 16
 
@@ -58,33 +66,30 @@ def mask_found_words(df: DataFrame, columns: list[str], words: DataFrame, mask:
     """Mask any number of words, given as a DataFrame with the column `word`.
 
     A word without spaces lies inside one token of the text, and so does each part of a phrase. A word
-    is filed under the four characters of its parts that the fewest words have; the distinct tokens of
-    the texts are searched by their runs of four characters, and a token must contain the part. Words
-    lead back to the texts by their tokens, phrases are held against the whole text before they are
-    collected, and each text replaces the words that it contains. Texts are known by their own digest,
-    so copies are searched once and no key of the rows is needed.
-
-    Nothing is stored on the way: the steps hold personal words in clear. `words` is read several
+    is filed under the four characters of its parts that the fewest words have. The distinct tokens of the texts are cut
+    into runs of four characters, and those that contain a listed part are the hits. The texts are then read for hits
+    alone, and a hit's neighbours must be the other parts of a phrase. Bloom filters of the listed runs and of the hits
+    keep all other runs and tokens from the shuffles. Each text replaces the words that it may contain; one
+    that it doesn't contain changes nothing.
+    Texts are known by their own digest, so no key of the rows is needed, and copies fold before
+    words are collected.
+
+    Nothing in clear is stored on the way, since the steps hold personal words. `words` is read several
     times; make it a stored table if it is costly to compute.
     """
     _checked(df, columns)
     if not columns:
         return df
-    cells = ", ".join(f"struct({short_key_sql(name_sql(c))} as key, {name_sql(c)} as text)" for c in columns)
-    texts = df.selectExpr(f"inline(array({cells}))").where("text <> ''")
-    used = texts.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).where("token <> ''")
     filed = _filed(words)
-    lengths = sorted(r.n for r in filed.select(F.char_length("gram").alias("n")).distinct().collect())  # four at most
+    sizes = filed.agg(F.collect_set(F.char_length("gram")).alias("lengths"), F.count_distinct("gram").alias("n")).first()
+    lengths = sorted(sizes.lengths)  # four at most
     if not lengths:
         return df
-    hits = _hits(used.select("token").distinct(), filed, lengths)
-    part = F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int")
-    spread = hits.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
-    met = used.withColumn("spread", part).join(spread, ["token", "spread"]).select("key", "word")
-    phrase = F.contains("word", F.lit(" "))
-    phrases = met.where(phrase).distinct().join(texts.dropDuplicates(["key"]), "key").where(F.contains("text", F.col("word")))
+    cells = ", ".join(f"struct({short_key_sql(name_sql(c))} as key, {name_sql(c)} as text)" for c in columns)
+    texts = df.selectExpr(f"inline(array({cells}))").where("text <> ''")
+    met = _met(texts, filed, lengths, sizes.n)
     by_size = F.expr("transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)")
-    found = met.where(~phrase).unionByName(phrases.select("key", "word")).groupBy(F.col("key").alias("__key")).agg(by_size.alias("__words"))
+    found = met.groupBy(F.col("key").alias("__key")).agg(by_size.alias("__words"))
     for name in columns:
         text = quoted(name)
         joined = df.join(found, F.expr(short_key_sql(name_sql(name))) == F.col("__key"), "left")
@@ -104,35 +109,77 @@ def _grams(text: str) -> str:
 def _filed(words: DataFrame) -> DataFrame:
     """Distinct words with the piece they are filed under, and the part that holds it.
 
-    `opens` and `closes` tell whether a space stands before and after the part: a token must then begin
-    or end with it. A shorter piece stands in more tokens, so it counts as more words.
+    `before` and `after` are the parts of a phrase beside it, or null at the ends of the word: a space stands between, so
+    a token must then begin or end with the part, and its neighbour must end or begin with the part there. A shorter
+    piece stands in more tokens, so it counts as more words.
     """
     parts = (
         words.select("word")
         .where("trim(word) <> ''")
         .distinct()
         .select("word", F.split("word", " ").alias("parts"))
-        .select("word", F.size("parts").alias("of"), F.posexplode("parts").alias("i", "part"))
+        .select("word", "parts", F.posexplode("parts").alias("i", "part"))
         .where("part <> ''")
-        .select("word", "part", F.expr("i > 0").alias("opens"), F.expr("i < of - 1").alias("closes"), F.explode(F.expr(_grams("part"))).alias("gram"))
+        .select("word", "part", F.expr("get(parts, i - 1)").alias("before"), F.expr("get(parts, i + 1)").alias("after"), F.explode(F.expr(_grams("part"))).alias("gram"))
     )
     common = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     cost = F.col("n") * F.pow(F.lit(16), _GRAM - F.char_length("gram"))
-    best = F.min_by(F.struct("part", "opens", "closes", "gram"), F.struct(cost, "gram", "part"))
+    best = F.min_by(F.struct("part", "before", "after", "gram"), F.struct(cost, "gram", "part", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))))
     return parts.join(common, "gram").groupBy("word").agg(best.alias("best")).select("word", "best.*")
 
 
-def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows (token, word): the token contains the part under which the word is filed."""
-    pieces = (
-        f"array_distinct(flatten(transform(array({', '.join(map(str, lengths))}), n ->"
-        " transform(sequence(1, greatest(1, char_length(token) - n + 1)), i -> substring(token, i, n)))))"
+def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int], grams: int = 65_536) -> DataFrame:
+    """Rows (token, word): the token contains the part under which the word is filed.
+
+    Tokens are cut by exploding numbers, which stays in generated code; a long token is first cut into windows, as taking
+    a piece of a text takes time up to its place. A Bloom filter of the listed pieces keeps the others from the shuffle.
+    """
+    bits = filters.bits_for(grams)
+    listed = filters.build(filed.select("gram"), "gram", bits)
+    n = f"get(array({', '.join(map(str, lengths))}), i % {len(lengths)})"
+    place = f"cast(i div {len(lengths)} + 1 as int)"
+    cut = (
+        tokens.selectExpr("token", f"explode(sequence(0, (char_length(token) - 1) div {_WINDOW})) as w")
+        .selectExpr("token", f"substring(token, cast(w * {_WINDOW} + 1 as int), {_WINDOW + _GRAM - 1}) as seen")
+        .selectExpr("token", "seen", f"explode(sequence(0, char_length(seen) * {len(lengths)} - 1)) as i")
+        .where(f"{place} + {n} - 1 <= char_length(seen)")
+        .selectExpr("token", f"substring(seen, {place}, {n}) as gram")
+        .where(filters.may_hold(listed, F.col("gram"), bits))
     )
     return (
-        tokens.select("token", F.explode(F.expr(pieces)).alias("gram"))
-        .join(filed, "gram")
+        cut.join(filed, "gram")
         .where(F.contains("token", F.col("part")))
-        .where("(not opens or startswith(token, part)) and (not closes or endswith(token, part))")
+        .where("(before is null or startswith(token, part)) and (after is null or endswith(token, part))")
         .select("token", "word")
-        .distinct()
+    )
+
+
+def _met(texts: DataFrame, filed: DataFrame, lengths: list[int], grams: int) -> DataFrame:
+    """Rows (key, word): the text has a token of the word's, between the neighbours that the word asks for.
+
+    The hits among the distinct tokens are found once and settled as pairs of salted hashes, which hold no word in
+    clear; what hashes alike by chance is turned away when the words themselves are looked at. A Bloom filter of the hits
+    keeps all other tokens from the shuffle.
+    """
+    salt = F.lit(secrets.randbits(62))
+    tokens = texts.select(F.explode(F.split("text", " ")).alias("token")).where("token <> ''").distinct()
+    hits = settle(_hits(tokens, filed, lengths, grams).select(F.xxhash64(salt, "token").alias("t"), F.xxhash64(salt, "word").alias("w")))
+    count = hits.count()
+    bits = filters.bits_for(count)
+    used = (
+        texts.select("key", F.split("text", " ").alias("tokens"))
+        .selectExpr("key", "tokens", "posexplode(tokens) as (at, token)")
+        .withColumn("t", F.xxhash64(salt, "token"))
+        .where(filters.may_hold(filters.build(hits, "t", bits), F.col("t"), bits))
+        .selectExpr("key", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following", "t")
+        .withColumn("spread", F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int"))
+    )
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("spread")
+    found = used.join(hits.select("t", "w", dealt), ["t", "spread"]) if count > _FEW_HITS else used.join(F.broadcast(hits), "t")
+    return (
+        found.join(filed.select("word", "part", "before", "after", F.xxhash64(salt, "word").alias("w"), dealt), ["w", "spread"])
+        .where(F.contains("token", F.col("part")))
+        .where("before is null or (startswith(token, part) and endswith(previous, before))")
+        .where("after is null or (endswith(token, part) and startswith(following, after))")
+        .select("key", "word")
     )

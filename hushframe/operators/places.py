@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from hushframe.fixed_values import LOW_POPULATION
 
+# The unknown places of a list meet its first large place in so many parts.
+_PARTS = 32
+
 
 def known_places(gazetteer: DataFrame, country_iso: str | None = None) -> DataFrame:
     """One row per name with its largest population; zero counts as unknown.
@@ -94,8 +97,10 @@ def first_low_population_place(
     low = existing.where(population < threshold)
     unknown = existing.where(population.isNull())
     if list_by:
-        # One row of `start` per list; the unknown places of a hot list are split by AQE.
-        later = unknown.join(start, list(list_by)).where(position > F.col("start"))
+        # A list meets its start in parts, so that a list of very many places isn't one task's work.
+        dealt = start.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+        own = F.pmod(F.xxhash64("place"), F.lit(_PARTS)).cast("int")
+        later = unknown.withColumn("part", own).join(dealt, [*list_by, "part"]).where(position > F.col("start"))
     else:
         later = unknown.where(position > start.scalar())
     columns = [*list_by, "place", order]

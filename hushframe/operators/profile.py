@@ -40,6 +40,8 @@ def sparsity_profile(
     tables: dict[str, DataFrame],
     columns: dict[str, list[str]] | None = None,
     mode: str = "exact",
+    thresholds: tuple[float, ...] = (SPARSE_STRING_RATIO, SPARSE_ENTRY_RATIO),
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Count of clean values, of distinct clean values, and their ratio, per column.
 
@@ -47,7 +49,9 @@ def sparsity_profile(
     and counts them in one grouping, whose map side folds repeated values before the shuffle.
 
     Approximate mode estimates all columns of all tables in one job without a shuffle of values and
-    counts exactly only the columns whose estimate lies near one of the two thresholds.
+    counts exactly only the columns whose estimate lies near one of the `thresholds` that the profile is for.
+    With stored `sketches` (`operators.sketches.merged`) there is no such job: estimates are read, and only the columns
+    near a threshold are scanned. Columns without a stored estimate are estimated by a scan.
     """
     session = next(iter(tables.values())).sparkSession
     fields = [
@@ -58,7 +62,7 @@ def sparsity_profile(
     if mode == "exact":
         counted = _exact(tables, fields)
     elif mode == "approx":
-        counted = _approximate(tables, fields)
+        counted = _approximate(tables, fields, thresholds, sketches)
     else:
         raise ValueError(f"mode must be 'exact' or 'approx', not {mode!r}")
     listed = rows_frame(
@@ -117,11 +121,17 @@ def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
 _ERROR, _BAND = 0.02, 0.1
 
 
-def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]]) -> DataFrame | None:
+def _approximate(
+    tables: dict[str, DataFrame], fields: list[tuple[str, T.StructField]], thresholds: tuple[float, ...], sketches: DataFrame | None
+) -> DataFrame | None:
     """One pass over each table, all tables in one job, and exact counts of what lies near a threshold."""
+    if not fields:
+        return None
+    known = {} if sketches is None else {(r.table_name, r.column_name): (r.n_values, r.n_distinct) for r in sketches.collect()}
+    estimates = [(i, *known[t, f.name]) for i, (t, f) in enumerate(fields) if (t, f.name) in known]
     branches = []
     for table, df in tables.items():
-        own = [(i, f) for i, (t, f) in enumerate(fields) if t == table]
+        own = [(i, f) for i, (t, f) in enumerate(fields) if t == table and (t, f.name) not in known]
         if not own:
             continue
         counted, cells = [], []
@@ -133,12 +143,11 @@ def _approximate(tables: dict[str, DataFrame], fields: list[tuple[str, T.StructF
             ]
             cells.append(f"struct({i} as id, n_{i} as n, d_{i} as d)")
         branches.append(df.agg(*counted).selectExpr(f"inline(array({', '.join(cells)}))"))
-    if not branches:
-        return None
-    limits = (SPARSE_STRING_RATIO, SPARSE_ENTRY_RATIO)
+    if branches:
+        estimates += [tuple(r) for r in reduce(DataFrame.unionAll, branches).collect()]
     rows, near = [], []
-    for i, n, d in reduce(DataFrame.unionAll, branches).collect():
-        if n and any(abs(d / n - limit) <= _BAND * limit for limit in limits):
+    for i, n, d in estimates:
+        if n and any(abs(d / n - limit) <= _BAND * limit for limit in thresholds):
             near.append((i, *fields[i]))
         else:
             rows.append((i, n, min(n, d)))
@@ -187,10 +196,16 @@ def distinct_values(df: DataFrame, column: str, order_by: tuple[str, ...]) -> Da
 
     Columns: `value` (text) and `first_seen` (struct of the order columns).
     """
-    first = F.struct(*[quoted(c) for c in order_by])
-    return (
-        clean_values(df, column)
-        .select(quoted(column).cast("string").alias("value"), first.alias("seen"))
-        .groupBy("value")
-        .agg(F.min("seen").alias("first_seen"))
+    return distinct_values_of(df, [column], order_by).drop("column_name")
+
+
+def distinct_values_of(df: DataFrame, columns: list[str], order_by: tuple[str, ...]) -> DataFrame:
+    """The same for several columns in one scan: column_name, value, first_seen."""
+    cells = ", ".join(
+        f"case when {clean_sql(df.schema[c])} then struct({text_sql(c)} as column_name, cast({name_sql(c)} as string) as value) end"
+        for c in columns
     )
+    first = f"struct({', '.join(name_sql(c) for c in order_by)})"
+    # An unclean cell is a null struct, which inline turns into a row of nulls.
+    values = df.selectExpr(f"{first} as seen", f"inline(array({cells}))").where("column_name is not null")
+    return values.groupBy("column_name", "value").agg(F.min("seen").alias("first_seen"))

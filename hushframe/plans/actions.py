@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
+from hushframe.functions.hashing import KeyFile
 from hushframe.operators.encode import encode
 from hushframe.operators.mask import mask_found_words, mask_words
 
@@ -66,7 +67,7 @@ def deidentify(
     text_columns: list[str] | None = None,
     words: list[str] | DataFrame | None = None,
     mask: str = MASK,
-    secret_key: str | None = None,
+    secret_key: str | KeyFile | None = None,
 ) -> DataFrame:
     """Apply the actions, and mask `words` in those text columns that are kept as they are.
 

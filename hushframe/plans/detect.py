@@ -212,17 +212,11 @@ def by_location(
             continue
         if not s.order_by:
             raise ValueError(f"table {s.name!r} needs order_by for the location search")
-        lists = [
-            profile.distinct_values(s.data, c, s.order_by).select(
-                F.lit(s.name).alias("table_name"),
-                F.lit(c).alias("column_name"),
-                F.col("value").alias("place"),
-                "first_seen",
-            )
-            for c in searched
-        ]
+        lists = profile.distinct_values_of(s.data, searched, s.order_by).select(
+            F.lit(s.name).alias("table_name"), "column_name", F.col("value").alias("place"), "first_seen"
+        )
         looked_up = places.place_lookup(
-            reduce(DataFrame.unionAll, lists), gazetteer, fixed.COUNTRY_ISO.get(s.country or country), second_source
+            lists, gazetteer, fixed.COUNTRY_ISO.get(s.country or country), second_source
         )
         found.append(
             places.first_low_population_place(
@@ -296,10 +290,14 @@ def by_sparsity(
     columns: Open | None = None,
     threshold: float = fixed.SPARSE_ENTRY_RATIO,
     mode: str = "exact",
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
-    """Columns of any type whose entries are nearly all different."""
+    """Columns of any type whose entries are nearly all different.
+
+    With stored sketches (`operators.sketches.merged`), mode "approx" scans only the columns near the threshold.
+    """
     columns = all_columns(surveys) if columns is None else columns
-    seen = profile.sparsity_profile({s.name: s.data for s in surveys}, columns, mode)
+    seen = profile.sparsity_profile({s.name: s.data for s in surveys}, columns, mode, (threshold,), sketches)
     return profile.sparse(seen, threshold).select(
         _finding("sparsity", F.lit(fixed.REASON_SPARSE))
     )

@@ -62,6 +62,21 @@ def is_small(df: DataFrame, texts: list[str]) -> bool:
     return measured["n"] <= _BROADCAST_ROWS and measured["b"] <= _BROADCAST_BYTES
 
 
+def small_groups(df: DataFrame, by: str, texts: list[str]) -> set[str]:
+    """The groups of a stored or settled frame that may be broadcast together, the smallest first, by measured size.
+
+    One job measures all groups; `by` names few of them, such as the columns of a table.
+    """
+    size = " + ".join(f"coalesce(octet_length({t}), 0)" for t in texts)
+    measured = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.expr(f"coalesce(sum(cast({size} as bigint)), 0) as b"))
+    small, rows, held = set(), 0, 0
+    for group, n, b in sorted(measured.collect(), key=lambda r: (r["b"], r["n"])):
+        rows, held = rows + n, held + b
+        if rows <= _BROADCAST_ROWS and held <= _BROADCAST_BYTES:
+            small.add(group)
+    return small
+
+
 def broadcast_if_small(df: DataFrame, texts: list[str]) -> DataFrame:
     """Mark a stored or settled frame for broadcasting if its measured size allows it.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import re
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.plans.actions import plan_report
@@ -79,6 +81,15 @@ def export_encoding_map(mapping: DataFrame, path: str, output_path: str) -> None
     )
 
 
+def write_sketches(rows: DataFrame, path: str) -> DataFrame:
+    """Store the column sketches of some parts (`operators.sketches`); returns all parts stored so far.
+
+    Parts that are written again replace their rows, so a retried job adds nothing twice.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _named(lines: DataFrame, column: str) -> Column:
     """The line, after the name of its table where there is one."""
     line = F.col(column)
@@ -90,10 +101,35 @@ def write_plan_report(plan: DataFrame, path: str) -> None:
     lines.select(_named(lines, "line")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def append_log(findings: DataFrame, path: str, applied: list[str] | None = None) -> None:
-    """Add one line per decision to the log, and the lines of the apply step (`actions.apply_messages`)."""
+def append_log(findings: DataFrame, path: str, applied: list[str] | None = None, run_id: str | None = None) -> None:
+    """Add one line per decision to the log, and the lines of the apply step (`actions.apply_messages`).
+
+    Each run has a folder `run=<id>` of its own in the log. A job that was retried gives the same `run_id`: lines that the
+    run has logged before are not added again. A line that a run has several times is there as often. Without a run
+    id the lines make a run of their own.
+    """
     lines = log_messages(findings)
     said = lines.select(_named(lines, "message"))
+    spark = findings.sparkSession
     if applied:
-        said = said.unionByName(rows_frame(findings.sparkSession, [(x,) for x in applied], "line string"))
-    said.write.mode("append").text(path)
+        said = said.unionByName(rows_frame(spark, [(x,) for x in applied], "line string"))
+    run = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"a run id has letters, digits, '.', '_' and '-' only: {run!r}")
+    folder = f"{path.rstrip('/')}/run={run}"
+    if run_id is not None and _exists(spark, folder):
+        known = spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("known"))
+        fresh = said.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(known, "line", "left")
+        missing = "explode(sequence(1, cast(greatest(n - coalesce(known, 0), 0) as int)))"
+        said = fresh.where("n > coalesce(known, 0)").selectExpr("line", missing).select("line")
+    said.write.mode("append").text(folder)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log with their run: run, line."""
+    return spark.read.schema("value string, run string").text(path).selectExpr("run", "value as line")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from hushframe.fixed_values import NA_SPELLINGS
 from hushframe.functions.values import is_text, quoted
+from hushframe.sources import quoted_csv
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc"}
 
@@ -38,11 +39,13 @@ def read_table(
     file_format: str | None = None,
     multi_line: bool = True,
     stored: str | None = None,
+    split: bool = False,
 ) -> DataFrame:
     """Read a table by its file ending (or by `file_format` for folders without one).
 
-    A CSV file whose quotes hold line breaks cannot be split; `multi_line=False` is for files without
-    them. `stored` names a folder of the caller's, a protected one, for a CSV file that is read often:
+    Spark's reader takes a CSV file whose quotes hold line breaks in one task. `split=True` reads large files
+    in many tasks by the parity of their quotes (`quoted_csv`); `multi_line=False` is for files without
+    line breaks in quotes. `stored` names a folder of the caller's, a protected one, for a CSV file that is read often:
     it is parsed once, written there as Parquet, and read from there.
     """
     ending = file_format or path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -50,7 +53,7 @@ def read_table(
         raise ValueError(f"unsupported file type {ending!r}; supported: {', '.join(sorted(FORMATS))}")
     if ending != "csv":
         return spark.read.format(FORMATS[ending]).load(path)
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+    raw = quoted_csv.read(spark, path) if split else spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     if stored is not None:
         raw.write.mode("overwrite").parquet(stored)
         raw = spark.read.schema(raw.schema).parquet(stored)
@@ -126,14 +129,19 @@ def read_survey(
     order_by: tuple[str, ...] = (),
     country: str | None = None,
     stored: str | None = None,
+    split: bool = False,
+    file_format: str | None = None,
 ) -> Survey:
-    """Load a table and, where given, its labels and value labels; `stored` as in `read_table`."""
+    """Load a table and, where given, its labels and value labels; `stored` and `split` as in `read_table`.
+
+    `file_format` is for folders without an ending, and holds for the labels too.
+    """
     name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return Survey(
         name=name,
-        data=read_table(spark, path, stored=stored),
-        labels=read_labels(spark, labels_path) if labels_path else None,
-        value_labels=read_value_labels(spark, value_labels_path) if value_labels_path else None,
+        data=read_table(spark, path, file_format, stored=stored, split=split),
+        labels=read_labels(spark, labels_path, file_format) if labels_path else None,
+        value_labels=read_value_labels(spark, value_labels_path, file_format) if value_labels_path else None,
         order_by=order_by,
         country=country,
     )

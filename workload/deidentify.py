@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from hushframe.functions.hashing import key_pads, keyed_sha1, plain_sha1
+from hushframe import sinks
+from hushframe.functions.hashing import key_pads, keyed_sha1, plain_sha1, write_key
 from hushframe.operators import encode, freetext, profile
 from hushframe.plans import actions, detect
-from hushframe.session import rows_frame, settle
+from hushframe.session import rows_frame, settle, shared_folder
 from hushframe.sources import tables
 from hushframe.sources.tables import Survey
 from workload.shared import (
@@ -34,6 +37,15 @@ def keyed_hash(spark, sf_dir):
     )
 
 
+def keyed_hash_by_file(spark, sf_dir):
+    """The keys are in protected files; plans and event logs don't hold them."""
+    folder = f"{shared_folder(spark).rstrip('/')}/keys-{uuid.uuid4().hex[:12]}"
+    key, long_key = (write_key(spark, k, f"{folder}/{i}") for i, k in enumerate((SECRET_KEY, LONG_KEY)))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", keyed_sha1(F.col("c_name"), key).alias("hash"), keyed_sha1(F.col("c_name"), long_key).alias("hash_long_key")
+    )
+
+
 def sha1_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", plain_sha1(F.col("text")).alias("hash"))
 
@@ -43,6 +55,9 @@ def _hmac_sql(value: str, key: str = SECRET_KEY) -> str:
     return f"sha1(unhex('{outer}') || unhex(sha1(unhex('{inner}') || encode({value}))))"
 
 
+_KEYED_SQL = f"SELECT c_custkey, {_hmac_sql('c_name')} AS hash, {_hmac_sql('c_name', LONG_KEY)} AS hash_long_key FROM customer"
+
+
 def _encoded(spark, sf_dir, name, columns):
     data = table(spark, sf_dir, name)
     return encode.encode(data, columns, settle(encode.code_map(data, columns, SECRET_KEY)), secret_key=SECRET_KEY)
@@ -58,6 +73,16 @@ def encode_numeric(spark, sf_dir):
     return encoded.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+MANY = ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def encode_many_columns(spark, sf_dir):
+    """Four columns whose maps are not broadcast: they are looked up together, with one shuffle of the table."""
+    data = table(spark, sf_dir, "orders").select("o_orderkey", *MANY)
+    mapping = settle(encode.code_map(data, MANY, SECRET_KEY))
+    return encode.encode(data, MANY, mapping, secret_key=SECRET_KEY, broadcast=False)
+
+
 def encode_display_format(spark, sf_dir):
     """Amounts are encoded as displayed, with two decimals."""
     data, shown = table(spark, sf_dir, "part"), {"p_retailprice": "%.2f"}
@@ -180,6 +205,26 @@ def apply_plan_with_found_words(spark, sf_dir):
     )
 
 
+def write_deidentified(spark, sf_dir):
+    """Customers without balance and with coded names, written as CSV with their labels, and read back."""
+    listed = rows_frame(spark, LABELS_KEPT, "column_name string, label string")
+    data = tables.attach_labels(table(spark, sf_dir, "customer"), listed)
+    mapping = settle(encode.code_map(data, ["c_name"], SECRET_KEY))
+    chosen = {"c_name": "Encode", "c_acctbal": "Drop", "c_mktsegment": "Keep"}
+    result = actions.deidentify(data, chosen, mapping, secret_key=SECRET_KEY)
+    folder = f"{shared_folder(spark).rstrip('/')}/out-{uuid.uuid4().hex[:12]}"
+    path = sinks.write_deidentified(result, "/in/customer.csv", folder)
+    kept = tables.read_labels(spark, f"{path}_labels", "csv").withColumnRenamed("column_name", "labelled")
+    return tables.read_table(spark, path).join(kept, F.lit("c_mktsegment") == F.col("labelled"), "left").drop("labelled")
+
+
+_MANY_CAST = {c: f"CAST({c} AS VARCHAR)" for c in MANY}
+_MANY_SQL = (
+    "WITH " + ", ".join(f"m{i} AS ({_map_sql('orders', c)})" for i, c in enumerate(MANY))
+    + " SELECT o_orderkey, " + ", ".join(f"m{i}.encoded_value AS {c}" for i, c in enumerate(MANY)) + " FROM orders "
+    + " ".join(f"LEFT JOIN m{i} ON m{i}.original_value = {_MANY_CAST[c]}" for i, c in enumerate(MANY))
+)
+
 # The oracle fixes which columns the plan drops; `cascade` has its own oracle.
 _APPLY_SQL = f"""
 WITH {findings_ctes(("customer",))}, m AS ({_map_sql("customer", "c_name")})
@@ -188,11 +233,8 @@ FROM customer c LEFT JOIN m ON m.original_value = c.c_name
 WHERE (SELECT string_agg(column_name, ' ' ORDER BY column_name) FROM findings) = 'c_acctbal c_custkey c_name'"""
 
 ENTRIES = {
-    "keyed_hash": (
-        keyed_hash,
-        f"SELECT c_custkey, {_hmac_sql('c_name')} AS hash, {_hmac_sql('c_name', LONG_KEY)} AS hash_long_key"
-        " FROM customer",
-    ),
+    "keyed_hash": (keyed_hash, _KEYED_SQL),
+    "keyed_hash_by_file": (keyed_hash_by_file, _KEYED_SQL),
     "plain_sha1": (sha1_hash, "SELECT doc_id, sha1(text) AS hash FROM documents"),
     "encode_ordinal": (
         encode_ordinal,
@@ -207,6 +249,7 @@ SELECT o_orderkey, a.encoded_value AS o_custkey, b.encoded_value AS o_totalprice
 LEFT JOIN a ON a.original_value = CAST(o.o_custkey AS VARCHAR)
 LEFT JOIN b ON b.original_value = CAST(o.o_totalprice AS VARCHAR)""",
     ),
+    "encode_many_columns": (encode_many_columns, _MANY_SQL),
     "encode_display_format": (
         encode_display_format,
         f"""WITH s AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS shown FROM part),
@@ -241,6 +284,12 @@ SELECT c_custkey, m.encoded_value AS c_nationkey FROM d LEFT JOIN m ON m.origina
     ),
     "apply_drop": (apply_drop, "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
     "apply_plan": (apply_plan, _APPLY_SQL),
+    "write_deidentified": (
+        write_deidentified,
+        f"""WITH m AS ({_map_sql("customer", "c_name")})
+SELECT c_custkey, m.encoded_value AS c_name, c_nationkey, c_mktsegment, 'Segment' AS label
+FROM customer LEFT JOIN m ON m.original_value = c_name""",
+    ),
     "apply_plan_labels": (
         apply_plan_labels,
         f"""SELECT l.column_name, l.label, n.n_values FROM {values_sql(LABELS_KEPT, "column_name, label")} l

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hushframe import fixed_values as fixed
-from hushframe.operators import catalog, evaluate, formats, profile
+from hushframe import sinks
+from hushframe.operators import catalog, evaluate, formats, profile, sketches
 from hushframe.plans import actions, detect
-from hushframe.session import rows_frame
+from hushframe.session import rows_frame, shared_folder
 from hushframe.sources import words
 from hushframe.sources.tables import Survey
 from workload.shared import (
@@ -145,6 +148,16 @@ def detect_by_sparsity_approximate(spark, sf_dir):
     return detect.by_sparsity(surveys(spark, sf_dir, PROFILED), mode="approx")
 
 
+def detect_by_sparsity_merged(spark, sf_dir):
+    """Each table arrives in two parts that are sketched and stored on their own; one part is written twice."""
+    found = surveys(spark, sf_dir, PROFILED)
+    folder = f"{shared_folder(spark).rstrip('/')}/sketches-{uuid.uuid4().hex[:12]}"
+    for part in (0, 1, 0):
+        halves = {s.name: s.data.where(F.pmod(F.xxhash64(*s.order_by), F.lit(2)) == part) for s in found}
+        stored = sinks.write_sketches(sketches.column_sketches(halves, part=str(part)), folder)
+    return detect.by_sparsity(found, mode="approx", sketches=sketches.merged(stored))
+
+
 def distinct_values(spark, sf_dir):
     """Distinct answers of a column with the key of the first row that holds them."""
     found = profile.distinct_values(table(spark, sf_dir, "events"), "props", ("event_id",))
@@ -263,6 +276,15 @@ def findings_log(spark, sf_dir):
     return detect.log_messages(detect.cascade(surveys(spark, sf_dir, SMALL)))
 
 
+def findings_log_retried(spark, sf_dir):
+    """The log of two runs, the first of which was retried after it had logged a part and then all of its lines."""
+    findings = detect.cascade(surveys(spark, sf_dir, SMALL))
+    log = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex[:12]}"
+    for run, lines in (("a", findings.where("table_name = 'pages'")), ("a", findings), ("a", findings), ("b", findings)):
+        sinks.append_log(lines, log, ["customer: Dropped columns: c_name"], run_id=run)
+    return sinks.read_log(spark, log)
+
+
 OVERRIDES = [
     ("customer", "c_name", "Encode"),
     ("customer", "c_acctbal", "Keep"),
@@ -336,6 +358,10 @@ ENTRIES = {
         detect_by_sparsity,
         f"WITH {findings_ctes(ALL)} SELECT * FROM by_sparsity",
     ),
+    "detect_by_sparsity_merged": (
+        detect_by_sparsity_merged,
+        f"WITH {findings_ctes(PROFILED)} SELECT * FROM by_sparsity",
+    ),
     "detect_by_sparsity_approximate": (
         detect_by_sparsity_approximate,
         f"WITH {findings_ctes(PROFILED)} SELECT * FROM by_sparsity",
@@ -381,6 +407,13 @@ FROM findings f LEFT JOIN {values_sql(LABELS, "table_name, column_name, label")}
         findings_log,
         f"""WITH {_SMALL} SELECT table_name, column_name,
   'Column ''' || column_name || ''' considered possible pii: ' || reason AS message FROM findings""",
+    ),
+    "findings_log_retried": (
+        findings_log_retried,
+        f"""WITH {_SMALL}, lines AS (
+  SELECT table_name || ': Column ''' || column_name || ''' considered possible pii: ' || reason AS line FROM findings
+  UNION ALL SELECT 'customer: Dropped columns: c_name')
+SELECT run, line FROM lines, (VALUES ('a'), ('b')) r(run)""",
     ),
     "action_plan": (action_plan, f"WITH {_SMALL}, {_PLAN_SQL} SELECT * FROM plan"),
     "plan_report": (

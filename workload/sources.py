@@ -14,10 +14,12 @@ from workload.shared import (
     LABELS,
     clean_sql,
     in_list,
+    VALUE_LABELS_SQL,
     labels,
     profile_sql,
     quote,
     table,
+    value_labels,
     values_sql,
     words_sql,
 )
@@ -60,6 +62,41 @@ _TYPED_SQL = " UNION ALL ".join(
 )
 
 
+def _written(df, name):
+    """The table as CSV files in a folder of their own."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}.csv"
+    df.write.option("header", True).option("escape", '"').csv(folder)
+    return folder
+
+
+def read_quoted_csv(spark, sf_dir):
+    """Documents, whose texts hold line breaks and quotes, written as CSV and read by the parity of quotes."""
+    data = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit('\n"'), "lang", F.lit('"')))
+    return tables.read_table(spark, _written(data, "documents"), split=True)
+
+
+def read_bundle(spark, sf_dir):
+    """A survey read from three CSV files: per column its values, its label and its number of value labels."""
+    survey = tables.read_survey(
+        spark,
+        _written(table(spark, sf_dir, "customer"), "customer"),
+        _written(labels(spark, "customer"), "labels"),
+        _written(value_labels(spark, sf_dir), "value-labels"),
+        ("c_custkey",),
+        split=True,
+    )
+    counts = survey.value_labels.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_value_labels"))
+    per_column = profile.value_counts({"customer": survey.data}).drop("table_name")
+    return per_column.join(survey.labels, "column_name", "left").join(counts, "column_name", "left")
+
+
+_CUSTOMER_LABELS = values_sql([(c, label) for t, c, label in LABELS if t == "customer"], "column_name, label")
+READ_BUNDLE_SQL = f"""
+SELECT p.column_name, p.n_values, nullif(l.label, '') AS label, v.n AS n_value_labels FROM ({profile_sql(("customer",))}) p
+LEFT JOIN {_CUSTOMER_LABELS} l USING (column_name)
+LEFT JOIN (SELECT column_name, count(*) AS n FROM ({VALUE_LABELS_SQL}) GROUP BY column_name) v USING (column_name)"""
+
+
 def clean_values(spark, sf_dir):
     return profile.clean_values(answers(spark, sf_dir), "answer")
 
@@ -186,6 +223,11 @@ ENTRIES = {
         f"SELECT id, CASE WHEN answer IN {in_list(fixed.NA_SPELLINGS)} THEN NULL ELSE answer END AS answer"
         f" FROM {ANSWERS_SQL}",
     ),
+    "read_quoted_csv": (
+        read_quoted_csv,
+        "SELECT doc_id, text || chr(10) || '\"' || lang || '\"' AS text, lang, source, n_chars FROM documents",
+    ),
+    "read_bundle": (read_bundle, READ_BUNDLE_SQL),
     "clean_values": (
         clean_values,
         f"SELECT id, answer FROM {ANSWERS_SQL} WHERE {clean_sql('answer', 'text')}",

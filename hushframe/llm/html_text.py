@@ -54,6 +54,10 @@ _OTHER = {
     "comments": ["comments", "comment", "comment list", "replies", "discussion", "responses", "disqus", "reader comments"],
     "share": ["share", "social", "sharing", "meta", "byline", "pagination", "pager", "tools"],
 }
+#: What may stand inside an article without being its text, as made-up pages have it, and as sampled pages name it.
+_INSIDE = ["aside", "advert", "form", "comments", "share"]
+_APART_TAGS = frozenset("aside nav footer form".split())
+_APART_NAMES = frozenset(f".{w}" for w in "comment comments replies disqus ad ads advert advertisement sponsor sponsored share social sharing newsletter subscribe related sidebar recommended".split())
 _OWN_TAG = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}
 _PHRASES = {
     "nav": ["Home", "About", "Contact", "News", "Archive", "Login", "Help", "Blog", "Products", "Start"],
@@ -164,33 +168,64 @@ def made_up_page(rng: random.Random, texts: list[str]) -> tuple[str, int, int]:
     return head + article + "".join(after) + rng.choice(["", "</body></html>"]), len(head), len(head) + len(article)
 
 
-def training_sequences(pages: list[str], made_up: int, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the sampled pages, and of made-up pages with their text."""
+_END_OF_PART = re.compile(r"</(?:p|ul|h2|blockquote)>")
+
+
+def mixed_page(rng: random.Random, texts: list[str]) -> tuple[str, np.ndarray]:
+    """A made-up page with parts inside its article that are not the article's text, and the labels of its blocks."""
+    page, start, end = made_up_page(rng, texts)
+    places = [m.end() for m in _END_OF_PART.finditer(page, start, end)]
+    cuts = [start]
+    for place in sorted(rng.sample(places, min(len(places), rng.choice([1, 1, 2]))), reverse=True):
+        part = _other_part(rng, rng.choice(_INSIDE), texts)
+        page, end = page[:place] + part + page[place:], end + len(part)
+        cuts = [cuts[0], place, place + len(part), *(c + len(part) for c in cuts[1:])]
+    before = [len(blocks(page[:c])) for c in [*cuts, end]]
+    labels = np.zeros(len(blocks(page)), np.float32)
+    for a, b in zip(before[::2], before[1::2]):
+        labels[a:b] = 1
+    return page, labels
+
+
+def in_article(block: Block) -> bool:
+    """Whether a block stands in an article element, and in no part of it that holds something else."""
+    container = next((i for i, e in enumerate(block.path) if e[0] in ("article", "main")), None)
+    if container is None:
+        return False
+    return not any(e[0] in _APART_TAGS or _APART_NAMES.intersection(e[1:]) for e in block.path[container + 1 :])
+
+
+def training_sequences(pages: list[str], made_up: int, seed: int = 0, most: int = 400) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the sampled pages, and of made-up pages with their text; those of over `most` blocks are left out."""
     rng, parsed = random.Random(seed), [blocks(p) for p in pages]
     texts = [b.text for p in parsed for b in p if len(b.text.split()) > 4] or [" ".join(x) for x in _PHRASES.values()]
     found = []
     for page in parsed:
-        inside = [any(e[0] in ("article", "main") for e in b.path) for b in page]
+        inside = [in_article(b) for b in page]
         if any(inside):
             found.append((features(page), np.array(inside, np.float32)))
-    for _ in range(made_up):
+    for i in range(made_up):
+        if i % 4 == 3:
+            page, labels = mixed_page(rng, texts)
+            found.append((features(blocks(page)), labels))
+            continue
         page, start, end = made_up_page(rng, texts)
         first, middle = blocks(page[:start]), blocks(page[:end])
         whole = blocks(page)
         labels = np.zeros(len(whole))
         labels[len(first) : len(middle)] = 1
         found.append((features(whole), labels))
-    return [(x, y) for x, y in found if 0 < len(x) <= 400]
+    return [(x, y) for x, y in found if 0 < len(x) <= most]
 
 
-def train(pages: DataFrame, sample: int = 250, made_up: int = 700, epochs: int = 4, id_col: str = "page_id", html_col: str = "html") -> BiLSTM:
-    """Fit the labeller on about `sample` pages of at most 100 kB."""
+def train(pages: DataFrame, sample: int = 250, made_up: int = 700, epochs: int = 4, id_col: str = "page_id", html_col: str = "html", most: int = 400) -> BiLSTM:
+    """Fit the labeller on about `sample` pages of at most 100 kB and `most` blocks; pages of any size are labelled."""
     rows = narrow(pages, id=id_col, html=html_col).where("octet_length(html) between 1 and 100000")
     total = rows.count()
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(sample / max(1, total)) * (1 << 20)
     chosen = [r["html"] for r in rows.where(drawn).sort("id", "html").collect()]
     model = BiLSTM(_WIDTH, _HIDDEN)
-    fit(model, training_sequences(chosen, made_up), epochs)
+    fit(model, training_sequences(chosen, made_up, most=most), epochs)
     return model
 
 

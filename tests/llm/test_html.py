@@ -108,6 +108,24 @@ def test_held_out_layouts(spark):
     assert right / total > 0.97
 
 
+def test_parts_inside_the_article_are_left_out(spark):
+    pages = [r["html"] for r in spark.read.parquet(PATH).collect()]
+    model = BiLSTM(html_text._WIDTH, html_text._HIDDEN)
+    fit(model, html_text.training_sequences(pages[:120], 700), 4)
+    rng, other = random.Random(78), [b.text for p in pages[150:] for b in blocks(p) if len(b.text.split()) > 4]
+    made = [html_text.mixed_page(rng, other) for _ in range(300)]
+    found = html_text.label([blocks(p) for p, _ in made], model)
+    wanted, got = np.concatenate([y for _, y in made]) > 0.5, np.concatenate(found) >= 0.5
+    assert np.mean(wanted == got) > 0.95
+
+
+def test_labels_of_sampled_pages():
+    page = "<main><h1>t</h1><p>a</p><div class='reader-comments'><p>no</p></div><form><p>no</p></form><aside>no</aside><section class=intro>b</section></main><p>no"
+    assert [b.text for b in blocks(page) if html_text.in_article(b)] == ["t", "a", "b"]
+    page, labels = html_text.mixed_page(random.Random(5), ["one two three four five six seven"])
+    assert len(labels) == len(blocks(page)) and 0 < labels.sum() < len(labels)
+
+
 def test_training_without_pages(spark):
     model = html_text.train(spark.createDataFrame([], "page_id long, url string, html string"), made_up=60, epochs=1)
     assert model.weights["out"].shape == (2 * html_text._HIDDEN,)

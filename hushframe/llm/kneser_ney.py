@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ _HEAD = "\x05"
 _MARKS = str.maketrans(dict.fromkeys(_BEGIN_SENTENCE + _BEGIN + _END + _BEGIN_TEXT, "\ufffd"))
 _SENTENCE_ENDS = frozenset(".!?:")
 _LONGEST = 64
-_COUNTED_AT_ONCE = 200_000
+_COUNTED_AT_ONCE = 400_000
 
 
 def marked_words(text: str) -> list[str]:
@@ -340,12 +341,12 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
     return total
 
 
-class _Numbers(dict):
-    """Text to its number; a new one gets the next."""
-
-    def __missing__(self, text: str) -> int:
-        self[text] = number = len(self)
-        return number
+def _numbered(numbers: dict[str, int], texts: list[str]) -> list[int]:
+    """The number of each text; a new one gets the next."""
+    for fresh in dict.fromkeys(texts):
+        if fresh not in numbers:
+            numbers[fresh] = len(numbers)
+    return itemgetter(*texts)(numbers) if len(texts) > 1 else [numbers[t] for t in texts]
 
 
 class _Language:
@@ -357,7 +358,9 @@ class _Language:
 
     def __init__(self, order: int):
         self.order, self.most = order, order - 2
-        self.words, self.tails, self.starts = _Numbers(), _Numbers(), _Numbers()
+        self.words: dict[str, int] = {}
+        self.starts: dict[str, int] = {}
+        self.tails: dict[str, int] = {_BEGIN_TEXT: 0}
         self.known = 0
         self.start, self.tail, self.size = (np.empty(0, np.int64) for _ in range(3))
         self.rest = np.empty(0)
@@ -365,17 +368,17 @@ class _Language:
 
     def number(self, words: list[str], log) -> np.ndarray:
         """The numbers of words; new ones are looked at once. log: log probabilities of parts from given places on."""
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        at = np.array(_numbered(self.words, words), np.int64)
         fresh = list(islice(self.words, self.known, None))
         if fresh:
-            most = self.most
-            start = [self.starts[w[: most + 1] if len(w) > most else w + _END] for w in fresh]
-            tail = [self.tails[w[-most:]] if len(w) >= most else -1 for w in fresh]
-            rest = np.zeros(len(fresh))
-            long = [i for i, w in enumerate(fresh) if len(w) > most]
-            rest[long] = log([fresh[i] + _END for i in long], np.full(len(long), most + 1, np.int64))
+            most, size = self.most, np.fromiter(map(len, fresh), np.int64, len(fresh))
+            start = _numbered(self.starts, [w[: most + 1] if len(w) > most else w + _END for w in fresh])
+            tail = np.array(_numbered(self.tails, [w[-most:] if len(w) >= most else _BEGIN_TEXT for w in fresh]), np.int64)
+            tail[size < most] = -1
+            rest, long = np.zeros(len(fresh)), np.flatnonzero(size > most)
+            rest[long] = log([fresh[i] + _END for i in long.tolist()], np.full(len(long), most + 1, np.int64))
             self.start, self.tail = np.append(self.start, start), np.append(self.tail, tail)
-            self.size, self.rest = np.append(self.size, list(map(len, fresh))), np.append(self.rest, rest)
+            self.size, self.rest = np.append(self.size, size), np.append(self.rest, rest)
             self.known = len(self.words)
         return at
 
@@ -390,9 +393,10 @@ class _Language:
             names = list(self.tails)
             for i in short:
                 old = names[begin if first[i] else after[i - 1]]
-                after[i] = number = self.tails[(old + words[i])[-self.most :]]
+                new = (old + words[i])[-self.most :]
+                after[i] = number = self.tails.setdefault(new, len(names))
                 if number == len(names):
-                    names.append((old + words[i])[-self.most :])
+                    names.append(new)
         found = np.append(begin, after[:-1])
         found[firsts] = begin
         return found

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -83,6 +84,18 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """For work that makes very many objects and no reference cycles: the search for cycles would go through all of them."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def importable_in_tasks(spark: SparkSession) -> None:
     """Hand this package to the Python workers, if they can't find it where the driver does.
 

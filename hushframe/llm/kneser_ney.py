@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import by_position, held, narrow, position, scratch, settle, shared_files, slices
+from .common import by_position, held, narrow, no_cycles, position, scratch, settle, shared_files, slices
 
 ORDER = 5
 FENCE = 3.0
@@ -104,11 +104,12 @@ def word_counts(trusted: DataFrame, order: int = ORDER, across: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches, 1):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text_words(text) if across else marked_words(text)
-                seen[lang].update(words)
-                if across:
-                    seen[lang].update(_HEAD + h for h in heads(words, order))
+            with no_cycles():
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = text_words(text) if across else marked_words(text)
+                    seen[lang].update(words)
+                    if across:
+                        seen[lang].update(_HEAD + h for h in heads(words, order))
             if sum(map(len, seen.values())) > _COUNTED_AT_ONCE:
                 yield from _rows(seen)
                 seen.clear()
@@ -132,21 +133,27 @@ def raw_grams(words: DataFrame, order: int, across: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if across and word[0] == _HEAD:
-                    head = word[1:]
-                    for j in range(_mark(head) + 2, len(head) + 1):
-                        seen[lang, head[max(0, j - order) : j]] += n
-                    continue
-                whole = word + _END
-                if not across:
-                    for k in range(2, min(order, len(whole) + 1)):
-                        seen[lang, whole[:k]] += n
-                for i in range(len(whole) - order + 1):
-                    seen[lang, whole[i : i + order]] += n
-            langs, grams = zip(*seen) if seen else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "n"])
+            with no_cycles():
+                seen = count(batch)
+                langs, grams = zip(*seen) if seen else ((), ())
+                found = [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(list(seen.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["lang", "gram", "n"])
+
+    def count(batch: pa.RecordBatch) -> Counter:
+        seen: Counter = Counter()
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if across and word[0] == _HEAD:
+                head = word[1:]
+                for j in range(_mark(head) + 2, len(head) + 1):
+                    seen[lang, head[max(0, j - order) : j]] += n
+                continue
+            whole = word + _END
+            if not across:
+                for k in range(2, min(order, len(whole) + 1)):
+                    seen[lang, whole[:k]] += n
+            for i in range(len(whole) - order + 1):
+                seen[lang, whole[i : i + order]] += n
+        return seen
 
     grams = words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long")
     return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -422,6 +429,10 @@ class Scorer:
 
     def score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
         """The perplexity of each text, and how many characters were predicted."""
+        with no_cycles():
+            return self._score(langs, texts)
+
+    def _score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
         kept = self.languages.values()
         if sum(len(x.words) for x in kept) > self.most or sum(len(x.heads) for x in kept) > self.most:
             self.languages = {}

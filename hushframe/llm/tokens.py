@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import held
+from .common import held, no_cycles
 
 #: A word of Latin letters, with the space or line break before it, and the ASCII signs after it.
 #: Left out: the apostrophe, which belongs to words, and U+0130, whose lower case has a sign in it.
@@ -154,6 +154,10 @@ class Encoder:
         """The ids of all texts one after the other, an end id after each, and how many each has."""
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
+        with no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self._shrink()
         cut, sizes = [], []

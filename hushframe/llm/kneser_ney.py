@@ -57,7 +57,9 @@ _HEAD = "\x05"
 _MARKS = str.maketrans(dict.fromkeys(_BEGIN_SENTENCE + _BEGIN + _END + _BEGIN_TEXT, "\ufffd"))
 _SENTENCE_ENDS = frozenset(".!?:")
 _LONGEST = 64
-_COUNTED_AT_ONCE = 400_000
+_COUNTED_AT_ONCE = 300_000
+#: Bytes of text that are scored at once.
+_SCORED_AT_ONCE = 1_000_000
 
 
 def marked_words(text: str) -> list[str]:
@@ -275,15 +277,22 @@ class Block:
 
     def __init__(self, folder: str, number: int):
         files, base = shared_files(folder)
-        rows = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files).to_table(columns=["lang", "weight", "k", "hash", "value"])
-        langs = rows.column("lang").combine_chunks().dictionary_encode()
-        code = langs.indices.to_numpy()
-        weight, k, hashes, value = (rows.column(c).to_numpy() for c in ("weight", "k", "hash", "value"))
+        source = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files)
+        names: dict[str, int] = {}
+        parts = []
+        for batch in source.to_batches(columns=["lang", "weight", "k", "hash", "value"], batch_size=100_000):
+            lang = batch.column(0).dictionary_encode()
+            own = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int16)
+            kinds = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype(np.int8)
+            parts.append((own[lang.indices.to_numpy()], *kinds, batch.column(3).to_numpy().copy(), batch.column(4).to_numpy().copy()))
+        code, weight, k, hashes, value = (np.concatenate([x[i] for x in parts]) for i in range(5))
+        del parts
         self.languages: dict[str, tuple[Table, Table, float]] = {}
-        for i, lang in enumerate(langs.dictionary.to_pylist()):
+        for lang, i in names.items():
             own = (code == i) & (k >= 0)
             tables = [Table(k[at], hashes[at], value[at]) for at in (np.flatnonzero(own & (weight == kind)) for kind in (False, True))]
             self.languages[lang] = (*tables, float(value[(code == i) & (k < 0)][0]))
+        pa.default_memory_pool().release_unused()
 
 
 def _block_numbers(folder: str) -> tuple[int, ...]:
@@ -423,7 +432,7 @@ class _Language:
 class Scorer:
     """Scores texts; keeps what it knows of about `most` words and as many heads."""
 
-    def __init__(self, folder: str, order: int, most: int = 200_000):
+    def __init__(self, folder: str, order: int, most: int = 150_000):
         self.blocks, self.order, self.most = Blocks(folder), order, most
         self.languages: dict[str, _Language] = {}
 
@@ -468,7 +477,7 @@ def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = held(("scorer", folder, order), lambda: Scorer(folder, order)).score
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SCORED_AT_ONCE):
             found, chars = score(*(batch.column(i).cast(pa.string()).to_pylist() for i in (lang, text)))
             own = [pa.array(found, pa.float64()), pa.array(chars, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "perplexity", "chars"])

@@ -10,8 +10,8 @@ sharded by Spark: adjusted counts (raw for the highest order and for n-grams at
 else the number of distinct characters before them), three discounts per language and order, back-off
 weights, and interpolated probabilities. The model is stored in blocks by the two characters before the
 predicted one, so that all that a place in a text needs lies in one block. Tasks read one block at a
-time. They score each distinct head of a word with what stands before it once, and the rest of each distinct
-word once; nothing is shuffled per document.
+time. They look up each distinct n-gram of some texts at once, and remember the latest in a table of fixed size;
+nothing is shuffled per document.
 
 A document's perplexity is per character. Its language's quartiles give the limit: log perplexity over the
 upper quartile plus `fence` quartile distances is rejected. The distance counts more for texts shorter than
@@ -32,8 +32,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +57,7 @@ _SENTENCE_ENDS = frozenset(".!?:")
 _LONGEST = 64
 _COUNTED_AT_ONCE = 300_000
 #: Bytes of text that are scored at once.
-_SCORED_AT_ONCE = 1_000_000
+_SCORED_AT_ONCE = 300_000
 
 
 def marked_words(text: str) -> list[str]:
@@ -316,30 +314,32 @@ class Blocks:
 
 def word_scores(words: list[str], lang: str, blocks: Blocks, order: int) -> np.ndarray:
     """The log probability of each marked word, from contexts in it alone."""
-    return _scores([w + _END for w in words], np.ones(len(words), np.int64), lang, blocks, order)
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    points = _points("".join(w + _END for w in words))
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    at = np.flatnonzero(place > 0)
+    total = np.zeros(len(points))
+    total[at] = _at_places(points, at, place[at], np.zeros(len(at), np.int64), [lang], blocks, order)
+    return np.add.reduceat(total, starts) if len(starts) else np.empty(0)
 
 
-def _scores(texts: list[str], firsts: np.ndarray, lang: str, blocks: Blocks, order: int) -> np.ndarray:
-    """The log probability of each text's characters from its place `firsts` on."""
-    sizes = np.array(list(map(len, texts)), np.int64)
-    points = _points("".join(texts))
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    place = np.arange(len(points)) - np.repeat(starts, sizes)
-    at = np.flatnonzero(place >= np.repeat(firsts, sizes))
-    place = place[at]
+def _at_places(points: np.ndarray, at: np.ndarray, place: np.ndarray, lang: np.ndarray, langs: list[str], blocks: Blocks, order: int) -> np.ndarray:
+    """The log probability of the character at each of `at`; `place` characters before it count. lang: numbers in `langs`."""
     numbers = blocks.numbers
     two = points[at - 1] + np.where(place > 1, points[np.maximum(at - 2, 0)] * np.uint64(31), 0).astype(np.uint64)
     which = np.where(place > 1, two % np.uint64(max(1, len(numbers))), 0)
-    total = np.zeros(len(points))
+    total = np.zeros(len(at))
     for number in numbers:
-        mine = np.flatnonzero(which == number)
-        known = blocks.get(number).languages
-        if not known or not len(mine):
+        here = which == number
+        known = blocks.get(number).languages if here.any() else None
+        if not known:
             continue
-        probabilities, weights, unknown = known.get(lang) or known[""]
-        total[at[mine]] = _log_probabilities(points, at[mine], place[mine], probabilities, weights, unknown, order)
-    return np.add.reduceat(total, starts) if len(starts) else np.empty(0)
+        for i in np.unique(lang[here]).tolist():
+            mine = np.flatnonzero(here & (lang == i))
+            probabilities, weights, unknown = known.get(langs[i]) or known[""]
+            total[mine] = _log_probabilities(points, at[mine], place[mine], probabilities, weights, unknown, order)
+    return total
 
 
 def _log_probabilities(points, at, place, probabilities: Table, weights: Table, unknown: float, order: int) -> np.ndarray:
@@ -357,84 +357,45 @@ def _log_probabilities(points, at, place, probabilities: Table, weights: Table,
     return total
 
 
-def _numbered(numbers: dict[str, int], texts: list[str]) -> list[int]:
-    """The number of each text; a new one gets the next."""
-    for fresh in dict.fromkeys(texts):
-        if fresh not in numbers:
-            numbers[fresh] = len(numbers)
-    return itemgetter(*texts)(numbers) if len(texts) > 1 else [numbers[t] for t in texts]
-
-
-class _Language:
-    """What is known of the words of one language.
-
-    A word has a number. Its head is the end of the text before it, its mark and its first characters; a word's own end
-    and its start have numbers too, so a head is a pair of numbers.
-    """
-
-    def __init__(self, order: int):
-        self.order, self.most = order, order - 2
-        self.words: dict[str, int] = {}
-        self.starts: dict[str, int] = {}
-        self.tails: dict[str, int] = {_BEGIN_TEXT: 0}
-        self.known = 0
-        self.start, self.tail, self.size = (np.empty(0, np.int64) for _ in range(3))
-        self.rest = np.empty(0)
-        self.heads: dict[int, float] = {}
-
-    def number(self, words: list[str], log) -> np.ndarray:
-        """The numbers of words; new ones are looked at once. log: log probabilities of parts from given places on."""
-        at = np.array(_numbered(self.words, words), np.int64)
-        fresh = list(islice(self.words, self.known, None))
-        if fresh:
-            most, size = self.most, np.fromiter(map(len, fresh), np.int64, len(fresh))
-            start = _numbered(self.starts, [w[: most + 1] if len(w) > most else w + _END for w in fresh])
-            tail = np.array(_numbered(self.tails, [w[-most:] if len(w) >= most else _BEGIN_TEXT for w in fresh]), np.int64)
-            tail[size < most] = -1
-            rest, long = np.zeros(len(fresh)), np.flatnonzero(size > most)
-            rest[long] = log([fresh[i] + _END for i in long.tolist()], np.full(len(long), most + 1, np.int64))
-            self.start, self.tail = np.append(self.start, start), np.append(self.tail, tail)
-            self.size, self.rest = np.append(self.size, size), np.append(self.rest, rest)
-            self.known = len(self.words)
-        return at
-
-    def before(self, words: list[str], at: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """The number of the end of the text before each word; `firsts` are the first words of texts."""
-        begin = self.tails[_BEGIN_TEXT]
-        after = self.tail[at]  # the end of the text after a word; a short word's depends on what is before it
-        first = np.zeros(len(at), bool)
-        first[firsts] = True
-        short = np.flatnonzero(after < 0).tolist()
-        if short:
-            names = list(self.tails)
-            for i in short:
-                old = names[begin if first[i] else after[i - 1]]
-                new = (old + words[i])[-self.most :]
-                after[i] = number = self.tails.setdefault(new, len(names))
-                if number == len(names):
-                    names.append(new)
-        found = np.append(begin, after[:-1])
-        found[firsts] = begin
+def _mixed(total: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes with one more code point each, as `_hashes` makes them."""
+    total = (total ^ points) * np.uint64(0x9E3779B97F4A7C15)
+    return total ^ (total >> np.uint64(29))
+
+
+class _Recent:
+    """Log probabilities by the hash of their n-gram: a slot each of a table of fixed size, where the latest stays."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
+        self.keys[0] = 1  # belongs to another slot, so that nothing is known yet
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, look) -> np.ndarray:
+        """The value of each key; look(places) gives those of places in `keys` that aren't known, a place for each such key."""
+        slots = self._slots(keys)
+        found = self.values[slots]
+        missed = np.flatnonzero(self.keys[slots] != keys)
+        if len(missed):
+            fresh, first, again = np.unique(keys[missed], return_index=True, return_inverse=True)
+            value = look(missed[first])
+            found[missed] = value[again]
+            slots = self._slots(fresh)
+            # of keys that share a slot both columns keep the same one
+            last = len(slots) - 1 - np.unique(slots[::-1], return_index=True)[1]
+            self.keys[slots[last]], self.values[slots[last]] = fresh[last], value[last]
         return found
 
-    def head_scores(self, before: np.ndarray, at: np.ndarray, log) -> np.ndarray:
-        """The log probability of each word's head after what is before it."""
-        pairs, inverse = np.unique(before << 32 | self.start[at], return_inverse=True)
-        fresh = [p for p in pairs.tolist() if p not in self.heads]
-        if fresh:
-            tails, starts = list(self.tails), list(self.starts)
-            parts = [tails[p >> 32] + starts[p & 0xFFFFFFFF] for p in fresh]
-            firsts = np.fromiter((len(tails[p >> 32]) + 1 for p in fresh), np.int64, len(fresh))
-            self.heads.update(zip(fresh, log(parts, firsts).tolist()))
-        return np.fromiter(map(self.heads.__getitem__, pairs.tolist()), np.float64, len(pairs))[inverse]
-
 
 class Scorer:
-    """Scores texts; keeps what it knows of about `most` words and as many heads."""
+    """Scores texts; keeps the log probabilities of up to 2 ** `bits` n-grams, 16 bytes each."""
 
-    def __init__(self, folder: str, order: int, most: int = 150_000):
-        self.blocks, self.order, self.most = Blocks(folder), order, most
-        self.languages: dict[str, _Language] = {}
+    def __init__(self, folder: str, order: int, bits: int = 20):
+        self.blocks, self.order, self.recent = Blocks(folder), order, _Recent(bits)
+        self.langs: dict[str, int] = {}
 
     def score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
         """The perplexity of each text, and how many characters were predicted."""
@@ -442,34 +403,66 @@ class Scorer:
             return self._score(langs, texts)
 
     def _score(self, langs: list[str | None], texts: list[str | None]) -> tuple[list[float | None], list[int]]:
-        kept = self.languages.values()
-        if sum(len(x.words) for x in kept) > self.most or sum(len(x.heads) for x in kept) > self.most:
-            self.languages = {}
-        by_lang: dict[str, list[int]] = defaultdict(list)
-        for i, lang in enumerate(langs):
-            by_lang[lang or ""].append(i)
         found: list[float | None] = [None] * len(texts)
         chars = [0] * len(texts)
-        for lang, rows in by_lang.items():
-            own = self.languages.setdefault(lang, _Language(self.order))
-
-            def log(parts: list[str], firsts: np.ndarray, lang: str = lang) -> np.ndarray:
-                return _scores(parts, firsts, lang, self.blocks, self.order)
-
-            split = [text_words(texts[i] or "") for i in rows]
-            filled = [j for j, words in enumerate(split) if words]
-            if not filled:
-                continue
-            words = list(chain.from_iterable(split))
-            sizes = np.array([len(split[j]) for j in filled])
-            firsts = np.cumsum(sizes) - sizes
-            at = own.number(words, log)
-            scores = own.rest[at] + own.head_scores(own.before(words, at, firsts), at, log)
-            total, length = np.add.reduceat(scores, firsts), np.add.reduceat(own.size[at], firsts)  # a mark less, an end more
-            for j, p, n in zip(filled, np.exp(-total / length).tolist(), length.tolist()):
-                found[rows[j]], chars[rows[j]] = p, n
+        split = [text_words(t or "") for t in texts]
+        filled = [i for i, words in enumerate(split) if words]
+        if not filled:
+            return found, chars
+        counts = np.array([len(split[i]) for i in filled])
+        own = np.array([self.langs.setdefault(langs[i] or "", len(self.langs)) for i in filled], np.int64)
+        points = _points("".join(_BEGIN_TEXT + _END.join(split[i]) + _END for i in filled))
+        del split
+        total = self._characters(points, own)
+        total, points = (x[points != ord(_BEGIN_TEXT)] for x in (total, points))
+        # a word's head, the characters whose context reaches beyond its mark, is summed by itself
+        firsts = np.append(0, np.flatnonzero(points == ord(_END))[:-1] + 1)
+        size = np.diff(np.append(firsts, len(points)))
+        head = np.zeros(len(firsts))
+        for j in range(1, self.order - 1):
+            has = np.flatnonzero(size > j)
+            head[has] += total[firsts[has] + j]
+            total[firsts[has] + j] = 0.0
+        scores = np.add.reduceat(total, firsts) + head
+        begins = np.cumsum(counts) - counts
+        sums, length = np.add.reduceat(scores, begins), np.add.reduceat(size - 1, begins)  # a mark isn't predicted, an end is
+        for i, p, n in zip(filled, np.exp(-sums / length).tolist(), length.tolist()):
+            found[i], chars[i] = p, n
         return found, chars
 
+    def _characters(self, points: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The log probability of each code point of texts, 0 for marks. Ends of words are no context; lang: a number per text."""
+        order, n = self.order, self.order - 1
+        end, begin = points == ord(_END), points == ord(_BEGIN_TEXT)
+        running = np.append(np.zeros(n, np.uint64), points[~end])
+        after = np.cumsum(~end) + n - 1 + end  # where the context of each point ends
+        text = np.cumsum(begin) - 1
+        place = np.minimum(after - after[begin][text], n)
+        at = np.flatnonzero((points < ord(_BEGIN_SENTENCE)) | (points > ord(_BEGIN_TEXT)))
+        after, place, text, last = after[at], place[at], text[at], points[at]
+        contexts = np.full(len(running) - n + 1, order + 1, np.uint64)
+        for i in range(n):
+            contexts = _mixed(contexts, running[i : len(running) - n + 1 + i])
+        keys = _mixed(contexts[after - n], last)
+
+        def windows(places: np.ndarray) -> np.ndarray:
+            """The characters before each place and its own; nothing from before the text."""
+            got = np.column_stack([*(running[after[places] - n + i] for i in range(n)), last[places]])
+            got[np.arange(order) < n - place[places, None]] = 0
+            return got
+
+        short = np.flatnonzero(place < n)
+        keys[short] = _hashes(windows(short).ravel(), np.arange(len(short)) * order, order)
+        keys ^= lang[text].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+        def look(places: np.ndarray) -> np.ndarray:
+            ends = np.arange(1, len(places) + 1) * order - 1
+            return _at_places(windows(places).ravel(), ends, place[places], lang[text[places]], list(self.langs), self.blocks, order)
+
+        found = np.zeros(len(points))
+        found[at] = self.recent.get(keys, look)
+        return found
+
 
 def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int = ORDER) -> DataFrame:
     """All columns of `docs`, `perplexity` and `chars`. lang and text: where those columns stand."""

@@ -200,3 +200,23 @@ def test_order_and_repetition_of_words_count(spark):
     got = {r["doc_id"]: r for r in kn.judge(docs, spark.createDataFrame([(i,) for i in range(160)], "doc_id long")).collect()}
     assert all(got[i]["kept"] for i in range(160))
     assert not got[1000]["kept"] and not got[1001]["kept"]
+
+
+def test_what_is_remembered_changes_no_score(spark):
+    trained = texts_of(1)
+    rows = [(lang, t) for lang, part in (("xx", trained[:30]), ("yy", trained[30:])) for t in part]
+    folder = kn.train(spark.createDataFrame(rows, "lang string, text string"), block_rows=300, across=True)
+    texts = texts_of(2, 40) + ["", "a", "a b c d e", "x" * 150 + " b", "\x00 \x00a\x02 th"]
+    langs = ["xx", "yy", None] * 15
+    first = kn.Scorer(folder, kn.ORDER).score(langs, texts)
+    # a table of two n-grams, texts one by one and again
+    small = kn.Scorer(folder, kn.ORDER, bits=1)
+    for _ in range(2):
+        assert [small.score([lang], [text]) for lang, text in zip(langs, texts)] == [([p], [n]) for p, n in zip(*first)]
+    assert len(small.recent.keys) == 2
+    # each block is read once for all languages of the texts
+    blocks, read = kn.Blocks(folder), []
+    counting = kn.Scorer(folder, kn.ORDER)
+    counting.blocks.get = lambda number: read.append(number) or blocks.get(number)
+    counting.score(langs, texts)
+    assert len(read) == len(set(read)) > 1

@@ -23,6 +23,15 @@ _GRAM = 4
 _WINDOW = 256
 # So many hits, of two numbers each, are broadcast.
 _FEW_HITS = 500_000
+# What of a phrase's neighbour is looked up along with a token: four characters of it, or one of a shorter neighbour.
+_BESIDE = (
+    "case when char_length(after) > 3 then concat('a4', left(after, 4)) when after <> '' then concat('a1', left(after, 1))"
+    " when char_length(before) > 3 then concat('b4', right(before, 4)) when before <> '' then concat('b1', right(before, 1)) else '' end"
+)
+_ANY_BESIDE = (
+    "array('', concat('a4', left(following, 4)), concat('a1', left(following, 1)),"
+    " concat('b4', right(previous, 4)), concat('b1', right(previous, 1)))"
+)
 # A token that stands in very many texts meets its words in so many parts of the join.
 _SPREAD = 16
 
@@ -129,7 +138,7 @@ def _filed(words: DataFrame) -> DataFrame:
 
 
 def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int], grams: int = 65_536) -> DataFrame:
-    """Rows (token, word): the token contains the part under which the word is filed.
+    """Rows (token, word, beside): the token contains the part under which the word is filed; `beside` is what must stand next to it.
 
     Tokens are cut by exploding numbers, which stays in generated code; a long token is first cut into windows, as taking
     a piece of a text takes time up to its place. A Bloom filter of the listed pieces keeps the others from the shuffle.
@@ -150,7 +159,7 @@ def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int], grams: int =
         cut.join(filed, "gram")
         .where(F.contains("token", F.col("part")))
         .where("(before is null or startswith(token, part)) and (after is null or endswith(token, part))")
-        .select("token", "word")
+        .select("token", "word", F.expr(_BESIDE).alias("beside"))
     )
 
 
@@ -159,11 +168,12 @@ def _met(texts: DataFrame, filed: DataFrame, lengths: list[int], grams: int) ->
 
     The hits among the distinct tokens are found once and settled as pairs of salted hashes, which hold no word in
     clear; what hashes alike by chance is turned away when the words themselves are looked at. A Bloom filter of the hits
-    keeps all other tokens from the shuffle.
+    keeps all other tokens from the shuffle. The hash of a hit covers some characters of the phrase's neighbour too, so a
+    common token doesn't meet all phrases that it is part of.
     """
     salt = F.lit(secrets.randbits(62))
     tokens = texts.select(F.explode(F.split("text", " ")).alias("token")).where("token <> ''").distinct()
-    hits = settle(_hits(tokens, filed, lengths, grams).select(F.xxhash64(salt, "token").alias("t"), F.xxhash64(salt, "word").alias("w")))
+    hits = settle(_hits(tokens, filed, lengths, grams).select(F.xxhash64(salt, "token").alias("t"), F.xxhash64(salt, "token", "beside").alias("h"), F.xxhash64(salt, "word").alias("w")))
     count = hits.count()
     bits = filters.bits_for(count)
     used = (
@@ -171,11 +181,15 @@ def _met(texts: DataFrame, filed: DataFrame, lengths: list[int], grams: int) ->
         .selectExpr("key", "tokens", "posexplode(tokens) as (at, token)")
         .withColumn("t", F.xxhash64(salt, "token"))
         .where(filters.may_hold(filters.build(hits, "t", bits), F.col("t"), bits))
-        .selectExpr("key", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following", "t")
+        .selectExpr("key", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following")
+        .selectExpr("*", f"explode({_ANY_BESIDE}) as beside")
+        .where("beside is not null")
+        .withColumn("h", F.xxhash64(salt, "token", "beside"))
+        .where(filters.may_hold(filters.build(hits, "h", bits), F.col("h"), bits))
         .withColumn("spread", F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int"))
     )
     dealt = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("spread")
-    found = used.join(hits.select("t", "w", dealt), ["t", "spread"]) if count > _FEW_HITS else used.join(F.broadcast(hits), "t")
+    found = used.join(hits.select("h", "w", dealt), ["h", "spread"]) if count > _FEW_HITS else used.join(F.broadcast(hits.select("h", "w")), "h")
     return (
         found.join(filed.select("word", "part", "before", "after", F.xxhash64(salt, "word").alias("w"), dealt), ["w", "spread"])
         .where(F.contains("token", F.col("part")))

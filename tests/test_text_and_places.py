@@ -244,6 +244,19 @@ def test_masking_very_long_tokens_and_words(spark):
     assert projected == joined == expected
 
 
+def test_phrases_of_a_common_token_are_told_apart_by_their_neighbours(spark):
+    listed = ["the " + w for w in ("a", "of", "old", "oldest", "older", "é")] + ["in the", "xin the end", "at  the", " the", "the "]
+    texts_ = ["the oldest of the old", "then the older", "xin the ends", "at  the a", "the", "", None, "in the éa", "the o", " the of"]
+    words_df = spark.createDataFrame([(w,) for w in listed], "word string")
+    masked = mask.mask_found_words(spark.createDataFrame([(t,) for t in texts_], "a string"), ["a"], words_df)
+    assert sorted((r.a for r in masked.collect()), key=str) == sorted((masked_in_python(t, listed) for t in texts_), key=str)
+    # a token meets the phrases with the same characters beside it, not all that it is part of
+    many = spark.range(2000).selectExpr("concat('the ', lpad(cast(id as string), 4, '0')) as word")
+    filed = many.selectExpr("word", "'the' as part", "cast(null as string) as before", "split(word, ' ')[1] as after", "'the' as gram")
+    hits = mask._hits(spark.createDataFrame([("the",)], "token string"), filed, [3])
+    assert hits.select("token", "beside").distinct().count() == hits.count() == 2000
+
+
 def test_masking_unknown_columns_is_an_error(spark):
     df = spark.createDataFrame([("call Ana",)], "t string")
     for call in (lambda: mask.mask_words(df, ["tt"], ["Ana"]), lambda: mask.mask_found_words(df, ["tt"], df.select(F.lit("Ana").alias("word")))):

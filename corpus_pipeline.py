@@ -15,12 +15,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.llm import decontaminate, exact_dedup, kneser_ney, packing, simhash
-from hushframe.llm.common import importable_in_tasks, scratch
+from hushframe.llm.common import bounded_batches, importable_in_tasks, scratch
 from hushframe.llm.queries import trusted_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose perplexity is far over that of their language."""
+    bounded_batches(spark)
     return kneser_ney.drop(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -31,16 +32,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    bounded_batches(spark)
     return simhash.drop(docs, words=4, distance=4)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold a benchmark item."""
+    bounded_batches(spark)
     return decontaminate.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of the documents, in pieces of sequences."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

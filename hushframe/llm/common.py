@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import shutil
@@ -81,7 +82,25 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers stand idle beside later stages, and the allocators would keep it for them."""
     pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.pythonapi, "malloc_trim", None)  # only some C libraries have it
+    if give_back:
+        give_back(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python tasks some SLICE_BYTES at a time, unless the session has a limit of its own.
+
+    A batch of 10,000 rows of long texts would be held whole on both sides, once by each task.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(SLICE_BYTES))
 
 
 @contextmanager

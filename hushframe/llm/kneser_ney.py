@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import by_position, held, narrow, no_cycles, position, scratch, settle, shared_files, slices
+from .common import by_position, held, narrow, no_cycles, position, scratch, settle, shared_files, slices, trim
 
 ORDER = 5
 FENCE = 3.0
@@ -114,6 +114,8 @@ def word_counts(trusted: DataFrame, order: int = ORDER, across: bool = False) ->
                 yield from _rows(seen)
                 seen.clear()
         yield from _rows(seen)
+        seen.clear()
+        trim()
 
     def _rows(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counts in seen.items():
@@ -137,7 +139,9 @@ def raw_grams(words: DataFrame, order: int, across: bool = False) -> DataFrame:
                 seen = count(batch)
                 langs, grams = zip(*seen) if seen else ((), ())
                 found = [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(list(seen.values()), pa.int64())]
+                del seen, langs, grams
             yield pa.RecordBatch.from_arrays(found, ["lang", "gram", "n"])
+        trim()
 
     def count(batch: pa.RecordBatch) -> Counter:
         seen: Counter = Counter()
@@ -275,22 +279,32 @@ class Block:
 
     def __init__(self, folder: str, number: int):
         files, base = shared_files(folder)
-        source = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files)
-        names: dict[str, int] = {}
-        parts = []
-        for batch in source.to_batches(columns=["lang", "weight", "k", "hash", "value"], batch_size=100_000):
-            lang = batch.column(0).dictionary_encode()
-            own = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int16)
-            kinds = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype(np.int8)
-            parts.append((own[lang.indices.to_numpy()], *kinds, batch.column(3).to_numpy().copy(), batch.column(4).to_numpy().copy()))
-        code, weight, k, hashes, value = (np.concatenate([x[i] for x in parts]) for i in range(5))
-        del parts
-        self.languages: dict[str, tuple[Table, Table, float]] = {}
-        for lang, i in names.items():
-            own = (code == i) & (k >= 0)
-            tables = [Table(k[at], hashes[at], value[at]) for at in (np.flatnonzero(own & (weight == kind)) for kind in (False, True))]
-            self.languages[lang] = (*tables, float(value[(code == i) & (k < 0)][0]))
-        pa.default_memory_pool().release_unused()
+        self.languages = _languages(pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files))
+        trim()
+
+
+def _languages(source: pads.Dataset) -> dict[str, tuple[Table, Table, float]]:
+    """Per language of stored rows its probabilities, its back-off weights and the value of an unknown character."""
+    names: dict[str, int] = {}
+    code, weight, k, hashes, value = columns = [np.empty(source.count_rows(), kind) for kind in (np.int16, bool, np.int8, np.int64, np.float32)]
+    done = 0
+    # read one after the other: by default so many batches are read ahead that they are the whole block
+    ahead = {"batch_size": 100_000, "batch_readahead": 1, "fragment_readahead": 1, "use_threads": False}
+    for batch in source.to_batches(columns=["lang", "weight", "k", "hash", "value"], **ahead):
+        lang = batch.column(0).dictionary_encode()
+        own = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int16)
+        parts = own[lang.indices.to_numpy()], *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+        for column, part in zip(columns, parts):
+            column[done : done + batch.num_rows] = part
+        done += batch.num_rows
+    del batch, lang, own, parts
+    trim()
+    found = {}
+    for lang, i in names.items():
+        own = (code == i) & (k >= 0)
+        tables = [Table(k[at], hashes[at], value[at]) for at in (np.flatnonzero(own & (weight == kind)) for kind in (False, True))]
+        found[lang] = (*tables, float(value[(code == i) & (k < 0)][0]))
+    return found
 
 
 def _block_numbers(folder: str) -> tuple[int, ...]:
@@ -474,6 +488,7 @@ def perplexities(docs: DataFrame, folder: str, lang: int, text: int, order: int
             found, chars = score(*(batch.column(i).cast(pa.string()).to_pylist() for i in (lang, text)))
             own = [pa.array(found, pa.float64()), pa.array(chars, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "perplexity", "chars"])
+        trim()
 
     return by_position(docs).mapInArrow(run, schema)
 

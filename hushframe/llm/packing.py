@@ -20,14 +20,14 @@ packed each; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrow, slices
+from .common import narrow, slices, trim
 from .tokens import encoder
 
 
@@ -35,6 +35,9 @@ from .tokens import encoder
 GROUP = 4_000_000
 #: Pieces of text that a worker keeps with their ids; more save time and take memory, and results are the same.
 PIECES = 300_000
+#: Bytes of text that are encoded at once, and tokens that are handed on at once.
+_ENCODED_AT_ONCE = 300_000
+_OUT_AT_ONCE = 250_000
 
 
 def capacities(total: int, length: int) -> np.ndarray:
@@ -88,35 +91,43 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer, end_id, pieces).encode, TaskContext.get().partitionId() << 32
-        names, counts, data, total = [], [], [], 0
-        for batch in slices(batches, 1):
+        names, counts, total = [], [], 0
+        held = np.empty(min(group, GROUP), "<u4")  # the ids of a group; it grows where a document goes beyond
+        for batch in slices(batches, 1, _ENCODED_AT_ONCE):
             ids, n = encode([t or "" for t in batch.column(1).to_pylist()])
             at = first = 0  # documents and ids of this batch that are dealt with
             while at < len(n):
                 reach = np.cumsum(n[at:])
                 take = min(len(reach), int(np.searchsorted(reach, group - total)) + 1)
                 size = int(reach[take - 1])
-                names.append(batch.column(0).slice(at, take))
+                # a copy: a slice would keep the texts of its batch
+                names.append(batch.column(0).take(pa.array(np.arange(at, at + take))))
                 counts.append(n[at : at + take])
-                data.append(ids[first : first + size])
+                if total + size > len(held):
+                    held = np.concatenate([held[:total], np.empty(max(size, total), "<u4")])
+                held[total : total + size] = ids[first : first + size]
                 at, first, total = at + take, first + size, total + size
                 if total >= group:
-                    packed, before = _packed(names, counts, data, length, linear, quadratic, before)
-                    yield packed
-                    names, counts, data, total = [], [], [], 0
+                    before = yield from _packed(names, counts, held, length, linear, quadratic, before)
+                    names, counts, total = [], [], 0
         if names:
-            yield _packed(names, counts, data, length, linear, quadratic, before)[0]
+            yield from _packed(names, counts, held, length, linear, quadratic, before)
+        del held
+        trim()
 
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return rows.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, schema)
 
 
-def _packed(names: list, counts: list, data: list, length: int, linear: float, quadratic: float, before: int) -> tuple[pa.RecordBatch, int]:
-    """The pieces of a group, and the number of its next sequence."""
-    n, ids = np.concatenate(counts), np.concatenate(data).astype("<u4")
+def _packed(names: list, counts: list, ids: np.ndarray, length: int, linear: float, quadratic: float, before: int) -> Generator[pa.RecordBatch, None, int]:
+    """The pieces of a group, some at a time; returns the number of the next sequence."""
+    n, name = np.concatenate(counts), pa.concat_arrays(names)
     doc, start, size, sequence, offset = np.array(pack(n, length, linear, quadratic), np.int64).reshape(-1, 5).T
     first = (np.cumsum(n) - n)[doc] + start
-    cut = [ids[a : a + b].tobytes() for a, b in zip(first.tolist(), size.tolist())]
-    columns = [pa.concat_arrays(names).take(pa.array(doc)), *map(pa.array, (start, size, n[doc], sequence + before, offset)), pa.array(cut, pa.binary())]
-    names_ = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    return pa.RecordBatch.from_arrays(columns, names_), before + int(sequence.max()) + 1
+    numbers = np.column_stack([start, size, n[doc], sequence + before, offset])
+    part = np.cumsum(size) // _OUT_AT_ONCE
+    for at in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(part)) + 1):
+        cut = [ids[a : a + b].tobytes() for a, b in zip(first[at].tolist(), size[at].tolist())]
+        columns = [name.take(pa.array(doc[at])), *map(pa.array, numbers[at].T.copy()), pa.array(cut, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+    return before + int(sequence.max()) + 1

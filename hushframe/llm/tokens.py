@@ -8,6 +8,7 @@ holds the string of an added token, which the tokenizer gives its own id.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -57,6 +58,8 @@ class Encoder:
     def __init__(self, path: str, end_id: int, most: int):
         from tokenizers import Tokenizer
 
+        # a task has one core, and each thread of the tokenizer would hold memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = tuple(t.content for t in added)

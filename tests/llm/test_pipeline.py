@@ -3,11 +3,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
 from hushframe.llm import kneser_ney as kn
+from hushframe.llm.common import SLICE_BYTES
 from test_archives_and_tiles import brute_pairs
 from test_dedup import brute_components, brute_fingerprint
 from test_quality import brute_running_model, predictions
@@ -118,3 +120,24 @@ def test_empty_documents(spark, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_hand_bounded_batches_to_tasks(spark, tmp_path):
+    """10,000 rows of long texts would reach each task at once otherwise, and stand whole in the worker's memory."""
+    folder = f"file://{tmp_path}/in"
+    fixture(spark, folder)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(limit, None)
+    spark.conf.unset(limit)
+    try:
+        docs = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "repeat('x', 5000) as text")
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * SLICE_BYTES
+            spark.conf.unset(limit)
+        spark.conf.set(limit, "123456")  # a limit of the session's own stays
+        corpus_pipeline.packed(spark, docs, folder)
+        assert spark.conf.get(limit) == "123456"
+    finally:
+        spark.conf.unset(limit) if own is None else spark.conf.set(limit, own)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,3 +183,24 @@ def test_packing_does_not_depend_on_batches_or_caches(spark, monkeypatch):
         assert packed(pieces=50) == first
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packing_hands_groups_on_in_parts(spark, monkeypatch):
+    """A group's ids are not made once more as a whole; parts and slices of any size give the same pieces."""
+    docs = documents(spark).coalesce(1)
+    path = public_tokenizers.path(FILES[1])
+
+    def packed():
+        return [tuple(r) for r in packing.pack_documents(docs, path, group=3000, length=512).collect()]
+
+    first = packed()
+    monkeypatch.setattr(packing, "_OUT_AT_ONCE", 700)
+    monkeypatch.setattr(packing, "_ENCODED_AT_ONCE", 500)
+    assert packed() == first
+    n = np.array([512] * 9 + [3])
+    parts = list(packing._packed([pa.array(range(10))], [n], np.arange(n.sum(), dtype="<u4"), 512, 1.0, 1 / 2048, 0))
+    assert len(parts) > 3 and max(sum(p.column("length").to_pylist()) for p in parts) <= 700 + 512
+    pieces = [p for part in parts for p in part.to_pylist()]
+    at = sorted((512 * p["doc_id"] + p["start"], p["length"], p["ids"]) for p in pieces)
+    assert sum(length for _, length, _ in at) == n.sum()
+    assert b"".join(ids for *_, ids in at) == np.arange(n.sum(), dtype="<u4").tobytes()

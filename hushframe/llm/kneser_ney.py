@@ -9,9 +9,10 @@ Training counts n-grams of all trusted words, and joins the counts by their cont
 sharded by Spark: adjusted counts (raw for the highest order and for n-grams at the beginning of a word,
 else the number of distinct characters before them), three discounts per language and order, back-off
 weights, and interpolated probabilities. The model is stored in blocks by the two characters before the
-predicted one, so that all that a place in a text needs lies in one block. Tasks read one block at a
-time. They look up each distinct n-gram of some texts at once, and remember the latest in a table of fixed size;
-nothing is shuffled per document.
+predicted one, so that all that a place in a text needs lies in one block: sorted hashes and their values, in files
+that tasks map and search in place. A block is opened once by a worker, whatever the number of blocks and texts, and the
+system shares what is read among the workers of a machine. Tasks look up each distinct n-gram of some texts at once,
+and remember the latest in a table of fixed size; nothing is shuffled per document.
 
 A document's perplexity is per character. Its language's quartiles give the limit: log perplexity over the
 upper quartile plus `fence` quartile distances is rejected. The distance counts more for texts shorter than
@@ -30,6 +31,10 @@ are ignored by `judge` and carried by `drop`.
 
 from __future__ import annotations
 
+import mmap
+import shutil
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -50,6 +55,8 @@ LEAST_APART = 20
 #: The least distance of the quartiles of log perplexity.
 LEAST_SPREAD = 0.05
 _BLOCK_ROWS = 4_000_000
+#: Files that a model is stored in, per block and at most: a worker maps them all.
+_FILES, _MOST_FILES = 16, 256
 _BEGIN_SENTENCE, _BEGIN, _END, _BEGIN_TEXT = "\x02", "\x03", "\x01", "\x04"
 _HEAD = "\x05"
 _MARKS = str.maketrans(dict.fromkeys(_BEGIN_SENTENCE + _BEGIN + _END + _BEGIN_TEXT, "\ufffd"))
@@ -214,7 +221,11 @@ def train(trusted: DataFrame, order: int = ORDER, block_rows: int = _BLOCK_ROWS,
     model = settle(model.unionByName(unknown), "model")
     blocks = max(1, -(-model.count() // block_rows))
     stored = _blocked(model, blocks).select("lang", "gram", "weight", "value", "block")
-    stored.mapInArrow(_hashed, "lang string, weight boolean, k int, hash long, value float, block int").write.partitionBy("block").parquet(folder)
+    hashed = stored.mapInArrow(_hashed, "lang string, weight boolean, k int, hash long, value float, block int")
+    table = ["block", "lang", "weight", "k"]
+    dealt = hashed.repartition(min(_MOST_FILES, _FILES * blocks), *table).sortWithinPartitions(*table, "hash")
+    made = dealt.mapInArrow(_tables_into(f"{folder}-tables"), "block int, lang string, weight boolean, k int, path string, start long, n long")
+    made.write.partitionBy("block").parquet(folder)
     return folder
 
 
@@ -231,6 +242,51 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lang, weight, pa.array(k), pa.array(found), value, block], ["lang", "weight", "k", "hash", "value", "block"])
 
 
+def _tables_into(folder: str):
+    """Write the tables of sorted rows of the model into a file per task; a row per table says where it stands.
+
+    A table is the rows of a block, a language, a kind and a length: n hashes (int64, ascending), n values (float32), and
+    zeros up to a multiple of 8 bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = shared_files(folder)
+        out, found, values, path = None, [], [], f"{base}/{uuid.uuid4().hex}"
+
+        def close() -> None:
+            out.write(b"".join(values) + bytes(4 * (found[-1][-1] % 2)))
+            values.clear()
+
+        try:
+            for batch in batches:
+                lang, weight, k, hashes, value, block = batch.columns
+                if out is None:
+                    files.create_dir(base, recursive=True)
+                    out = files.open_output_stream(path)
+                codes = [lang.dictionary_encode().indices.to_numpy(), *(c.to_numpy(zero_copy_only=False) for c in (weight, k, block))]
+                changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in codes], axis=0)) + 1
+                hashes, value = hashes.to_numpy().astype("<i8"), value.to_numpy().astype("<f4")
+                for start, end in zip([0, *changes.tolist()], [*changes.tolist(), batch.num_rows]):
+                    name = [c[start].as_py() for c in (block, lang, weight, k)]
+                    if not found or found[-1][:4] != name:
+                        if found:
+                            close()
+                        found.append([*name, path, out.tell(), 0])
+                    out.write(hashes[start:end].tobytes())
+                    values.append(value[start:end].tobytes())
+                    found[-1][-1] += end - start
+            if found:
+                close()
+        finally:
+            if out is not None:
+                out.close()
+        types = [pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        columns = zip(*found) if found else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["block", "lang", "weight", "k", "path", "start", "n"])
+
+    return run
+
+
 def _points(text: str) -> np.ndarray:
     """The code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -256,55 +312,52 @@ def _hashes(points: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 class Table:
     """Sorted hashes of n-grams of each length with a value."""
 
-    def __init__(self, lengths: np.ndarray, hashes: np.ndarray, values: np.ndarray):
+    def __init__(self):
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == k)
-            keys = hashes[at].view(np.uint64)
-            order = np.argsort(keys)
-            self.parts[k] = keys[order], values[at[order]]
 
     def get(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash of length k is known, and its value (0 if not)."""
-        have, values = self.parts.get(k, (np.empty(0, np.uint64), np.empty(0, np.float32)))
+        have, values = self.parts.get(k, (np.empty(0, np.int64), np.empty(0, np.float32)))
         if not len(have):
             return np.zeros(len(keys), bool), np.zeros(len(keys))
+        keys = keys.view(np.int64)
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         known = have[at] == keys
         return known, np.where(known, values[at], 0.0).astype(np.float64)
 
 
-class Block:
-    """One block of the model: probabilities and back-off weights per language."""
+def _mapped(files: pafs.FileSystem, path: str) -> mmap.mmap:
+    """A stored file as memory that the system reads as it is looked at; one of a remote store is copied beside the task first.
 
-    def __init__(self, folder: str, number: int):
-        files, base = shared_files(folder)
-        self.languages = _languages(pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files))
-        trim()
+    The copy has no name and goes with the worker.
+    """
+    if isinstance(files, pafs.LocalFileSystem):
+        with open(path, "rb") as local:
+            return mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ)
+    with tempfile.TemporaryFile() as copy, files.open_input_stream(path) as source:
+        shutil.copyfileobj(source, copy, 1 << 20)
+        copy.flush()
+        return mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def _languages(source: pads.Dataset) -> dict[str, tuple[Table, Table, float]]:
-    """Per language of stored rows its probabilities, its back-off weights and the value of an unknown character."""
-    names: dict[str, int] = {}
-    code, weight, k, hashes, value = columns = [np.empty(source.count_rows(), kind) for kind in (np.int16, bool, np.int8, np.int64, np.float32)]
-    done = 0
-    # read one after the other: by default so many batches are read ahead that they are the whole block
-    ahead = {"batch_size": 100_000, "batch_readahead": 1, "fragment_readahead": 1, "use_threads": False}
-    for batch in source.to_batches(columns=["lang", "weight", "k", "hash", "value"], **ahead):
-        lang = batch.column(0).dictionary_encode()
-        own = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int16)
-        parts = own[lang.indices.to_numpy()], *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
-        for column, part in zip(columns, parts):
-            column[done : done + batch.num_rows] = part
-        done += batch.num_rows
-    del batch, lang, own, parts
-    trim()
-    found = {}
-    for lang, i in names.items():
-        own = (code == i) & (k >= 0)
-        tables = [Table(k[at], hashes[at], value[at]) for at in (np.flatnonzero(own & (weight == kind)) for kind in (False, True))]
-        found[lang] = (*tables, float(value[(code == i) & (k < 0)][0]))
-    return found
+class Block:
+    """One block of the model: probabilities, back-off weights and the value of an unknown character per language.
+
+    opened: files that are mapped already, by path.
+    """
+
+    def __init__(self, folder: str, number: int, opened: dict[str, mmap.mmap]):
+        files, base = shared_files(folder)
+        rows = pads.dataset(f"{base}/block={number}", format="parquet", filesystem=files).to_table(columns=["lang", "weight", "k", "path", "start", "n"])
+        tables: dict[str, tuple[Table, Table]] = defaultdict(lambda: (Table(), Table()))
+        for lang, weight, k, path, start, n in zip(*(c.to_pylist() for c in rows.columns)):
+            if path not in opened:
+                opened[path] = _mapped(files, path)
+            parts = tables[lang][weight].parts
+            if k in parts:
+                raise ValueError(f"block {number} has two tables of length {k}")
+            parts[k] = np.frombuffer(opened[path], "<i8", n, start), np.frombuffer(opened[path], "<f4", n, start + 8 * n)
+        self.languages = {lang: (probabilities, weights, float(probabilities.parts[-1][1][0])) for lang, (probabilities, weights) in tables.items()}
 
 
 def _block_numbers(folder: str) -> tuple[int, ...]:
@@ -314,16 +367,17 @@ def _block_numbers(folder: str) -> tuple[int, ...]:
 
 
 class Blocks:
-    """The blocks of a stored model; one at a time is in memory."""
+    """The blocks of a stored model, each opened when it is first looked at."""
 
     def __init__(self, folder: str):
-        self.folder, self.numbers, self.loaded = folder, _block_numbers(folder), (None, None)
+        self.folder, self.numbers = folder, _block_numbers(folder)
+        self.files: dict[str, mmap.mmap] = {}
+        self.opened: dict[int, Block] = {}
 
     def get(self, number: int) -> Block:
-        if self.loaded[0] != number:
-            self.loaded = (None, None)
-            self.loaded = (number, Block(self.folder, number))
-        return self.loaded[1]
+        if number not in self.opened:
+            self.opened[number] = Block(self.folder, number, self.files)
+        return self.opened[number]
 
 
 def word_scores(words: list[str], lang: str, blocks: Blocks, order: int) -> np.ndarray:

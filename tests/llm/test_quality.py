@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 
 from hushframe.llm import kneser_ney as kn
@@ -220,3 +221,17 @@ def test_what_is_remembered_changes_no_score(spark):
     counting.blocks.get = lambda number: read.append(number) or blocks.get(number)
     counting.score(langs, texts)
     assert len(read) == len(set(read)) > 1
+
+
+def test_a_block_is_opened_once_however_many_texts_are_scored(spark, monkeypatch):
+    trained = texts_of(1)
+    folder = kn.train(spark.createDataFrame([("xx", t) for t in trained], "lang string, text string"), block_rows=300, across=True)
+    opened, block = [], kn.Block
+    monkeypatch.setattr(kn, "Block", lambda folder, number, *rest: opened.append(number) or block(folder, number, *rest))
+    scorer = kn.Scorer(folder, kn.ORDER, bits=1)
+    got = [scorer.score(["xx"], [t]) for t in texts_of(2, 30) + trained]
+    assert len(opened) == len(set(opened)) > 1
+    # a store that can't be mapped is copied
+    monkeypatch.setattr(kn, "shared_files", lambda folder: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), folder.removeprefix("file://")))
+    far = kn.Scorer(folder, kn.ORDER)
+    assert [far.score(["xx"], [t]) for t in texts_of(2, 30) + trained] == got

@@ -8,14 +8,15 @@ Column labels stay.
 from __future__ import annotations
 
 import secrets
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hushframe.fixed_values import MASK
 from hushframe.functions.values import name_sql, quoted, short_key_sql
 from hushframe.operators import filters
-from hushframe.session import settle
+from hushframe.session import fits_broadcast, settle
 
 # Words are found in tokens by pieces of at most this many characters.
 _GRAM = 4
@@ -23,15 +24,11 @@ _GRAM = 4
 _WINDOW = 256
 # So many hits, of two numbers each, are broadcast.
 _FEW_HITS = 500_000
-# What of a phrase's neighbour is looked up along with a token: four characters of it, or one of a shorter neighbour.
+# What of a phrase's neighbour goes along with a hit: four characters of it, or one of a shorter neighbour.
 _BESIDE = (
     "case when char_length(after) > 3 then concat('a4', left(after, 4)) when after <> '' then concat('a1', left(after, 1))"
     " when char_length(before) > 3 then concat('b4', right(before, 4)) when before <> '' then concat('b1', right(before, 1)) else '' end"
 )
-_ANY_BESIDE = (
-    "array('', concat('a4', left(following, 4)), concat('a1', left(following, 1)),"
-    " concat('b4', right(previous, 4)), concat('b1', right(previous, 1)))"
-)
 # A token that stands in very many texts meets its words in so many parts of the join.
 _SPREAD = 16
 
@@ -74,11 +71,11 @@ def mask_words(df: DataFrame, columns: list[str], words: list[str], mask: str =
 def mask_found_words(df: DataFrame, columns: list[str], words: DataFrame, mask: str = MASK) -> DataFrame:
     """Mask any number of words, given as a DataFrame with the column `word`.
 
-    A word without spaces lies inside one token of the text, and so does each part of a phrase. A word
-    is filed under the four characters of its parts that the fewest words have. The distinct tokens of the texts are cut
-    into runs of four characters, and those that contain a listed part are the hits. The texts are then read for hits
-    alone, and a hit's neighbours must be the other parts of a phrase. Bloom filters of the listed runs and of the hits
-    keep all other runs and tokens from the shuffles. Each text replaces the words that it may contain; one
+    A word without spaces lies inside one token of the text. It is filed under the four characters that the fewest words
+    have; the distinct tokens of the texts are cut into runs of four characters, and those that contain a listed word are the
+    hits. A phrase is filed under a joint: up to four characters on either side of one of its spaces. The texts are then read
+    once for hits and for joints. Bloom filters of the listed runs, and of the hits and joints, keep all other
+    runs, tokens and neighbours from the shuffles. Each text replaces the words that it may contain; one
     that it doesn't contain changes nothing.
     Texts are known by their own digest, so no key of the rows is needed, and copies fold before
     words are collected.
@@ -90,13 +87,21 @@ def mask_found_words(df: DataFrame, columns: list[str], words: DataFrame, mask:
     if not columns:
         return df
     filed = _filed(words)
-    sizes = filed.agg(F.collect_set(F.char_length("gram")).alias("lengths"), F.count_distinct("gram").alias("n")).first()
-    lengths = sorted(sizes.lengths)  # four at most
-    if not lengths:
+    alone, joined = F.col("after").isNull(), F.col("after").isNotNull()
+    edges = F.struct(_edge_length("part").alias("a"), _edge_length("after").alias("b"))
+    octets = " + ".join(f"coalesce(octet_length({c}), 0)" for c in ("word", "part", "before", "after"))
+    sizes = filed.agg(
+        F.collect_set(F.when(alone, F.char_length("gram"))).alias("lengths"),  # four at most
+        F.count_distinct(F.when(alone, F.col("gram"))).alias("grams"),
+        F.collect_set(F.when(joined, edges)).alias("edges"),  # 25 at most
+        F.count(F.lit(1)).alias("words"),
+        F.expr(f"coalesce(sum(cast({octets} as bigint)), 0)").alias("octets"),
+    ).first()
+    if not sizes.words:
         return df
     cells = ", ".join(f"struct({short_key_sql(name_sql(c))} as key, {name_sql(c)} as text)" for c in columns)
     texts = df.selectExpr(f"inline(array({cells}))").where("text <> ''")
-    met = _met(texts, filed, lengths, sizes.n)
+    met = _met(texts, filed, sizes)
     by_size = F.expr("transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)")
     found = met.groupBy(F.col("key").alias("__key")).agg(by_size.alias("__words"))
     for name in columns:
@@ -115,12 +120,17 @@ def _grams(text: str) -> str:
     )
 
 
+def _edge_length(part: str) -> Column:
+    return F.least(F.lit(_GRAM), F.char_length(part))
+
+
 def _filed(words: DataFrame) -> DataFrame:
-    """Distinct words with the piece they are filed under, and the part that holds it.
+    """Distinct words with what they are filed under, `gram`, and the part that holds it.
 
-    `before` and `after` are the parts of a phrase beside it, or null at the ends of the word: a space stands between, so
-    a token must then begin or end with the part, and its neighbour must end or begin with the part there. A shorter
-    piece stands in more tokens, so it counts as more words.
+    A word without spaces is its own part, filed under a piece of it. A phrase is filed under a joint, the last characters of
+    a part, a space and the first ones of the next part, which is `after`. `before` is the part in front, or null at the beginning of the
+    phrase. A space stands between parts, so a token must end with the part (and begin with it if there is one
+    before), and its neighbour must begin with `after`. What is shorter stands in more texts, so it counts as more words.
     """
     parts = (
         words.select("word")
@@ -128,11 +138,13 @@ def _filed(words: DataFrame) -> DataFrame:
         .distinct()
         .select("word", F.split("word", " ").alias("parts"))
         .select("word", "parts", F.posexplode("parts").alias("i", "part"))
-        .where("part <> ''")
-        .select("word", "part", F.expr("get(parts, i - 1)").alias("before"), F.expr("get(parts, i + 1)").alias("after"), F.explode(F.expr(_grams("part"))).alias("gram"))
+        .select("word", "part", F.expr("get(parts, i - 1)").alias("before"), F.expr("get(parts, i + 1)").alias("after"))
+        .where("after is not null or before is null")  # the last part of a phrase has no joint after it
+        .select("*", F.explode(F.expr(f"if(after is null, {_grams('part')}, array(concat(right(part, {_GRAM}), ' ', left(after, {_GRAM}))))")).alias("gram"))
     )
     common = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    cost = F.col("n") * F.pow(F.lit(16), _GRAM - F.char_length("gram"))
+    most = F.when(F.col("after").isNull(), _GRAM).otherwise(2 * _GRAM + 1)
+    cost = F.col("n") * F.pow(F.lit(16), most - F.char_length("gram"))
     best = F.min_by(F.struct("part", "before", "after", "gram"), F.struct(cost, "gram", "part", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))))
     return parts.join(common, "gram").groupBy("word").agg(best.alias("best")).select("word", "best.*")
 
@@ -163,36 +175,53 @@ def _hits(tokens: DataFrame, filed: DataFrame, lengths: list[int], grams: int =
     )
 
 
-def _met(texts: DataFrame, filed: DataFrame, lengths: list[int], grams: int) -> DataFrame:
+def _edge(salt: Column, text: Column, end: str, size: Column) -> Column:
+    """A hash of the last or first `size` characters of a token, as the `right` or `left` side of a joint."""
+    return F.xxhash64(salt, F.lit(end), size, (F.right if end == "right" else F.left)(text, size))
+
+
+def _met(texts: DataFrame, filed: DataFrame, sizes: Row) -> DataFrame:
     """Rows (key, word): the text has a token of the word's, between the neighbours that the word asks for.
 
-    The hits among the distinct tokens are found once and settled as pairs of salted hashes, which hold no word in
-    clear; what hashes alike by chance is turned away when the words themselves are looked at. A Bloom filter of the hits
-    keeps all other tokens from the shuffle. The hash of a hit covers some characters of the phrase's neighbour too, so a
-    common token doesn't meet all phrases that it is part of.
+    The hits among the distinct tokens, which only words without spaces need, are found once. They are settled together with the joints
+    of the phrases as pairs of salted hashes, which hold no word in clear; what hashes alike by chance is turned away when the
+    words themselves are looked at. A Bloom filter of them keeps all other tokens and neighbours from the join.
+    A joint covers up to four characters of both sides, so a common token doesn't meet all phrases that it is part of.
     """
     salt = F.lit(secrets.randbits(62))
-    tokens = texts.select(F.explode(F.split("text", " ")).alias("token")).where("token <> ''").distinct()
-    hits = settle(_hits(tokens, filed, lengths, grams).select(F.xxhash64(salt, "token").alias("t"), F.xxhash64(salt, "token", "beside").alias("h"), F.xxhash64(salt, "word").alias("w")))
+    word = F.xxhash64(salt, "word").alias("w")
+    listed, at_token = [], []
+    if sizes.lengths:
+        tokens = texts.select(F.explode(F.split("text", " ")).alias("token")).where("token <> ''").distinct()
+        hits = _hits(tokens, filed.where("after is null"), sorted(sizes.lengths), sizes.grams)
+        listed.append(hits.select(F.xxhash64(salt, "token").alias("h"), word))
+        at_token.append(F.xxhash64(salt, "token"))
+    if sizes.edges:
+        sides = [_edge(salt, F.col(part), end, _edge_length(part)) for part, end in (("part", "right"), ("after", "left"))]
+        listed.append(filed.where("after is not null").select(F.xxhash64(*sides).alias("h"), word))
+    hits = settle(reduce(DataFrame.unionAll, listed))
     count = hits.count()
-    bits = filters.bits_for(count)
+    bits = filters.bits_for(count * (4 if sizes.edges else 1))  # each space is tried for up to 25 joints
     used = (
         texts.select("key", F.split("text", " ").alias("tokens"))
         .selectExpr("key", "tokens", "posexplode(tokens) as (at, token)")
-        .withColumn("t", F.xxhash64(salt, "token"))
-        .where(filters.may_hold(filters.build(hits, "t", bits), F.col("t"), bits))
         .selectExpr("key", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following")
-        .selectExpr("*", f"explode({_ANY_BESIDE}) as beside")
-        .where("beside is not null")
-        .withColumn("h", F.xxhash64(salt, "token", "beside"))
+    )
+    for end, text, side in (("right", "token", "a"), ("left", "following", "b")):
+        for size in sorted({e[side] for e in sizes.edges}):
+            used = used.withColumn(f"{end}{size}", _edge(salt, F.col(text), end, F.lit(size)))
+    joint = [F.xxhash64(f"right{e.a}", f"left{e.b}") for e in sorted(sizes.edges)]
+    used = (
+        used.select("key", "previous", "token", "following", F.explode(F.array(*at_token, *joint)).alias("h"))
         .where(filters.may_hold(filters.build(hits, "h", bits), F.col("h"), bits))
         .withColumn("spread", F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int"))
     )
     dealt = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("spread")
-    found = used.join(hits.select("h", "w", dealt), ["h", "spread"]) if count > _FEW_HITS else used.join(F.broadcast(hits.select("h", "w")), "h")
+    found = used.join(hits.select("h", "w", dealt), ["h", "spread"]) if count > _FEW_HITS else used.join(F.broadcast(hits), "h")
+    known = filed.select("word", "part", "before", "after", word)
+    found = found.join(F.broadcast(known), "w") if fits_broadcast(sizes.words, sizes.octets) else found.join(known.select("*", dealt), ["w", "spread"])
     return (
-        found.join(filed.select("word", "part", "before", "after", F.xxhash64(salt, "word").alias("w"), dealt), ["w", "spread"])
-        .where(F.contains("token", F.col("part")))
+        found.where(F.contains("token", F.col("part")))
         .where("before is null or (startswith(token, part) and endswith(previous, before))")
         .where("after is null or (endswith(token, part) and startswith(following, after))")
         .select("key", "word")

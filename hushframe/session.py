@@ -52,6 +52,11 @@ _BROADCAST_ROWS = 500_000
 _BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def fits_broadcast(rows: int, octets: int) -> bool:
+    """Whether so many rows with so many bytes of text may be broadcast."""
+    return rows <= _BROADCAST_ROWS and octets <= _BROADCAST_BYTES
+
+
 def is_small(df: DataFrame, texts: list[str]) -> bool:
     """Whether a stored or settled frame may be broadcast, by its measured rows and bytes of text.
 
@@ -59,7 +64,7 @@ def is_small(df: DataFrame, texts: list[str]) -> bool:
     """
     size = " + ".join(f"coalesce(octet_length({t}), 0)" for t in texts)
     measured = df.selectExpr("count(1) as n", f"coalesce(sum(cast({size} as bigint)), 0) as b").first()
-    return measured["n"] <= _BROADCAST_ROWS and measured["b"] <= _BROADCAST_BYTES
+    return fits_broadcast(measured["n"], measured["b"])
 
 
 def small_groups(df: DataFrame, by: str, texts: list[str]) -> set[str]:

@@ -257,6 +257,31 @@ def test_phrases_of_a_common_token_are_told_apart_by_their_neighbours(spark):
     assert hits.select("token", "beside").distinct().count() == hits.count() == 2000
 
 
+def test_phrases_make_no_row_per_token_that_they_might_be_part_of(spark, monkeypatch):
+    """What is stored grows with the list, not with the tokens of the texts that end as a phrase's first word does."""
+    texts_ = [f"w{i}a b{i} a b w{i}a" for i in range(300)] + ["xa by", "xa c", "za  b", "a", None, "ca ef g", "ca ef gh", "xca ef g"]
+    listed = ["a b", "a by", "a c", " b", "b ", "a  b", "ca ef g"]
+    stored, settle = [], mask.settle
+    monkeypatch.setattr(mask, "settle", lambda df: stored.append(settle(df)) or stored[-1])
+    masked = mask.mask_found_words(spark.createDataFrame([(t,) for t in texts_], "a string"), ["a"], spark.createDataFrame([(w,) for w in listed], "word string"))
+    assert sorted((r.a for r in masked.collect()), key=str) == sorted((masked_in_python(t, listed) for t in texts_), key=str)
+    assert sum(df.count() for df in stored) == len(listed)
+
+
+@pytest.mark.parametrize(("seed", "few"), [(0, True), (1, True), (2, False), (3, False)])
+def test_masking_phrases_agrees_with_python_on_random_texts(spark, monkeypatch, seed, few):
+    if not few:
+        monkeypatch.setattr(session, "_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(mask, "_FEW_HITS", 0)
+    dice = random.Random(seed)
+    draw = lambda most: "".join(dice.choice("aab(é   \n") for _ in range(dice.randint(1, most)))
+    texts_ = [draw(60) for _ in range(80)] + [None, "", " ", "   "]
+    listed = [w for w in (draw(9) for _ in range(60)) if w.strip(" ")]
+    df = spark.createDataFrame([(t,) for t in texts_], "a string")
+    masked = mask.mask_found_words(df, ["a"], spark.createDataFrame([(w,) for w in listed + [None]], "word string"))
+    assert sorted((r.a for r in masked.collect()), key=str) == sorted((masked_in_python(t, listed) for t in texts_), key=str)
+
+
 def test_masking_unknown_columns_is_an_error(spark):
     df = spark.createDataFrame([("call Ana",)], "t string")
     for call in (lambda: mask.mask_words(df, ["tt"], ["Ana"]), lambda: mask.mask_found_words(df, ["tt"], df.select(F.lit("Ana").alias("word")))):

@@ -49,6 +49,22 @@ def _masked(text: Column, words: Column, mask: str) -> Column:
     return F.aggregate(words, text, lambda done, word: F.replace(done, word, F.lit(mask)))
 
 
+def _apart(text: Column, found: Column, mask: str) -> Column:
+    """Whether each line may be masked by the words that were found in it, which saves searching all lines for all words.
+
+    A word with a character of the mask could match what others have left in another line. Lines are cut by
+    characters, so a text that isn't valid UTF-8 is masked as a whole.
+    """
+    strange = F.exists(found, lambda x: F.translate(x["w"], mask, "") != x["w"])
+    return F.call_function("is_valid_utf8", text) & ~strange
+
+
+def _masked_by_line(text: Column, found: Column, mask: str) -> Column:
+    """found: words `w` in their order with the line `l` they are in."""
+    own = lambda i: F.transform(F.filter(found, lambda x: x["l"] == i), lambda x: x["w"])
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: _masked(line, own(i), mask)), "\n")
+
+
 def mask_words(df: DataFrame, columns: list[str], words: list[str], mask: str = MASK) -> DataFrame:
     """Mask an edited word list (a few hundred words at most): one projection, no shuffle.
 
@@ -96,18 +112,26 @@ def mask_found_words(df: DataFrame, columns: list[str], words: DataFrame, mask:
         F.collect_set(F.when(joined, edges)).alias("edges"),  # 25 at most
         F.count(F.lit(1)).alias("words"),
         F.expr(f"coalesce(sum(cast({octets} as bigint)), 0)").alias("octets"),
+        F.expr("coalesce(bool_or(contains(word, '\\n')), false)").alias("breaks"),
     ).first()
     if not sizes.words:
         return df
     cells = ", ".join(f"struct({short_key_sql(name_sql(c))} as key, {name_sql(c)} as text)" for c in columns)
     texts = df.selectExpr(f"inline(array({cells}))").where("text <> ''")
-    met = _met(texts, filed, sizes)
-    by_size = F.expr("transform(array_sort(collect_set(struct(-char_length(word) as n, word as w))), x -> x.w)")
+    # no word reaches over a line break, and no mask brings one
+    by_line = not sizes.breaks and mask != "" and "\n" not in mask
+    pieces = F.split("text", "\n") if by_line else F.array("text")
+    met = _met(texts.select("key", F.posexplode(pieces).alias("line", "text")), filed, sizes)
+    by_size = F.expr("array_sort(collect_set(struct(-char_length(word) as n, word as w, line as l)))")
     found = met.groupBy(F.col("key").alias("__key")).agg(by_size.alias("__words"))
     for name in columns:
         text = quoted(name)
         joined = df.join(found, F.expr(short_key_sql(name_sql(name))) == F.col("__key"), "left")
-        value = F.when(F.col("__words").isNull(), text).otherwise(_masked(text, F.col("__words"), mask))
+        words_ = F.col("__words")
+        value = _masked(text, F.array_distinct(F.transform(words_, lambda x: x["w"])), mask)
+        if by_line:
+            value = F.when(_apart(text, words_, mask), _masked_by_line(text, words_, mask)).otherwise(value)
+        value = F.when(words_.isNull(), text).otherwise(value)
         df = joined.select([_kept(df, value, c) if c == name else quoted(c) for c in df.columns])
     return df
 
@@ -181,7 +205,7 @@ def _edge(salt: Column, text: Column, end: str, size: Column) -> Column:
 
 
 def _met(texts: DataFrame, filed: DataFrame, sizes: Row) -> DataFrame:
-    """Rows (key, word): the text has a token of the word's, between the neighbours that the word asks for.
+    """Rows (key, line, word) of texts (key, line, text): the line has a token of the word's, between the neighbours that the word asks for.
 
     The hits among the distinct tokens, which only words without spaces need, are found once. They are settled together with the joints
     of the phrases as pairs of salted hashes, which hold no word in clear; what hashes alike by chance is turned away when the
@@ -203,16 +227,16 @@ def _met(texts: DataFrame, filed: DataFrame, sizes: Row) -> DataFrame:
     count = hits.count()
     bits = filters.bits_for(count * (4 if sizes.edges else 1))  # each space is tried for up to 25 joints
     used = (
-        texts.select("key", F.split("text", " ").alias("tokens"))
-        .selectExpr("key", "tokens", "posexplode(tokens) as (at, token)")
-        .selectExpr("key", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following")
+        texts.select("key", "line", F.split("text", " ").alias("tokens"))
+        .selectExpr("key", "line", "tokens", "posexplode(tokens) as (at, token)")
+        .selectExpr("key", "line", "get(tokens, at - 1) as previous", "token", "get(tokens, at + 1) as following")
     )
     for end, text, side in (("right", "token", "a"), ("left", "following", "b")):
         for size in sorted({e[side] for e in sizes.edges}):
             used = used.withColumn(f"{end}{size}", _edge(salt, F.col(text), end, F.lit(size)))
     joint = [F.xxhash64(f"right{e.a}", f"left{e.b}") for e in sorted(sizes.edges)]
     used = (
-        used.select("key", "previous", "token", "following", F.explode(F.array(*at_token, *joint)).alias("h"))
+        used.select("key", "line", "previous", "token", "following", F.explode(F.array(*at_token, *joint)).alias("h"))
         .where(filters.may_hold(filters.build(hits, "h", bits), F.col("h"), bits))
         .withColumn("spread", F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int"))
     )
@@ -224,5 +248,5 @@ def _met(texts: DataFrame, filed: DataFrame, sizes: Row) -> DataFrame:
         found.where(F.contains("token", F.col("part")))
         .where("before is null or (startswith(token, part) and endswith(previous, before))")
         .where("after is null or (endswith(token, part) and startswith(following, after))")
-        .select("key", "word")
+        .select("key", "line", "word")
     )

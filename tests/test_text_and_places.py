@@ -282,6 +282,27 @@ def test_masking_phrases_agrees_with_python_on_random_texts(spark, monkeypatch,
     assert sorted((r.a for r in masked.collect()), key=str) == sorted((masked_in_python(t, listed) for t in texts_), key=str)
 
 
+@pytest.mark.parametrize("hidden", ["XXXX", "X b", "", "a", "\n", "$1\\"])
+def test_masking_line_by_line_changes_nothing(spark, hidden):
+    texts_ = ["a b\nab c\n\na b", "XX\na b", "a a b b\nXX b\n", "c\n c\na  b", "\n", "a b\n" * 30]
+    for listed in (["a b", "c", "b c"], ["a b", "XX", "X b", "b"], ["a b", "b\na", "ab"]):
+        df = spark.createDataFrame([(t,) for t in texts_], "a string").coalesce(1)
+        masked = mask.mask_found_words(df, ["a"], spark.createDataFrame([(w,) for w in listed], "word string"), hidden)
+        expected = []
+        for t in texts_:
+            done = t
+            for w in sorted((w for w in listed if w in t), key=lambda w: (-len(w), w)):
+                done = done.replace(w, hidden)
+            expected.append(done)
+        assert sorted(r.a for r in masked.collect()) == sorted(expected)
+
+
+def test_bytes_that_are_no_text_stay_as_they_are(spark):
+    df = spark.range(1).selectExpr("cast(X'FF0A616E612062' as string) as a")
+    masked = mask.mask_found_words(df, ["a"], df.selectExpr("'ana b' as word"))
+    assert masked.selectExpr("hex(a) as h").first().h == "FF0A58585858"
+
+
 def test_masking_unknown_columns_is_an_error(spark):
     df = spark.createDataFrame([("call Ana",)], "t string")
     for call in (lambda: mask.mask_words(df, ["tt"], ["Ana"]), lambda: mask.mask_found_words(df, ["tt"], df.select(F.lit("Ana").alias("word")))):
